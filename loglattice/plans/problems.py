@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loglattice.operators import dedup, heavy_keys, late_events
+from loglattice.operators import dedup, heavy_keys, late_events, log_entries
 from loglattice.plans.tables import table
 
 HEAVY = (1, 50)
@@ -45,6 +45,37 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return messages.select(F.lit("cloudwatch_messages").alias("origin"), F.col("delivery_id").alias("row_id")).unionByName(records.select(F.lit("source_records").alias("origin"), F.col("record_no").alias("row_id")))
 
 
+def p2_message_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Kept messages, parsed; copies are removed after parsing, when rows are narrow."""
+    rows = table(spark, sf, "cloudwatch_messages")
+    parsed = log_entries.parse_messages(rows, "message", "event_timestamp_millis", ["delivery_id", "event_id"])
+    return dedup.first_copies(parsed, ["event_id"], "delivery_id", log_entries.PARSED)
+
+
+def p2_record_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of kept records: single ones, and those put together from numbered lines."""
+    rows = source_identity(table(spark, sf, "source_records"))
+    parsed = log_entries.parse_records(rows, "raw_base64", "native_id", ["record_no", "source_id", "native_id"])
+    kept = dedup.first_copies(parsed, ["source_id", "native_id"], "record_no", [*log_entries.PARSED, "line_no", "has_bytes", "is_head"]).where("has_bytes")
+    single = kept.where("line_no is null").select("source_id", "record_no", *log_entries.PARSED)
+    lines = kept.where("line_no is not null")
+    return single.unionByName(log_entries.join_lines(lines, "source_id", ["native_id"], "record_no"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    messages = log_entries.complete(p2_message_entries(spark, sf))
+    records = log_entries.complete(p2_record_entries(spark, sf))
+    return messages.select(F.lit("cloudwatch_messages").alias("origin"), F.col("delivery_id").alias("row_id"), *log_entries.PARSED).unionByName(
+        records.select(F.lit("source_records").alias("origin"), F.col("record_no").alias("row_id"), *log_entries.PARSED)
+    )
+
+
+def p2_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Every delivered message with its fields and message text."""
+    rows = table(spark, sf, "cloudwatch_messages")
+    return log_entries.parse_messages(rows, "message", "event_timestamp_millis", ["delivery_id"], message=True)
+
+
 def kept_events(spark: SparkSession, sf: str, carry: list[str]) -> DataFrame:
     """One kept copy of each event with its own columns."""
     return dedup.first_copies(table(spark, sf, "cloudwatch_messages").where("event_id is not null"), ["event_id"], "delivery_id", carry)
@@ -68,6 +99,8 @@ QUERIES = {
     "p1_stream_totals": p1_stream_totals,
     "p1_service_totals": p1_service_totals,
     "p1_cards_with_edges": p1_cards_with_edges,
+    "p2_found": p2_found,
+    "p2_fields": p2_fields,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_windows": p5_windows,
