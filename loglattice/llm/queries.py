@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loglattice.llm import runs, tokens
+from loglattice.llm import mixture, quality, runs, tokens
 from loglattice.operators import dedup
 from loglattice.plans.tables import table
 
@@ -28,9 +28,36 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(table(spark, sf, "documents"), "text", ["doc_id"])
 
 
+def p6_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.sizes(table(spark, sf, "documents"), "text", ["doc_id"])
+
+
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    targets = table(spark, sf, "mix_targets")
+    return mixture.shares(mixture.planned_uses(table(spark, sf, "documents"), targets), targets)
+
+
+def p8_stats(spark: SparkSession, sf: str) -> DataFrame:
+    common = quality.common_words(table(spark, sf, "common_words"))
+    return quality.quality(table(spark, sf, "documents"), "text", ["doc_id"], common)
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_stats(spark, sf).where("is_prose = false").select("doc_id")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_runs": p3_runs,
     "p6_ids": p6_ids,
+    "p6_sizes": p6_sizes,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_stats": p8_stats,
 }
 SQL: dict[str, str] = {}

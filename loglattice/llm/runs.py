@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loglattice.functions.layouts import Router
+from loglattice.session import written
 
 PIECE = 50_000  # events per symbol string
 FIRST_SYMBOL = 0x10000  # code points above the surrogates: PIECE of them always fit
@@ -156,8 +157,9 @@ def collapse_runs(events: DataFrame, entity: str, ms: str, event_id: str, same:
     narrow = events.select(F.col(entity).alias("entity"), F.col(ms).cast("long").alias("ms"), F.col(event_id).alias("id"), F.col(same).alias("same"))
     narrow = narrow.where("entity is not null and ms is not null and id is not null and same is not null")
     ordered = narrow.repartitionByRange("entity", "ms", "id").sortWithinPartitions("entity", "ms", "id")
-    runs = ordered.mapInArrow(_task_runs, _RUN_DDL + ", part int, at_end boolean")
-    ends = runs.where("at_end").withColumn("task_first", F.col("first_ms"))
+    # written once: inner and border runs must come from the same range bounds
+    runs = written(ordered.mapInArrow(_task_runs, _RUN_DDL + ", part int, at_end boolean"), "runs")
+    ends = runs.where("at_end")
     along = Window.orderBy("entity", "first_ms", "first_id")  # two rows a task
     goes_on = (F.lag("entity").over(along) == F.col("entity")) & (F.lag("same").over(along) == F.col("same")) & (F.lag("part").over(along) < F.col("part"))
     numbered = ends.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run_no", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
