@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loglattice.functions import records as fn
 from loglattice.operators.prefix import dense_ids
+from loglattice.session import cut
 
 SEVERE = ("critical", "error", "warning")
 CARD = ["group_id", "service", "role", "repeat_count", "first_timestamp_millis", "last_timestamp_millis", "first_native_id", "last_native_id"]
@@ -55,7 +56,8 @@ def template_groups(members: DataFrame) -> DataFrame:
         F.col("first.ts_ms").alias("first_timestamp_millis"), F.col("first.native_id").alias("first_native_id"),
         F.col("last.ts_ms").alias("last_timestamp_millis"), F.col("last.native_id").alias("last_native_id"),
     )
-    return dense_ids(flat, "group_id", "first_timestamp_millis", ["first_native_id", "service", "role", "fingerprint"])
+    # read three times below: cut here, where templates have made the table small
+    return dense_ids(cut(flat), "group_id", "first_timestamp_millis", ["first_native_id", "service", "role", "fingerprint"])
 
 
 def merge_groups(old: DataFrame, new: DataFrame) -> DataFrame:

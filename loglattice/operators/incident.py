@@ -10,8 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loglattice.operators.prefix import medians, order_statistics
 from loglattice.session import cut
 
 # Fixed values.
@@ -26,25 +27,15 @@ def period(at: Column, centre: int, width: int) -> Column:
     return F.when((offset >= -width) & (offset < 0), 0).when((offset >= 0) & (offset <= width), 1)
 
 
-def upper_middle(pairs: Column) -> Column:
-    """Id of the upper middle element of an array of (value, id), by value, then id."""
-    return F.try_element_at(F.array_sort(pairs), (F.floor(F.size(pairs) / 2) + 1).cast("int"))["id"]
-
-
 def metric_shifts(points: DataFrame, incident: int, width: int = 300, least: int = 5) -> DataFrame:
     """points: at, service, metric, value, id. One row per series with enough points on both sides."""
     sided = points.withColumn("p", period(F.col("at"), incident, width)).where("p is not null")
-    aggs = []
-    for p, name in ((0, "baseline"), (1, "incident")):
-        mine = F.when(F.col("p") == p, F.col("value"))
-        aggs += [F.count(mine).alias(f"{name}_count"), F.median(mine).alias(f"{name}_median"), F.collect_list(F.when(F.col("p") == p, F.struct("value", "id"))).alias(f"{name}_rows")]
-    series = sided.groupBy("service", "metric").agg(*aggs).where((F.col("baseline_count") >= least) & (F.col("incident_count") >= least))
-    base, now = F.col("baseline_median"), F.col("incident_median")
-    shift = F.abs(now - base) / F.greatest(F.abs(base), F.abs(now) * 0.01, F.lit(1e-6))
-    return series.select(
-        "service", "metric", "baseline_median", "incident_median", "baseline_count", "incident_count", shift.alias("relative_shift"),
-        upper_middle(F.col("baseline_rows")).alias("baseline_id"), upper_middle(F.col("incident_rows")).alias("incident_id"),
-    )
+    both = medians(sided, ["service", "metric", "p"], "value", "id")
+    base = both.where("p = 0").select("service", "metric", F.col("median").alias("baseline_median"), F.col("n").alias("baseline_count"), F.col("example").alias("baseline_id"))
+    late = both.where("p = 1").select("service", "metric", F.col("median").alias("incident_median"), F.col("n").alias("incident_count"), F.col("example").alias("incident_id"))
+    series = base.join(late, ["service", "metric"]).where((F.col("baseline_count") >= least) & (F.col("incident_count") >= least))
+    old, now = F.col("baseline_median"), F.col("incident_median")
+    return series.withColumn("relative_shift", F.abs(now - old) / F.greatest(F.abs(old), F.abs(now) * 0.01, F.lit(1e-6)))
 
 
 def metric_family(metric: Column) -> Column:
@@ -102,17 +93,18 @@ def link_counts(spans: DataFrame) -> DataFrame:
 def trace_signals(spans: DataFrame, incident_ms: int, width_ms: int = 300_000) -> DataFrame:
     """Per service counts, failing statuses and duration medians before and after, and a priority."""
     sided = spans.withColumn("p", period(F.col("start_ms"), incident_ms, width_ms)).where("p is not null")
-    aggs = []
+    failed = F.coalesce(F.col("status_code"), F.lit(0)) != 0
+    counts = []
     for p, name in ((0, "before"), (1, "after")):
         mine = F.col("p") == p
-        aggs += [
-            F.count(F.when(mine, 1)).alias(f"{name}_count"),
-            F.count(F.when(mine & (F.coalesce(F.col("status_code"), F.lit(0)) != 0), 1)).alias(f"{name}_failed"),
-            F.count(F.when(mine, F.col("duration"))).alias(f"{name}_durations"),
-            F.median(F.when(mine, F.col("duration"))).alias(f"{name}_median"),
-            upper_middle(F.collect_list(F.when(mine & F.col("duration").isNotNull(), F.struct("duration", F.col("line").alias("id"))))).alias(f"{name}_example"),
-        ]
-    out = sided.groupBy("service").agg(*aggs)
+        counts += [
+            F.count(F.when(mine, 1)).alias(f"{name}_count"), F.count(F.when(mine & failed, 1)).alias(f"{name}_failed"), F.count(F.when(mine, F.col("duration"))).alias(f"{name}_durations")
+        ]
+    out = sided.groupBy("service").agg(*counts)
+    middle = medians(sided, ["service", "p"], "duration", "line")
+    for p, name in ((0, "before"), (1, "after")):
+        mine = middle.where(F.col("p") == p).select("service", F.col("median").alias(f"{name}_median"), F.col("example").alias(f"{name}_example"))
+        out = out.join(mine, "service", "left")
     rate = {n: F.col(f"{n}_failed") / F.greatest(F.col(f"{n}_count"), F.lit(1)) for n in ("before", "after")}
     enough = (F.col("before_durations") >= 5) & (F.col("after_durations") >= 5)
     slower = F.when(enough, F.log1p(F.col("after_median") / F.greatest(F.col("before_median"), F.lit(1.0)))).otherwise(0.0)
@@ -176,8 +168,8 @@ def precedents(current: DataFrame, history: DataFrame, most: int = 3) -> DataFra
     for f in FAMILIES:
         total = total + F.pow(F.log1p(F.coalesce(F.col("now")[f], F.lit(0.0))) - F.log1p(F.coalesce(F.col("then")[f], F.lit(0.0))), 2)
     pairs = history.select("id", "service", F.col("shifts").alias("then")).join(current.select("service", F.col("shifts").alias("now")), "service").select("service", "id", total.alias("distance"))
-    best = pairs.groupBy("service").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, most).alias("best"))
-    return best.select("service", F.posexplode("best").alias("pos", "b")).select("service", (F.col("pos") + 1).alias("rank"), F.col("b.id").alias("id"), F.col("b.distance").alias("distance"))
+    nearest = Window.partitionBy("service").orderBy("distance", "id")
+    return pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= most).select("service", "rank", "id", "distance")
 
 
 def mentions(question: str, service: str) -> bool:
@@ -198,8 +190,8 @@ def focus_services(question: str, known: Sequence[str], most: int = 4) -> list[s
 
 
 def focus_context(numbered: DataFrame, focus: Sequence[str]) -> DataFrame:
-    """First, middle and last record of each focus service; ``numbered`` has service and line (dense within nothing)."""
+    """First, middle and last record of each focus service; ``numbered`` has service and a numeric line."""
     own = numbered.where(F.col("service").isin(*focus))
-    lines = own.groupBy("service").agg(F.array_sort(F.collect_list("line")).alias("l"))
-    picks = F.array_distinct(F.array(F.col("l")[0], F.col("l")[(F.floor(F.size("l") / 2)).cast("int")], F.element_at("l", -1)))
-    return lines.select("service", F.explode(picks).alias("line"))
+    places = {"a": lambda n: F.lit(0).cast("long"), "b": lambda n: F.call_function("div", n, F.lit(2)), "c": lambda n: n - 1}
+    found = order_statistics(own, ["service"], "line", "line", places)
+    return found.select("service", F.explode(F.array_distinct(F.array("a.id", "b.id", "c.id"))).alias("line"))

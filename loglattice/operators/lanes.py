@@ -104,6 +104,6 @@ def merged_affinities(lanes: Sequence[DataFrame]) -> DataFrame:
 
 def facet_coverage(affinities: DataFrame, facets: DataFrame, two: bool = False) -> DataFrame:
     """Per facet its coverage by the blocks given: the best affinity, or the sum of the best two; times its weight."""
-    best = F.slice(F.sort_array(F.collect_list("affinity"), asc=False), 1, 2 if two else 1) if two else F.array(F.max("affinity"))
-    cov = affinities.groupBy("facet_id").agg(F.aggregate(best, F.lit(0).cast("long"), lambda a, x: a + x).alias("coverage"))
+    ranked = affinities.withColumn("_ll_n", F.row_number().over(Window.partitionBy("facet_id").orderBy(F.desc("affinity"), F.asc("block_id"))))
+    cov = ranked.where(F.col("_ll_n") <= (2 if two else 1)).groupBy("facet_id").agg(F.sum("affinity").alias("coverage"))
     return facets.join(cov, "facet_id", "left").select("facet_id", "weight", F.coalesce("coverage", F.lit(0)).alias("coverage"), (F.col("weight") * F.coalesce("coverage", F.lit(0))).alias("gain"))

@@ -2,29 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def running_sums(rows: DataFrame, keys: list[str], bucket: str, order: list, sums: dict[str, str]) -> DataFrame:
-    """Adds <name> = sum of a column over all earlier rows of the keys, in (bucket, order).
+def running_sums(rows: DataFrame, keys: list[str], bucket: str, order: list, sums: dict[str, str], totals: bool = False) -> DataFrame:
+    """Adds <name> = sum of a column over all earlier rows of the keys, in (bucket, order), and <name>_total if asked for.
 
     Buckets are ordered and each fits a task; between them only one row per
-    key and bucket is summed. ``order`` must be total within a bucket.
+    key and bucket is summed. ``order`` must be total within a bucket. Keys
+    mustn't be null.
     """
     per = rows.groupBy(*keys, bucket).agg(*[F.sum(c).alias(f"_ll_sum_{n}") for n, c in sums.items()])
     along = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    before = per.select(*keys, bucket, *[F.coalesce(F.sum(f"_ll_sum_{n}").over(along), F.lit(0)).alias(f"_ll_before_{n}") for n in sums])
+    whole = Window.partitionBy(*keys)
+    added = [F.sum(f"_ll_sum_{n}").over(whole).alias(f"{n}_total") for n in sums] if totals else []
+    before = per.select(*keys, bucket, *[F.coalesce(F.sum(f"_ll_sum_{n}").over(along), F.lit(0)).alias(f"_ll_before_{n}") for n in sums], *added)
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(before, [*keys, bucket])
-    return joined.select(*rows.columns, *[(F.col(f"_ll_before_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for n, c in sums.items()])
+    return joined.select(*rows.columns, *[f"{n}_total" for n in sums if totals], *[(F.col(f"_ll_before_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for n, c in sums.items()])
+
+
+def quantile_bucket(rows: DataFrame, value: str, buckets: int = 256) -> Column:
+    """Bucket number of a numeric column by its approximate quantiles: ordered as the values are, and about equally full."""
+    edges = sorted(set(rows.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.5 / buckets)))
+    if not edges:
+        return F.lit(0)
+    return F.aggregate(F.array(*[F.lit(float(e)) for e in edges]), F.lit(0), lambda n, e: n + F.when(F.col(value) >= e, 1).otherwise(0))
+
+
+def order_statistics(rows: DataFrame, keys: list[str], value: str, row_id: str, wanted: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Rows at given ranks of each key, exactly: ``n`` and per name a struct (value, id).
+
+    ``wanted`` maps a name to the 0-based rank as an expression of n, in the
+    order of (value, id). Rows with a null key or value take no part. A key of
+    any size is spread over the buckets of its values; rows of one value stay
+    together, sorted by the engine.
+    """
+    some = rows.select(*keys, F.col(value).alias("_ll_v"), F.col(row_id).alias("_ll_i")).dropna(subset=[*keys, "_ll_v"])
+    marked = some.withColumns({"_ll_bucket": quantile_bucket(some.select(F.col("_ll_v").cast("double").alias("_ll_v")), "_ll_v"), "_ll_one": F.lit(1).cast("long")})
+    placed = running_sums(marked, keys, "_ll_bucket", ["_ll_v", "_ll_i"], {"_ll_pos": "_ll_one"}, totals=True)
+    n = F.col("_ll_pos_total")
+    pick = [F.max(F.when(F.col("_ll_pos") == at(n), F.struct(F.col("_ll_v").alias("value"), F.col("_ll_i").alias("id")))).alias(name) for name, at in wanted.items()]
+    return placed.groupBy(*keys).agg(F.first(n).alias("n"), *pick)
+
+
+def medians(rows: DataFrame, keys: list[str], value: str, row_id: str) -> DataFrame:
+    """keys, n, exact ``median`` and ``example``: the id of the upper middle row."""
+    upper = lambda n: F.call_function("div", n, F.lit(2))
+    lower = lambda n: F.call_function("div", n - 1, F.lit(2))
+    found = order_statistics(rows, keys, value, row_id, {"lo": lower, "hi": upper})
+    return found.select(*keys, "n", ((F.col("lo.value").cast("double") + F.col("hi.value").cast("double")) / 2).alias("median"), F.col("hi.id").alias("example"))
 
 
 def dense_ids(rows: DataFrame, name: str, first: str, order: list[str], buckets: int = 256) -> DataFrame:
     """Numbers rows from 1 in (first, *order); ``first`` is a number whose quantiles cut the table into buckets."""
-    edges = sorted(set(rows.approxQuantile(first, [i / buckets for i in range(1, buckets)], 0.5 / buckets)))
-    bucket: Column = F.lit(0)
-    if edges:
-        bucket = F.aggregate(F.array(*[F.lit(float(e)) for e in edges]), F.lit(0), lambda n, e: n + F.when(F.col(first) >= e, 1).otherwise(0))
+    bucket = quantile_bucket(rows, first, buckets)
     marked = rows.withColumns({"_ll_all": F.lit(0), "_ll_bucket": bucket, "_ll_one": F.lit(1)})
     numbered = running_sums(marked, ["_ll_all"], "_ll_bucket", [first, *order], {"_ll_before": "_ll_one"})
     return numbered.withColumn(name, (F.col("_ll_before") + 1).cast("long")).drop("_ll_all", "_ll_bucket", "_ll_one", "_ll_before")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loglattice.functions.records import ascii_lower
+from loglattice.operators.prefix import order_statistics
 
 SCALE = 1_000_000
 BODY_B, ID_B, K1 = 750_000, 250_000, 1_200_000
@@ -175,13 +176,9 @@ def paired_outcomes(runs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, key: str, value: str, percent: int = 95) -> DataFrame:
-    """Exact nearest-rank percentile per key: a percentile of discrete values whose rank is ceil(p * n)."""
-    counted = values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    packed = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(value, "n"))).alias("d"), F.sum("n").alias("total"))
-    wanted = F.ceil(F.col("total") * percent / 100)
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(dict(values.dtypes)[value]).alias("hit"))
-    walk = F.aggregate("d", start, lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.coalesce(acc["hit"], F.when(acc["seen"] + x["n"] >= wanted, x[value])).alias("hit")))
-    return packed.select(key, walk["hit"].alias(f"p{percent}"))
+    """Exact nearest-rank percentile per key: the value of rank ceil(percent * n / 100)."""
+    at = {"hit": lambda n: F.ceil(n * percent / 100) - 1}
+    return order_statistics(values, [key], value, value, at).select(key, F.col("hit.value").alias(f"p{percent}"))
 
 
 def binomial_tail(wins: int, losses: int) -> float:
