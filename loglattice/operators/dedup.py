@@ -8,9 +8,11 @@ new codes and bits are committed together by creating one commit file, which
 is atomic and fails if another writer was first.
 
 Cases: a row with a null in any identifier column is a copy of nothing and is
-always kept. Empty strings are ordinary identifiers. Row ids must be unique;
-ties can't occur then. An empty batch commits nothing. Extra columns are
-carried untouched; the columns the operator adds begin with ``_ll_``.
+always kept. Empty strings are ordinary identifiers. Rows of one row id are one
+delivery. A row without a row id is no delivery: it is never reported, and is
+kept only where its identifier comes in no other way. An empty batch keeps
+nothing. Extra columns are ignored unless they're asked for; the columns the
+operator adds begin with ``_ll_``.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def first_copies(rows: DataFrame, ids: Sequence[str], row_id: str, carry: Sequen
     rows sends one row per map task.
     """
     own = F.when(~_present(ids), F.col(row_id))
-    first = F.min(F.struct(F.col(row_id), *[F.col(c) for c in carry])).alias("_ll_first")
+    first = F.min(F.struct(F.col(row_id).isNull().alias("_ll_none"), F.col(row_id), *[F.col(c) for c in carry])).alias("_ll_first")
     return (
         rows.select(*[F.col(c).alias(f"_ll_id{i}") for i, c in enumerate(ids)], own.alias("_ll_own"), row_id, *[c for c in carry if c != row_id])
         .groupBy(*[f"_ll_id{i}" for i in range(len(ids))], "_ll_own")
@@ -128,7 +130,7 @@ class SeenStore:
         if batch not in done:
             names = [f"_ll_id{i}" for i in range(len(self.ids))]
             arrivals = (
-                rows.where(_present(self.ids))
+                rows.where(_present(self.ids) & F.col(row_id).isNotNull())
                 .select(*[F.col(c).cast("string").alias(n) for c, n in zip(self.ids, names)], F.col(row_id).cast("long").alias("_ll_row"))
                 .withColumn("_ll_shard", F.pmod(F.xxhash64(*names), F.lit(self.shards)).cast("int"))
                 .groupBy("_ll_shard", *names)
@@ -151,4 +153,4 @@ def repeated_deliveries(rows: DataFrame, ids: Sequence[str], row_id: str, store:
     """
     store = store or SeenStore(rows.sparkSession, work_folder(rows.sparkSession, "seen"), ids)
     kept = store.apply(rows, row_id, batch)
-    return rows.where(_present(ids)).select(F.col(row_id).cast("long").alias(row_id)).join(kept, row_id, "left_anti")
+    return rows.where(_present(ids) & F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias(row_id)).join(kept, row_id, "left_anti")

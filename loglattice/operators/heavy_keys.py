@@ -185,13 +185,19 @@ def fragment_replicate_join(rows: DataFrame, other: DataFrame, key: str, spread:
     The rows of a large key are split over its shards by a hash of the
     ``spread`` columns; the other side's rows of that key are copied to those
     shards only. Both sides may share further column names: the other side's
-    are kept under ``other_<name>``.
+    are kept under ``other_<name>``, with as many ``other_`` as it takes.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"rows of a split key can't be joined {how}")
     plan = plan or plan_loads(rows, key)
-    clash = set(rows.columns) & set(other.columns) - {key}
-    right = other.select([F.col(c).alias(f"other_{c}" if c in clash else c) for c in other.columns]).where(F.col(key).isNotNull())
+    taken, names = set(rows.columns), {}
+    for c in other.columns:
+        name = c
+        while c != key and name in taken:
+            name = f"other_{name}"
+        names[c] = name
+        taken.add(name)
+    right = other.select([F.col(c).alias(n) for c, n in names.items()]).where(F.col(key).isNotNull())
     left = fragment(rows, key, F.struct(*spread), plan).drop("_ll_k")
     right = replicate(right, key, plan).drop("_ll_k")
     return left.join(right, ["_ll_task", key], how).drop("_ll_task")
