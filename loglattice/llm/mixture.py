@@ -17,7 +17,7 @@ A text is one text wherever it was posted: exact copies count as one, kept
 under the smallest doc_id and its source, and may be used as often as the
 strictest source that holds them allows.
 
-Cases: documents with a null source, one without target, a null, empty or
+Cases: documents with a null doc_id or source, one without target, a null, empty or
 token-free text take no part. A source without documents gets nothing, and the
 other shares are scaled up to fill the whole (the report keeps the target). A
 target whose share or max_repeats is null or not above zero takes no part.
@@ -31,6 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from loglattice.llm import tokens
+from loglattice.operators.prefix import running_sums
 from loglattice.session import written
 
 BUCKET_ROWS = 50_000  # rows of a prefix-sum bucket, about
@@ -62,7 +63,7 @@ def sized_texts(documents: DataFrame, targets: dict[str, tuple[float, int]], raw
     spark = documents.sparkSession
     schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("cap", T.IntegerType())])
     caps = spark.createDataFrame([(s, c) for s, (_, c) in sorted(targets.items())], schema)
-    rows = documents.select("doc_id", "source", "text").where("text is not null and text <> ''").join(F.broadcast(caps), "source")  # at most MOST_TARGETS rows
+    rows = documents.select("doc_id", "source", "text").where("doc_id is not null and text is not null and text <> ''").join(F.broadcast(caps), "source")  # at most MOST_TARGETS rows
     sized = tokens.sizes(rows.withColumn("same", F.sha2(F.col("text"), 256)), "text", ["doc_id", "source", "cap", "same"], raw)
     first = F.min(F.struct("doc_id", "source", "n_tokens")).alias("first")
     return sized.where("n_tokens > 0").groupBy("same").agg(first, F.min("cap").alias("cap")).select("first.*", "cap")
@@ -83,7 +84,7 @@ def plan_sources(by_cap: list[tuple[str, int, int, int]], targets: dict[str, tup
     centre = sum(shares[s] * rank[s] for s in order)
     out = []
     for s in sorted(held):
-        demand = min(total * shares[s], capacity[s])
+        demand = float(min(total * shares[s], capacity[s]))
         passes, used, k = [], 0.0, 1
         while used < demand and k <= max(held[s]):
             passes.append(used)
@@ -99,16 +100,6 @@ def training_time(covered, tilt):
     return 2 * covered / (level + F.sqrt(level * level + 4 * tilt * covered))
 
 
-def _prefix(rows: DataFrame, keys: list[str], bucket: str, order: list, sizes: dict[str, str]) -> DataFrame:
-    """Adds <name> = sum of a column over all earlier rows of the keys, in (bucket, order); no task sees more than a bucket."""
-    per = rows.groupBy(*keys, bucket).agg(*[F.sum(c).alias(f"_ll_sum_{n}") for n, c in sizes.items()])
-    along = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    before = per.select(*keys, bucket, *[F.coalesce(F.sum(f"_ll_sum_{n}").over(along), F.lit(0)).alias(f"_ll_before_{n}") for n in sizes])
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(before, [*keys, bucket])
-    return joined.select(*rows.columns, *[(F.col(f"_ll_before_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for n, c in sizes.items()])
-
-
 def chosen_uses(texts: DataFrame, plan: list[Source], seed: int = 0) -> DataFrame:
     """doc_id, source, use_no, n_tokens and training time t of each use of a text."""
     spark = texts.sparkSession
@@ -117,7 +108,7 @@ def chosen_uses(texts: DataFrame, plan: list[Source], seed: int = 0) -> DataFram
     buckets = max(1, texts.count() // BUCKET_ROWS)
     uses = texts.join(F.broadcast(passes), "source").where("use_no <= cap")  # at most MOST_TARGETS times the largest cap, and only as many passes as are needed
     uses = uses.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "use_no")).withColumn("hb", F.pmod(F.shiftright("h", 7), F.lit(buckets)))
-    placed = _prefix(uses, ["source", "use_no"], "hb", ["h", "doc_id"], {"in_pass": "n_tokens"})
+    placed = running_sums(uses, ["source", "use_no"], "hb", ["h", "doc_id"], {"in_pass": "n_tokens"})
     middle = F.col("used") + F.col("in_pass") + F.col("n_tokens") / 2
     taken = placed.withColumn("middle", middle).where(F.col("middle") <= F.col("demand"))
     return taken.select("doc_id", "source", "use_no", "n_tokens", training_time(F.col("middle") / F.col("demand"), F.col("tilt")).alias("t"))
@@ -128,7 +119,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     uses = planned_uses(documents, targets, total_tokens, tilt, seed, raw)
     buckets = max(1, uses.count() // BUCKET_ROWS)
     timed = uses.withColumn("tb", F.least(F.floor(F.col("t") * buckets), F.lit(buckets - 1))).withColumn("one", F.lit(1)).withColumn("all", F.lit(0))
-    placed = _prefix(timed, ["all"], "tb", ["t", "source", "doc_id", "use_no"], {"position": "one", "token_start": "n_tokens"})
+    placed = running_sums(timed, ["all"], "tb", ["t", "source", "doc_id", "use_no"], {"position": "one", "token_start": "n_tokens"})
     return placed.select("position", "doc_id", "source", "use_no", "n_tokens", "token_start", "t").orderBy("position")
 
 

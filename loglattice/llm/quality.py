@@ -39,7 +39,7 @@ _FIELD = re.compile(r"\s*\S[^:=|]{0,60}?\s*(?:=\s|:\s|=>|->)\s*\S+(?:\s\S+){0,2}
 _GOES_ON = re.compile(r"\s|(?:Traceback \(|Caused by|goroutine \d+|main\.\w+\(|[\w.$]+(?:Exception|Error)\b)")
 _GAP = re.compile(r"\S {2,}(?=\S)")
 _DELIMITERS = "|│┃║\t;,"
-_TERMINAL = re.compile(r"[.!?…]+[\"'”’)»]*(?=\s|$)|[。！？]")
+_TERMINAL = re.compile(r"(?<![.!?…])[.!?…]+[\"'”’)»]*(?=\s|$)|[。！？]")
 _WORD = re.compile(r"[^\W_]+(?:['’._:/-][^\W_]+|_)*")
 _CLEAN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*$")
 _GARBLED = re.compile(r"[�Ãâ¤¨œ¿½](?![a-zéèà]*\s)|\w[?¤]\w|[�¤¨]")
@@ -105,11 +105,11 @@ def _is_wrapped(lines: list[str]) -> bool:
 
 
 def repetition(words: list[str]) -> float:
-    """Largest share of words that stand again 1 to 8 words later: near 1 where a phrase is said over and over."""
+    """Largest share of words that stand again 1 to 24 words later: near 1 where a phrase is said over and over."""
     n = len(words)
     if 2 * len(set(words)) > n:  # half of them stand once: no phrase fills the text
         return 0.0
-    return max((sum(a == b for a, b in zip(words, words[k:])) / (n - k) for k in range(1, 9)), default=0.0) if n > 20 else 0.0
+    return max((sum(a == b for a, b in zip(words, words[k:])) / (n - k) for k in range(1, min(25, n))), default=0.0) if n > 20 else 0.0
 
 
 def _running(lines: list[str], common: frozenset[str]) -> bool:

@@ -45,7 +45,7 @@ _VALUE = re.compile(
     | \b\d{{1,2}}:\d\d(?::\d\d(?:[.,]\d+)?)?\b
     | \b[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}\b
     | \b(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?::\d+)?\b                            # an address
-    | \[[0-9a-f:]*:[0-9a-f:]+\](?::\d+)?
+    | \[[0-9a-f:]{{0,39}}:[0-9a-f:]{{1,39}}\](?::\d+)?
     | \b(?:\d+(?:\.\d+)?(?:h|m|s|ms|µs|μs|us|ns|d))+(?![\w])                # 19m51s
     | [-+]?\b\d+(?:[.,]\d+)*(?:\s?(?:{_UNIT})\b|%|(?!\w))                  # a number or quantity
     | \b(?=[a-z_]*\d)[0-9a-z_]+\b                                           # an id: letters and digits mixed
@@ -53,7 +53,7 @@ _VALUE = re.compile(
     """,
     re.X,
 )
-_MIXED = re.compile(r"\w*\d\w*")
+_MIXED = re.compile(r"(?<!\w)(?=[^\W\d]*\d)\w+")  # begins at words only: linear on long ones
 _SPACE = re.compile(r"\s+")
 
 
