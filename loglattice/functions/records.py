@@ -35,6 +35,15 @@ _ACCESS = rf"^{SPACE}*(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS){SPACE}+(/{WORD}*)
 _ISO_TOKEN = rf"^[0-9]{{4}}-{WORD}{{2}}-{WORD}{{2}}T{WORD}{{2}}:{WORD}{{2}}:{WORD}{{3,}}$"
 
 
+def settled(df: DataFrame, keep: list[str], made: list[Column]) -> DataFrame:
+    """``keep`` columns and the fields of ``made``, behind a generator.
+
+    Conditions on made columns aren't pushed below it, where each mention
+    would compute its column again.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*made))))
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
@@ -188,9 +197,8 @@ def parse_records(rows: DataFrame, raw: str) -> DataFrame:
     fingerprint = F.when(F.col("_ll_status").isNotNull(), access_print).otherwise(normal)
     known = text.isNotNull()
     out = three.withColumns({"service": F.when(known, service), "_ll_level": level, "fingerprint": F.when(known, fingerprint), "peer": peer_service(doc)})
-    parsed = F.struct("service", F.when(known, role_of(F.col("_ll_level"), body)).alias("role"), "fingerprint", "ts_seconds", "peer")
-    # a generator: conditions on the parsed columns mustn't be pushed below it, where each would parse again
-    return out.select(*base, F.inline(F.array(parsed)))
+    role = F.when(known, role_of(F.col("_ll_level"), body)).alias("role")
+    return settled(out, base, [F.col("service"), role, F.col("fingerprint"), F.col("ts_seconds"), F.col("peer")])
 
 
 def search_terms(text: Column, cap: int) -> Column:

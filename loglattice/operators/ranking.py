@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loglattice.functions.records import ascii_lower
+from loglattice.functions.records import ascii_lower, settled
 from loglattice.operators.prefix import order_statistics
 
 SCALE = 1_000_000
@@ -46,13 +46,13 @@ def _is_identifier(token: str) -> bool:
 def term_counts(docs: DataFrame, doc: str, text: str, terms: Sequence[str]) -> DataFrame:
     """doc, n_tokens, n_identifiers and ``tf`` (occurrences of each term, in the terms' order); one pass, no shuffle, no explode."""
     tokens = F.col("_ll_t")
-    counted = docs.select(F.col(doc), field_tokens(F.col(text)).alias("_ll_t"))
+    counted = settled(docs.where(F.col(text).isNotNull()), [doc], [field_tokens(F.col(text)).alias("_ll_t")])
     def occurrences(term: str) -> Column:
         return F.size(F.filter(tokens, lambda t: t == term))
 
     tf = F.array(*map(occurrences, terms)) if terms else F.array().cast("array<int>")
     ids = F.size(F.filter(tokens, lambda t: t.rlike("[0-9_.-]")))
-    return counted.where(tokens.isNotNull()).select(doc, F.size(tokens).cast("long").alias("n_tokens"), ids.cast("long").alias("n_identifiers"), tf.alias("tf"))
+    return settled(counted, [doc], [F.size(tokens).cast("long").alias("n_tokens"), ids.cast("long").alias("n_identifiers"), tf.alias("tf")])
 
 
 def corpus_stats(counts: DataFrame, terms: Sequence[str]) -> dict:
@@ -99,7 +99,7 @@ def bm25f_scores(docs: DataFrame, doc: str, text: str, query: str) -> DataFrame:
         part = div(_big(div(w * (K1 + SCALE), w + K1)) * idf, F.lit(SCALE))
         score = (score + F.when(tf > 0, part).otherwise(0)).cast("decimal(38,0)")
         matched = matched + F.when(tf > 0, 1).otherwise(0)
-    return counts.select(doc, score.cast("long").alias("score"), matched.cast("long").alias("matched")).where("score > 0")
+    return settled(counts, [doc], [score.cast("long").alias("score"), matched.cast("long").alias("matched")]).where("score > 0")
 
 
 def feature_terms(query: str) -> list[tuple[str, bool]]:
@@ -118,13 +118,13 @@ def query_features(docs: DataFrame, doc: str, text: str, query: str) -> DataFram
     """doc and the features by which a plain search ranks: full_match, identifier_exact, exact, matched, specificity (all descending)."""
     terms = feature_terms(query)
     low = ascii_lower(F.col(text))
-    base = docs.where(F.col(text).isNotNull()).select(doc, low.alias("_ll_low"), F.array_distinct(F.regexp_extract_all(low, F.lit(f"({FEATURE_TOKEN})"))).alias("_ll_t"))
-    flags = base.select(
-        doc,
+    base = settled(docs.where(F.col(text).isNotNull()), [doc], [low.alias("_ll_low"), F.array_distinct(F.regexp_extract_all(low, F.lit(f"({FEATURE_TOKEN})"))).alias("_ll_t")])
+    made = [
         F.col("_ll_low").contains(query.strip().lower()).alias("full_match") if query.strip() else F.lit(False).alias("full_match"),
         F.array(*[F.array_contains("_ll_t", t) for t, _ in terms]).alias("e"),
         F.array(*[F.col("_ll_low").contains(t) for t, _ in terms]).alias("m"),
-    )
+    ]
+    flags = settled(base, [doc], made)
     stats = flags.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("m")[i], 1)).alias(f"df_{i}") for i in range(len(terms))]).first()
     add = lambda items: sum(items, F.lit(0)).cast("long")
     one = lambda c: F.when(c, 1).otherwise(0)

@@ -8,6 +8,7 @@ from loglattice.functions import records as fn
 from loglattice.operators import corpus
 from loglattice.plans import views
 from loglattice.plans.tables import table
+from loglattice.session import cut
 
 TASK = "Why did the purchase request fail with an error upstream of svc-3? Show failed requests"
 LIMIT = 40
@@ -34,7 +35,8 @@ def group_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def group_members(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.group_members(views.members(spark, sf), views.groups(spark, sf))
+    members = cut(views.members(spark, sf))
+    return corpus.group_members(members, corpus.template_groups(members))
 
 
 def lexical_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +112,8 @@ def service_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.graph_neighbours(views.groups(spark, sf), service_edges(spark, sf), SEEDS, 64)
+    members = cut(views.members(spark, sf))  # parsed once for groups and edges
+    return corpus.graph_neighbours(corpus.template_groups(members), corpus.service_edges(corpus.edge_evidence(members)), SEEDS, 64)
 
 
 def record_page(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loglattice.operators import lanes, ranking
 from loglattice.operators.corpus import bounded
 from loglattice.plans import views
-from loglattice.plans.tables import table
+from loglattice.plans.tables import spread, table
 
 QUESTION = "Why did the registry on node-12 restart after the rollout of cedar-feed? checkpoint quorum lost"
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def bm25_affinity(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglattice.functions.records import parse_records
 from loglattice.operators import corpus
-from loglattice.plans.tables import table
+from loglattice.plans.tables import spread, table
 
 SERVICES = 16
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
@@ -28,7 +28,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.concat(F.lit("page view took 12:30:05.25 at 10.0.0."), F.col("k") % 8, F.lit(":"), 1000 + F.col("event_id") % 100))
     )
     level = F.when(kind == "error", "err").when(kind == "purchase", "WARN").otherwise("info")
-    rows = table(spark, sf, "events").withColumn("k", k)
+    rows = spread(table(spark, sf, "events")).withColumn("k", k)
     ms = F.expr(f"{MICROS} div 1000")
     peer = F.when(F.col("k") % 3 == 0, F.concat(F.lit("svc-"), F.col("k") % SERVICES))
     doc = F.struct(
