@@ -222,3 +222,46 @@ def collected(pool: DataFrame, most: int) -> list[dict]:
     if len(rows) > most:
         raise NeedsMore(f"more than {most} candidates")
     return [r.asDict() for r in rows]
+
+
+def pack_in_order(packets: Sequence[Packet], order: Sequence[int], budget: int) -> list[int]:
+    """Mandatory packets, then the rest in an order from outside, each if it still fits; the order must name every packet once."""
+    by_id = {p.id: p for p in packets}
+    if sorted(order) != sorted(by_id):
+        raise ValueError("the order must be a permutation of the packets")
+    left = budget - sum(p.cost for p in packets if p.mandatory)
+    if left < 0:
+        raise NeedsMore("mandatory packets pass the budget")
+    taken, _ = pack([(i, by_id[i].cost) for i in order if not by_id[i].mandatory], left)
+    return sorted([p.id for p in packets if p.mandatory] + taken)
+
+
+def normalized_gain(packets: Sequence[Packet], weights: dict[str, int], chosen: Sequence[int], two: frozenset[str] = frozenset()) -> float:
+    """Coverage the chosen packets add to the mandatory ones, as a part of what all packets would add."""
+
+    def covered(ids: set[int]) -> int:
+        cover = _Cover(weights, two)
+        for p in packets:
+            if p.mandatory or p.id in ids:
+                cover.add(p)
+        return cover.total()
+
+    base, most = covered(set()), covered({p.id for p in packets})
+    return (covered(set(chosen)) - base) / (most - base) if most > base else 0.0
+
+
+def without_lane(packets: Sequence[Packet], prefix: str) -> list[Packet]:
+    """The packets as they'd be without one lane's facets, for ablations; packets left without any facet go."""
+    out = []
+    for p in packets:
+        kept = {f: a for f, a in p.affinities.items() if not f.startswith(prefix)}
+        if kept or p.mandatory:
+            out.append(Packet(p.id, p.cost, kept, p.mandatory, p.coverage_only))
+    return out
+
+
+def grep_head_tail(ranked: Sequence[int], n: int, costs: dict[int, int], budget: int, head: int = 20, tail: int = 200) -> list[int]:
+    """Query hits first, then the tail, then the head, each whole or not at all; ids are positions 0 .. n-1, given in source order."""
+    wanted = dict.fromkeys([*ranked, *range(max(0, n - tail), n), *range(min(head, n))])
+    taken, _ = pack([(i, costs[i]) for i in wanted], budget)
+    return sorted(taken)
