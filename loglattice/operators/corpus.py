@@ -13,7 +13,7 @@ arrival order where records arrive in time order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -207,6 +207,40 @@ def priority_fallback(groups: DataFrame, limit: int) -> DataFrame:
     return first_of_each(union, "group_id", [F.col("phase"), F.col("position"), F.col("stream")], limit).select("rank", *CARD, F.lit(True).alias("truncated"))
 
 
+def directory_expansion(groups: DataFrame, pick: Callable[[list[dict]], Sequence[str]], page: int = 32, pages: int = 4, picks: int = 4, most: int = 64) -> DataFrame:
+    """Groups of services a picker chooses from the directory, page after page.
+
+    Each page offers ``page`` services; of each the picker may take ``picks``.
+    The picked services' groups come interleaved, ``most`` in all.
+    """
+    after, chosen = None, []
+    for _ in range(pages):
+        offered = [r.asDict() for r in service_directory(groups, after, page).orderBy("service").collect()]
+        if not offered:
+            break
+        names = {x["service"] for x in offered}
+        taken = list(pick(offered))
+        if len(taken) > picks or not names.issuperset(taken):
+            raise ValueError("a picker must name offered services, at most as many as asked")
+        chosen += [x for x in taken if x not in chosen]
+        if not offered[0]["has_more"]:
+            break
+        after = offered[-1]["service"]
+    if not chosen:
+        return groups.select(*CARD).limit(0).withColumn("rank", F.lit(0))
+    each = max(1, most // len(chosen))
+    union = None
+    for i, name in enumerate(chosen):
+        part = service_interleave(groups, name, min(64, each)).select(*CARD, F.col("rank").alias("position"), F.lit(i).alias("stream"))
+        union = part if union is None else union.unionByName(part)
+    return first_of_each(union, "group_id", [F.col("position"), F.col("stream")], most).select("rank", *CARD)
+
+
+def same_generation(before: tuple[int, int], records: DataFrame, version: int) -> bool:
+    """Whether record count and graph version are what they were when a search began."""
+    return before == (records.count(), version)
+
+
 def graph_neighbours(groups: DataFrame, edges: DataFrame, seeds: Sequence[str], limit: int = 64) -> DataFrame:
     """Groups of services one edge away from the seed services, seeds left out."""
     out = edges.where(F.col("source_service").isin(*seeds)).select(F.col("target_service").alias("service"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglattice.operators import dedup, heavy_keys, late_events, log_entries
 from loglattice.plans.tables import table
+from loglattice.session import written
 
 HEAVY = (1, 50)
 LATE = late_events.WindowSpec(("log_group",), "event_timestamp_millis", "ingestion_timestamp_millis")
@@ -57,6 +58,7 @@ def p2_record_entries(spark: SparkSession, sf: str) -> DataFrame:
     rows = source_identity(table(spark, sf, "source_records"))
     parsed = log_entries.parse_records(rows, "raw_base64", "native_id", ["record_no", "source_id", "native_id"])
     kept = dedup.first_copies(parsed, ["source_id", "native_id"], "record_no", [*log_entries.PARSED, "line_no", "has_bytes", "is_head"]).where("has_bytes")
+    kept = written(kept, "entries")  # read by both branches: parsed once
     single = kept.where("line_no is null").select("source_id", "record_no", *log_entries.PARSED)
     lines = kept.where("line_no is not null")
     return single.unionByName(log_entries.join_lines(lines, "source_id", ["native_id"], "record_no"))

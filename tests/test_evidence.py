@@ -115,3 +115,27 @@ def test_compact_and_analyze(spark):
     assert got["focus"] == ["s0"] and got["metrics"].count() == 1 and got["status"] == "partial"
     services = {r["service"]: r for r in got["services"].collect()}
     assert services["s0"]["transitive_dependents"] == 2 and services["s0"]["error_count"] == 15
+
+
+def test_brief():
+    from loglattice.operators import brief
+
+    records = [("a", b"one\n"), ("b", b"two \xff\\"), ("c", b"three")]
+    assert brief.passthrough(records, 1000) == "# all records\na one\\x0a\nb two \\xff\\x5c\nc three\n"
+    assert brief.passthrough(records, 20) is None
+    text = brief.compiled(records, ["c", "a"], {"c": "error"}, 1000)
+    assert text.splitlines()[1:3] == ["E1 a context one\\x0a", "E2 c error three"] and "6 bytes in 1 records" in text
+    with pytest.raises(ValueError):
+        brief.compiled(records, ["z"], {}, 1000)
+
+
+def test_directory(spark):
+    from loglattice.operators import corpus
+
+    rows = [(i, f"s{i % 7}", "error", 1, i, i, str(i), str(i)) for i in range(70)]
+    groups = spark.createDataFrame(rows, "group_id long, service string, role string, repeat_count long, first_timestamp_millis long, last_timestamp_millis long, first_native_id string, last_native_id string")
+    got = corpus.directory_expansion(groups, lambda offered: [offered[0]["service"]], page=3, pages=2, most=6).collect()
+    assert [r["service"] for r in sorted(got, key=lambda r: r["rank"])] == ["s0", "s3"] * 3
+    assert corpus.directory_expansion(groups, lambda offered: [], page=3).count() == 0
+    with pytest.raises(ValueError):
+        corpus.directory_expansion(groups, lambda offered: ["s9"])
