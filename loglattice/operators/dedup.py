@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from loglattice.session import partitions_of, work_folder
 
 BITS = 32_768  # bits of one bucket: Spark's bitmap functions fix it
+COMPACT = "compact-"  # batch names that stand for several batches
 
 
 def _present(ids: Sequence[str]) -> Column:
@@ -92,9 +93,34 @@ class SeenStore:
         fs, p = self._fs("commits")
         return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
-    def _commit(self, batch: str) -> None:
+    def _commit(self, batch: str, replaces: Sequence[str] = ()) -> None:
         fs, p = self._fs(f"commits/{batch}")
-        fs.create(p, False).close()
+        out = fs.create(p, False)
+        out.write(bytearray("\n".join(replaces).encode()))
+        out.close()
+
+    def _current(self, done: list[str]) -> list[str]:
+        """Committed batches without those a compaction stands for."""
+        replaced: set[str] = set()
+        for name in done:
+            if name.startswith(COMPACT):
+                fs, p = self._fs(f"commits/{name}")
+                replaced |= set(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(fs.open(p), "UTF-8").split("\n"))
+        return [b for b in done if b not in replaced]
+
+    def compact(self) -> None:
+        """Puts the dictionary and the bitmaps of all batches together, so that later batches read few files.
+
+        Old batches stay readable for a replay until their folders are deleted.
+        """
+        done = self.committed()
+        current = self._current(done)
+        if len(current) < 2:
+            return
+        name = f"{COMPACT}{len(done):012d}"
+        self._read("ids", current).where("not _ll_known").write.mode("overwrite").parquet(f"{self.path}/ids/batch={name}")
+        self.seen_bits(current).withColumn("_ll_bits", _deflate("_ll_bits")).write.mode("overwrite").parquet(f"{self.path}/bits/batch={name}")
+        self._commit(name, current)
 
     def _read(self, what: str, batches: list[str]) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.path}/{what}/batch={b}" for b in batches])
@@ -118,7 +144,7 @@ class SeenStore:
 
     def seen_bits(self, batches: list[str] | None = None) -> DataFrame:
         """Union of the committed bitmaps: _ll_shard, _ll_bucket, _ll_bits."""
-        batches = self.committed() if batches is None else batches
+        batches = self._current(self.committed()) if batches is None else batches
         return self._read("bits", batches).select("_ll_shard", "_ll_bucket", _inflate("_ll_bits").alias("_ll_bits")).groupBy("_ll_shard", "_ll_bucket").agg(F.bitmap_or_agg("_ll_bits").alias("_ll_bits"))
 
     def apply(self, rows: DataFrame, row_id: str, batch: str) -> DataFrame:
@@ -136,7 +162,7 @@ class SeenStore:
                 .groupBy("_ll_shard", *names)
                 .agg(F.min("_ll_row").alias("_ll_row"))
             )
-            self._coded(arrivals, done).write.mode("overwrite").parquet(f"{self.path}/ids/batch={batch}")
+            self._coded(arrivals, self._current(done)).write.mode("overwrite").parquet(f"{self.path}/ids/batch={batch}")
             new = self._read("ids", [batch]).where("not _ll_seen")
             bits = new.groupBy("_ll_shard", F.expr(f"_ll_code div {BITS}").alias("_ll_bucket")).agg(F.bitmap_construct_agg(F.col("_ll_code") % BITS).alias("_ll_bits"))
             bits.withColumn("_ll_bits", _deflate("_ll_bits")).write.mode("overwrite").parquet(f"{self.path}/bits/batch={batch}")

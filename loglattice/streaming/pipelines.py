@@ -25,8 +25,8 @@ def run(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoin
     return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def keep_once(ids: Sequence[str], row_id: str, store_path: str, out_path: str) -> Callable[[DataFrame, int], None]:
-    """Appends each message's first arrival to ``out_path``, over all batches there ever were."""
+def keep_once(ids: Sequence[str], row_id: str, store_path: str, out_path: str, compact_every: int = 50) -> Callable[[DataFrame, int], None]:
+    """Appends each message's first arrival to ``out_path``, over all batches there ever were; compacts the store now and then."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         store = dedup.SeenStore(batch.sparkSession, store_path, ids)
@@ -38,6 +38,8 @@ def keep_once(ids: Sequence[str], row_id: str, store_path: str, out_path: str) -
                 present = present & F.col(c).isNotNull()
             with_id = batch.where(present).join(kept, row_id, "left_semi")
             with_id.unionByName(batch.where(~present)).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+            if batch_id % compact_every == compact_every - 1:
+                store.compact()
         finally:
             batch.unpersist()
 

@@ -68,3 +68,19 @@ def test_codes_beyond_one_bitmap(spark, n):
     store = dedup.SeenStore(spark, work_folder(spark, "seen"), ["id"], shards=1)
     assert store.apply(df, "row", "0").count() == 69_000
     assert store.apply(df.selectExpr("row + 100000 as row", "id"), "row", "1").count() == 0
+
+
+def test_compaction_changes_no_answer(spark):
+    store = dedup.SeenStore(spark, work_folder(spark, "seen"), ["id"], shards=2)
+    parts = [spark.range(100).selectExpr(f"id + {b}000 as row", f"concat('e', id + {b * 40}) as id") for b in range(4)]
+    kept = [ids(store.apply(p, "row", f"{b}")) for b, p in enumerate(parts[:3])]
+    assert [len(k) for k in kept] == [100, 40, 40]
+    bits = store.seen_bits().selectExpr("sum(bitmap_count(_ll_bits))").first()[0]
+    store.compact()
+    store.compact()
+    assert store._current(store.committed()) == ["compact-000000000003"]
+    assert store.seen_bits().selectExpr("sum(bitmap_count(_ll_bits))").first()[0] == bits == 180
+    assert len(ids(store.apply(parts[3], "row", "3"))) == 40
+    assert ids(store.apply(parts[1], "row", "1")) == kept[1]  # a replay
+    store.compact()
+    assert store.seen_bits().selectExpr("sum(bitmap_count(_ll_bits))").first()[0] == 220
