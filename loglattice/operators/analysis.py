@@ -57,7 +57,7 @@ def visible_groups(groups: DataFrame, focus: Sequence[str], per_service: int = P
     """The first groups of each service in a reader's order, with ``turn``: their rank within the service."""
     order = incident.group_priority(groups, focus)
     turn = F.row_number().over(Window.partitionBy("service").orderBy(*order))
-    return groups.withColumn("turn", turn).where(F.col("turn") <= per_service)
+    return groups.withColumn("turn", turn).where(F.col("turn") <= per_service).withColumn("turn", F.col("turn").cast("long"))
 
 
 def omitted_inventory(groups: DataFrame, focus: Sequence[str], limit: int) -> DataFrame:

@@ -39,7 +39,7 @@ def severe(groups: DataFrame) -> DataFrame:
 def bounded(ranked: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """First rows of an order with ``rank`` from 1 and ``truncated``; works on limit + 1 rows after a distributed top-k."""
     few = ranked.orderBy(*order).limit(limit + 1)
-    numbered = few.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    numbered = few.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
     total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
     return numbered.withColumn("truncated", total > limit).where(F.col("rank") <= limit)
 
@@ -146,7 +146,7 @@ def service_directory(groups: DataFrame, after_service: str | None = None, limit
 def first_of_each(ranked: DataFrame, key: str, order: list[Column], limit: int) -> DataFrame:
     """Ordered union: each key where it comes first, at most ``limit`` keys, with ``rank``. For few rows."""
     once = ranked.withColumn("_ll_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_ll_n = 1").drop("_ll_n")
-    return once.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") <= limit)
+    return once.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).where(F.col("rank") <= limit)
 
 
 def service_interleave(groups: DataFrame, service: str, limit: int) -> DataFrame:
@@ -270,7 +270,7 @@ def record_page(records: DataFrame, after: tuple[int, str] | None, limit: int, m
     rest = records
     if after is not None:
         rest = rest.where(F.struct("ts_ms", "native_id") > F.struct(F.lit(after[0]).alias("ts_ms"), F.lit(after[1]).alias("native_id")))
-    page = rest.select("ts_ms", "native_id", F.octet_length("raw").alias("n_bytes")).orderBy("ts_ms", "native_id").limit(limit)
+    page = rest.select("ts_ms", "native_id", F.octet_length("raw").cast("long").alias("n_bytes")).orderBy("ts_ms", "native_id").limit(limit)
     used = F.sum("n_bytes").over(Window.orderBy("ts_ms", "native_id").rowsBetween(Window.unboundedPreceding, 0))
     return page.withColumn("used_bytes", used).where(F.col("used_bytes") <= max_bytes)
 
@@ -278,7 +278,7 @@ def record_page(records: DataFrame, after: tuple[int, str] | None, limit: int, m
 def record_samples(records: DataFrame, n: int) -> DataFrame:
     """Head and tail bytes of each record and its length."""
     raw = F.encode("raw", "UTF-8") if dict(records.dtypes)["raw"] == "string" else F.col("raw")
-    return records.select("native_id", F.substring(raw, 1, n).alias("prefix"), F.substring(raw, -n, n).alias("suffix"), F.octet_length(raw).alias("n_bytes"))
+    return records.select("native_id", F.substring(raw, 1, n).alias("prefix"), F.substring(raw, -n, n).alias("suffix"), F.octet_length(raw).cast("long").alias("n_bytes"))
 
 
 def nearby_records(records: DataFrame, native_id: str, before: int, after: int, max_bytes: int) -> DataFrame:
@@ -288,10 +288,10 @@ def nearby_records(records: DataFrame, native_id: str, before: int, after: int,
     then the ones after it. A side stops at the first record that doesn't fit.
     No rows if the anchor is unknown; ValueError if it alone passes the budget.
     """
-    sized = records.select("ts_ms", "native_id", F.octet_length("raw").alias("n_bytes"))
+    sized = records.select("ts_ms", "native_id", F.octet_length("raw").cast("long").alias("n_bytes"))
     anchor = sized.where(F.col("native_id") == native_id).orderBy("ts_ms").first()
     if anchor is None:
-        return sized.limit(0).withColumn("offset", F.lit(0))
+        return sized.limit(0).withColumn("offset", F.lit(0).cast("long"))
     if anchor["n_bytes"] > max_bytes:
         raise ValueError("the anchor alone passes the byte budget")
     here = F.struct(F.lit(anchor["ts_ms"]).alias("ts_ms"), F.lit(native_id).alias("native_id"))
@@ -300,7 +300,7 @@ def nearby_records(records: DataFrame, native_id: str, before: int, after: int,
     def side(rows: DataFrame, n: int, order: list[Column], sign: int) -> DataFrame:
         w = Window.orderBy(*order)
         few = rows.orderBy(*order).limit(n)
-        return few.withColumn("offset", sign * F.row_number().over(w)).withColumn("used", F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return few.withColumn("offset", sign * F.row_number().over(w).cast("long")).withColumn("used", F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
     left = max_bytes - anchor["n_bytes"]
     earlier = side(sized.where(at < here), before, [F.desc("ts_ms"), F.desc("native_id")], -1).where(F.col("used") <= left)
@@ -308,7 +308,7 @@ def nearby_records(records: DataFrame, native_id: str, before: int, after: int,
     later = side(sized.where(at > here), after, [F.asc("ts_ms"), F.asc("native_id")], 1)
     later = later.join(F.broadcast(spent)).where(F.col("used") <= left - F.col("spent"))  # one row beside at most ``after``
     columns = ["ts_ms", "native_id", "n_bytes", "offset"]
-    own = sized.where((F.col("native_id") == native_id) & (F.col("ts_ms") == anchor["ts_ms"])).withColumn("offset", F.lit(0))
+    own = sized.where((F.col("native_id") == native_id) & (F.col("ts_ms") == anchor["ts_ms"])).withColumn("offset", F.lit(0).cast("long"))
     return earlier.select(*columns).unionByName(own.select(*columns)).unionByName(later.select(*columns))
 
 

@@ -169,7 +169,7 @@ def precedents(current: DataFrame, history: DataFrame, most: int = 3) -> DataFra
         total = total + F.pow(F.log1p(F.coalesce(F.col("now")[f], F.lit(0.0))) - F.log1p(F.coalesce(F.col("then")[f], F.lit(0.0))), 2)
     pairs = history.select("id", "service", F.col("shifts").alias("then")).join(current.select("service", F.col("shifts").alias("now")), "service").select("service", "id", total.alias("distance"))
     nearest = Window.partitionBy("service").orderBy("distance", "id")
-    return pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= most).select("service", "rank", "id", "distance")
+    return pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= most).select("service", F.col("rank").cast("long").alias("rank"), "id", "distance")
 
 
 def mentions(question: str, service: str) -> bool:

@@ -51,7 +51,7 @@ def task_match_strength(spark: SparkSession, sf: str) -> DataFrame:
 def lexical_records(spark: SparkSession, sf: str) -> DataFrame:
     """Exact first records of the lexical candidates: only the winners' bytes are fetched."""
     found = lexical_candidates(spark, sf).select("rank", "group_id", F.col("first_native_id").alias("native_id"))
-    return views.records(spark, sf).join(F.broadcast(found), "native_id").select("rank", "group_id", "native_id", F.octet_length("raw").alias("n_bytes"))  # at most LIMIT rows
+    return views.records(spark, sf).join(F.broadcast(found), "native_id").select("rank", "group_id", "native_id", F.octet_length("raw").cast("long").alias("n_bytes"))  # at most LIMIT rows
 
 
 def repeated_severe(spark: SparkSession, sf: str) -> DataFrame:
@@ -278,6 +278,29 @@ SELECT service AS source_service, peer AS target_service, count(*) AS evidence_c
 near AS (SELECT peer AS service FROM members WHERE service IN {SEEDS} AND peer IS NOT NULL AND peer <> service UNION SELECT service FROM members WHERE peer IN {SEEDS} AND peer <> service),
 cards AS (SELECT * FROM groups WHERE service IN (SELECT service FROM near) AND service NOT IN {SEEDS})
 {_top("true", f"{views.ROLE_RANK_SQL}, last_timestamp_millis DESC, group_id DESC", 64, "cards")}""",
+    "lexical_records": f"""WITH {_HITS}, {views.RECORDS_SQL}
+SELECT rank, group_id, native_id, octet_length(encode(raw))::BIGINT AS n_bytes FROM lexical JOIN records ON native_id = first_native_id""",
+    "record_page": f"""WITH {views.RECORDS_SQL},
+page AS (SELECT ts_ms, native_id, octet_length(encode(raw))::BIGINT AS n_bytes FROM records WHERE (ts_ms, native_id) > (1704200000000, '7') ORDER BY ts_ms, native_id LIMIT 256)
+SELECT * FROM (SELECT *, sum(n_bytes) OVER (ORDER BY ts_ms, native_id)::BIGINT AS used_bytes FROM page) WHERE used_bytes <= 20000""",
+    "nearby_records": f"""WITH {views.RECORDS_SQL},
+sized AS (SELECT ts_ms, native_id, octet_length(encode(raw))::BIGINT AS n_bytes FROM records),
+anchor AS (SELECT * FROM sized WHERE native_id = '{ANCHOR_ID}'),
+before AS (
+  SELECT *, sum(n_bytes) OVER (ORDER BY n) AS used FROM (
+    SELECT s.*, row_number() OVER (ORDER BY s.ts_ms DESC, s.native_id DESC) AS n FROM sized s, anchor a WHERE (s.ts_ms, s.native_id) < (a.ts_ms, a.native_id) QUALIFY n <= 20)),
+earlier AS (SELECT b.* FROM before b, anchor a WHERE used <= 4000 - a.n_bytes),
+after AS (
+  SELECT *, sum(n_bytes) OVER (ORDER BY n) AS used FROM (
+    SELECT s.*, row_number() OVER (ORDER BY s.ts_ms, s.native_id) AS n FROM sized s, anchor a WHERE (s.ts_ms, s.native_id) > (a.ts_ms, a.native_id) QUALIFY n <= 20))
+SELECT ts_ms, native_id, n_bytes, -n AS "offset" FROM earlier UNION ALL SELECT ts_ms, native_id, n_bytes, 0 FROM anchor
+UNION ALL SELECT f.ts_ms, f.native_id, f.n_bytes, n FROM after f, anchor a WHERE used <= 4000 - a.n_bytes - (SELECT coalesce(max(used), 0) FROM earlier)""",
+    "record_samples": """WITH r AS (SELECT record_no, translate(regexp_replace(raw_base64, '[^A-Za-z0-9+/_-]', '', 'g'), '-_', '+/') AS b FROM source_records),
+d AS (SELECT record_no, hex(from_base64(rpad(b, ((length(b) + 3) // 4 * 4)::INTEGER, '='))) AS h FROM r)
+SELECT record_no AS native_id, left(h, 24) AS prefix, right(h, 24) AS suffix, (length(h) // 2)::BIGINT AS n_bytes FROM d""",
+    "safe_samples": f"""WITH s AS (
+  SELECT doc_id, text, regexp_matches(translate(left(text, 120) || chr(1) || right(text, 120), '{fn.UPPER}', '{fn.LOWER}'), '{"|".join(fn.SENSITIVE_PHRASES)}|"(?:{"|".join(fn.SENSITIVE_KEYS)})"\\s*:') AS bad FROM documents)
+SELECT doc_id, CASE WHEN bad THEN '{fn.OMITTED}' WHEN length(text) <= 90 THEN text WHEN text IS NOT NULL THEN left(text, 24) || '{fn.MIDDLE}' || right(text, 48) END AS sample FROM s""",
     "missing_members": f"WITH {views.MEMBERS_SQL} SELECT native_id FROM members WHERE role = 'change'",
     "insert_outcome": """WITH d AS (
   SELECT delivery_id, event_timestamp_millis AS ms, coalesce(message, '') AS raw, row_number() OVER w AS rn, first_value(event_timestamp_millis) OVER w AS ms1, first_value(coalesce(message, '')) OVER w AS raw1

@@ -75,4 +75,10 @@ def quota_hybrid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (exact_lines, framing_blocks, skip_packing, tournament_pack, selection_greedy, quota_hybrid)}
-SQL: dict[str, str] = {}
+SQL = {
+    "exact_lines": """WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> ''),
+u AS (SELECT doc_id, p, unnest(range(len(p))) AS seq FROM s),
+x AS (SELECT doc_id, seq, p[seq + 1] AS raw, seq = len(p) - 1 AS tail FROM u)
+SELECT doc_id, seq, CASE WHEN NOT tail AND ends_with(raw, chr(13)) THEN left(raw, -1) ELSE raw END AS payload,
+  CASE WHEN tail THEN NULL WHEN ends_with(raw, chr(13)) THEN chr(13) || chr(10) ELSE chr(10) END AS terminator FROM x WHERE NOT (tail AND raw = '')""",
+}

@@ -59,6 +59,15 @@ MEMBERS_SQL = f"""members AS (
     CASE WHEN k % 3 = 0 THEN 'svc-' || (k % {SERVICES}) END AS peer
   FROM (SELECT *, (props->>'$.k')::BIGINT AS k FROM events))"""
 
+RECORDS_SQL = f"""records AS (
+  SELECT event_id::VARCHAR AS native_id, epoch_us(ts) // 1000 AS ts_ms,
+    '{{"timestamp":' || (epoch_us(ts) // 1000000) || ',"service":"svc-' || (user_id % {SERVICES}) || '","level":"' || CASE event_type WHEN 'error' THEN 'err' WHEN 'purchase' THEN 'WARN' ELSE 'info' END
+    || '","message":"' || CASE event_type WHEN 'error' THEN 'request failed request_id=r' || event_id || ' upstream svc-' || (k % 16)
+      WHEN 'purchase' THEN 'slow purchase bucket ' || (k % 10) WHEN 'signup' THEN 'deploy of signup flow ' || (k % 5)
+      WHEN 'click' THEN 'no error in click path ' || (k % 20) ELSE 'page view took 12:30:05.25 at 10.0.0.' || (k % 8) || ':' || (1000 + event_id % 100) END
+    || '"' || CASE WHEN k % 3 = 0 THEN ',"peer.service":"svc-' || (k % {SERVICES}) || '"' ELSE '' END || '}}' AS raw
+  FROM (SELECT *, (props->>'$.k')::BIGINT AS k FROM events))"""
+
 GROUPS_SQL = (
     MEMBERS_SQL
     + """,
