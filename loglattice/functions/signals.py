@@ -20,6 +20,7 @@ ONSETS = {
     "configuration_change": ["reconfigured", "configuration-change", "configuration_changed", "config-reload", "config_reloaded"],
     "feature_flag_change": [f"feature{s}flag{s}{w}" for s in "-_." for w in ("enabled", "disabled")],
 }
+MAY_SIGNAL = "(?i)" + "|".join([*sorted({w for side in (FAILURES, ONSETS) for words in side.values() for w in words}), "Exception", "Error", r"\be[0-9]{4}\b"])
 QUERY_STOP_WORDS = frozenset("an and are did do does for from how in is it log logs of on the to was were what when where why with".split())
 TRACE_LABELS = frozenset("trace trace_id trace-id trace.id traceid".split())
 SPAN_LABELS = frozenset("span span_id span-id span.id spanid".split())
@@ -85,8 +86,12 @@ def onset_kind(token: Column) -> Column:
 
 
 def signals(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """``keep`` columns, failures and onsets: the kinds found, in order. A failure word right after no, without or zero isn't one. A null text has none."""
-    toks = settled(rows, keep, [F.coalesce(compound_tokens(F.col(text)), F.array().cast("array<string>")).alias("_ll_t")])
+    """``keep`` columns, failures and onsets: the kinds found, in order. A failure word right after no, without or zero isn't one. A null text has none.
+
+    Texts in which no signal's letters stand at all aren't split into tokens.
+    """
+    may = F.when(F.col(text).rlike(MAY_SIGNAL), compound_tokens(F.col(text)))
+    toks = settled(rows, keep, [F.coalesce(may, F.array().cast("array<string>")).alias("_ll_t")])
     t = F.col("_ll_t")
 
     def failure(x: Column, i: Column) -> Column:

@@ -113,8 +113,8 @@ def pareto_skyline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def paired_counts(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.sum("l_quantity").alias("q"), F.avg("l_discount").alias("d"))
-    runs = lines.select("case_id", F.explode(F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.col("q") > 100, F.col("d") > 0.05))).alias("arm", "passed"))
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.sum("l_quantity").alias("q"), (F.sum(F.round(F.col("l_discount") * 100).cast("long")) > 5 * F.count(F.lit(1))).alias("d"))
+    runs = lines.select("case_id", F.explode(F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.col("q") > 100, F.col("d")))).alias("arm", "passed"))
     return ranking.paired_outcomes(runs, "a", "b")
 
 
@@ -200,7 +200,7 @@ SELECT *, n_required = n_found AS complete FROM r""",
     "pareto_skyline": """WITH p AS (SELECT p_partkey, p_retailprice, p_size, p_partkey % 97 AS p_cost FROM part)
 SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.p_retailprice >= a.p_retailprice AND b.p_size <= a.p_size AND b.p_cost <= a.p_cost
   AND (b.p_retailprice > a.p_retailprice OR b.p_size < a.p_size OR b.p_cost < a.p_cost))""",
-    "paired_counts": """WITH c AS (SELECT l_orderkey, sum(l_quantity) > 100 AS a, avg(l_discount) > 0.05 AS b FROM lineitem GROUP BY 1)
+    "paired_counts": """WITH c AS (SELECT l_orderkey, sum(l_quantity) > 100 AS a, sum(round(l_discount * 100)::BIGINT) > 5 * count(*) AS b FROM lineitem GROUP BY 1)
 SELECT count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b, count(*) FILTER (NOT a AND NOT b) AS neither FROM c""",
     "nearest_rank_p95": """SELECT l_returnflag, l[ceil(len(l) * 95 / 100)::BIGINT] AS p95 FROM (SELECT l_returnflag, list(l_quantity ORDER BY l_quantity) AS l FROM lineitem GROUP BY 1)""",
 }
