@@ -20,7 +20,8 @@ strictest source that holds them allows.
 Cases: documents with a null doc_id or source, one without target, a null, empty or
 token-free text take no part. A source without documents gets nothing, and the
 other shares are scaled up to fill the whole (the report keeps the target). A
-target whose share or max_repeats is null or not above zero takes no part.
+target whose share or max_repeats is null or not above zero takes no part; of
+several targets of a source the smallest share and max_repeats hold.
 Doc ids must be unique; ties in size or time are broken by hash and doc_id.
 """
 
@@ -48,13 +49,16 @@ class Source:
     tilt: float
 
 
+def one_target_each(targets: DataFrame) -> DataFrame:
+    """Of several targets of a source the smallest share and the smallest max_repeats hold."""
+    return targets.groupBy("source").agg(F.min("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
+
+
 def targets_of(targets: DataFrame) -> dict[str, tuple[float, int]]:
     """share and max_repeats by source; the table is read by the driver and its size checked."""
-    rows = targets.where("source is not null and target_share > 0 and max_repeats > 0").select("source", "target_share", "max_repeats").limit(MOST_TARGETS + 1).collect()
+    rows = one_target_each(targets).where("source is not null and target_share > 0 and max_repeats > 0").limit(MOST_TARGETS + 1).collect()
     if len(rows) > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} targets")
-    if len({r[0] for r in rows}) < len(rows):
-        raise ValueError("a source has several targets")
     return {r[0]: (r[1], r[2]) for r in rows}
 
 
@@ -135,6 +139,6 @@ def shares(uses: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source what it was to get and what it got."""
     got = uses.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_uses"), F.countDistinct("doc_id").alias("n_texts"), F.max("use_no").alias("most_uses"))
     total = F.sum("n_tokens").over(Window.partitionBy(F.lit(0)))  # one row per source
-    out = targets.select("source", "target_share", "max_repeats").join(got, "source", "left")
+    out = one_target_each(targets).join(got, "source", "left")
     out = out.withColumn("actual_share", F.coalesce(F.col("n_tokens") / total, F.lit(0.0)))
     return out.select("source", "target_share", "actual_share", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_tokens", "n_uses", "n_texts", "most_uses")], "max_repeats")

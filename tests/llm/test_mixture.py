@@ -75,5 +75,9 @@ def test_empty_tables(spark, tables):
     docs, targets = tables
     assert mixture.mixture(docs.limit(0), targets).count() == 0
     assert mixture.mixture(docs, targets.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mixture.targets_of(targets.union(targets))
+
+
+def test_repeated_targets(spark, tables):
+    _, targets = tables
+    again = targets.union(targets).union(spark.createDataFrame([("a", 0.4, 9)], targets.schema))
+    assert mixture.targets_of(again)["a"] == (0.4, 2) and mixture.targets_of(again)["b"] == (0.3, 3)
