@@ -198,8 +198,9 @@ def fragment_replicate_join(rows: DataFrame, other: DataFrame, key: str, spread:
         names[c] = name
         taken.add(name)
     right = other.select([F.col(c).alias(n) for c, n in names.items()]).where(F.col(key).isNotNull())
-    left = fragment(rows, key, F.struct(*spread), plan).drop("_ll_k")
-    right = replicate(right, key, plan).drop("_ll_k")
+    # both sides go to the partitions the plan names; the join needs no exchange beyond these
+    left = place(fragment(rows, key, F.struct(*spread), plan).drop("_ll_k"), plan)
+    right = place(replicate(right, key, plan).drop("_ll_k"), plan)
     return left.join(right, ["_ll_task", key], how).drop("_ll_task")
 
 

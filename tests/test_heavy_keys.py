@@ -68,3 +68,10 @@ def test_empty_table_and_null_keys(spark):
     nulls = spark.createDataFrame([(None, None)] * 3, "k string, v long")
     assert hk.key_totals(nulls, "k", ["v"]).collect() == [(None, 3, None)]
     assert hk.heavy_keys(nulls, "k", (1, 50))["rows"].count() == 0
+
+
+def test_join_stays_where_the_plan_puts_it(spark, skewed):
+    df, _ = skewed
+    other = spark.range(50).selectExpr("concat('k', id) as k", "id as w")
+    plan = hk.fragment_replicate_join(df, other, "k", ["id"], "left")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange shufflepartitionidpassthrough") == 2 and "Exchange hashpartitioning(_ll_task" not in plan
