@@ -31,13 +31,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from loglattice.functions.layouts import Router, line_count
+from loglattice.functions.layouts import ANSI, Entry, Router, line_count
 
 BLOCK = 4096
 PARSED = ["ts_millis", "level", "component", "n_lines"]
 _PARSED_DDL = "ts_millis long, level string, component string, n_lines long"
 _NOT_BASE64 = re.compile(rb"[^A-Za-z0-9+/]+")
 _LINE_ID = re.compile(r"line-(\d{1,18})$")
+_LINE_END = re.compile(r"\r?\n\Z")
 
 
 def decode_base64(text: str | None) -> bytes | None:
@@ -86,16 +87,20 @@ def parse_messages(rows: DataFrame, text: str, near_ms: str | None, keep: list[s
     return source.mapInArrow(run, ddl)
 
 
-def parse_records(rows: DataFrame, raw_base64: str, native_id: str, keep: list[str]) -> DataFrame:
-    """As parse_messages for base64 records; adds line_no (null if the native id isn't ``line-<number>``), has_bytes and is_head."""
+def parse_records(rows: DataFrame, raw_base64: str, native_id: str, keep: list[str], message: bool = False) -> DataFrame:
+    """As parse_messages for base64 records; adds line_no (null if the native id isn't ``line-<number>``), has_bytes and is_head.
+
+    The message of a numbered line is without its line end and colour codes:
+    what a head says after its fields, or the whole of any other line.
+    """
     source = rows.select(*keep, F.col(raw_base64).alias("_ll_raw"), F.col(native_id).alias("_ll_native"))
     fields = [f for f in source.schema.fields if f.name in keep]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + _PARSED_DDL + ", line_no long, has_bytes boolean, is_head boolean"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + _PARSED_DDL + ", line_no long, has_bytes boolean, is_head boolean" + ", message string" * message
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router = Router()
         for batch in batches:
-            ts, level, component, lines, numbers, have, heads = [], [], [], [], [], [], []
+            ts, level, component, lines, numbers, have, heads, said = [], [], [], [], [], [], [], []
             for coded, native in zip(batch.column("_ll_raw").to_pylist(), batch.column("_ll_native").to_pylist()):
                 raw = decode_base64(coded)
                 number = _LINE_ID.match(native) if native else None
@@ -108,41 +113,58 @@ def parse_records(rows: DataFrame, raw_base64: str, native_id: str, keep: list[s
                 numbers.append(int(number[1]) if number else None)
                 have.append(raw is not None)
                 heads.append(entry is not None)
+                if message:
+                    said.append(_record_message(entry, text, number is not None) if raw is not None else None)
             columns = [batch.column(f.name) for f in fields]
-            columns += [pa.array(ts, pa.int64()), pa.array(level, pa.string()), pa.array(component, pa.string()), pa.array(lines, pa.int64()), pa.array(numbers, pa.int64()), pa.array(have), pa.array(heads)]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields] + [*PARSED, "line_no", "has_bytes", "is_head"])
+            columns += [pa.array(ts, pa.int64()), pa.array(level, pa.string()), pa.array(component, pa.string()), pa.array(lines, pa.int64()), pa.array(numbers, pa.int64()), pa.array(have, pa.bool_()), pa.array(heads, pa.bool_())]
+            names = [f.name for f in fields] + [*PARSED, "line_no", "has_bytes", "is_head"]
+            if message:
+                columns.append(pa.array(said, pa.string()))
+                names.append("message")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return source.mapInArrow(run, ddl)
 
 
-def join_lines(lines: DataFrame, file_id: str, order: list[str], row_id: str, block: int = BLOCK) -> DataFrame:
-    """Entries of numbered lines: ``file_id``, row_id of the head, its fields, and n_lines of the whole entry.
+def _record_message(entry: Entry | None, text: str, numbered: bool) -> str | None:
+    if not numbered:
+        return (entry.message if entry else text) if text else None
+    said = entry.message if entry else ANSI.sub("", text)
+    return _LINE_END.sub("", said) if said is not None else None
+
+
+def join_lines(lines: DataFrame, file_id: str, order: list[str], row_id: str, block: int = BLOCK, message: bool = False) -> DataFrame:
+    """Entries of numbered lines: ``file_id``, row_id of the head, its fields, and n_lines (and message) of the whole entry.
 
     ``lines`` has one row per line with line_no, is_head and the parsed
-    columns; ``order`` breaks ties of line_no.
+    columns; ``order`` breaks ties of line_no. The message is that of the head
+    and the lines after it, with a line feed between them.
     """
     fields = [row_id, "ts_millis", "level", "component"]
     blocks = lines.withColumn("_ll_block", F.expr(f"line_no div {block}"))
     in_block = Window.partitionBy(file_id, "_ll_block").orderBy("line_no", *order).rowsBetween(Window.unboundedPreceding, 0)
     numbered = blocks.withColumn("_ll_head_no", F.sum(F.col("is_head").cast("long")).over(in_block))
+    placed = F.array_sort(F.collect_list(F.when(F.col("message").isNotNull(), F.struct("line_no", *order, "message")))) if message else None
+    said = [F.transform(placed, lambda x: x["message"]).alias("_ll_said")] if message else []
     groups = numbered.groupBy(file_id, "_ll_block", "_ll_head_no").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.first(F.when(F.col("is_head"), F.struct(*fields)), ignorenulls=True).alias("_ll_head")
+        F.count(F.lit(1)).alias("n_lines"), F.first(F.when(F.col("is_head"), F.struct(*fields)), ignorenulls=True).alias("_ll_head"), *said
     )
     # one row per block: how many lines stand before its first head, and how many heads it has
     edges = groups.groupBy(file_id, "_ll_block").agg(F.sum(F.when(F.col("_ll_head_no") == 0, F.col("n_lines"))).alias("_ll_lead"), F.max("_ll_head_no").alias("_ll_heads"))
     along = Window.partitionBy(file_id).orderBy("_ll_block").rowsBetween(Window.unboundedPreceding, -1)
     owner = F.max(F.when(F.col("_ll_heads") > 0, F.struct("_ll_block", F.col("_ll_heads").alias("_ll_head_no")))).over(along)
-    carried = (
-        edges.withColumn("_ll_owner", owner)
-        .where("_ll_lead > 0 and _ll_owner is not null")
-        .groupBy(file_id, F.col("_ll_owner._ll_block").alias("_ll_block"), F.col("_ll_owner._ll_head_no").alias("_ll_head_no"))
-        .agg(F.sum("_ll_lead").alias("_ll_more"))
-    )
-    return (
-        groups.where("_ll_head_no > 0")
-        .join(carried, [file_id, "_ll_block", "_ll_head_no"], "left")
-        .select(file_id, "_ll_head.*", (F.col("n_lines") + F.coalesce("_ll_more", F.lit(0))).alias("n_lines"))
-    )
+    at = [F.col("_ll_owner._ll_block").alias("_ll_block"), F.col("_ll_owner._ll_head_no").alias("_ll_head_no")]
+    owned = edges.withColumn("_ll_owner", owner).where("_ll_lead > 0 and _ll_owner is not null")
+    more = [F.sum("_ll_lead").alias("_ll_more")]
+    if message:  # texts stay out of the window along a file
+        owned = owned.join(groups.where("_ll_head_no = 0").select(file_id, "_ll_block", "_ll_said"), [file_id, "_ll_block"])
+        in_order = F.array_sort(F.collect_list(F.struct("_ll_block", "_ll_said")))
+        more.append(F.flatten(F.transform(in_order, lambda x: x["_ll_said"])).alias("_ll_more_said"))
+    carried = owned.groupBy(file_id, *at).agg(*more)
+    n_lines = (F.col("n_lines") + F.coalesce("_ll_more", F.lit(0))).alias("n_lines")
+    whole = F.concat("_ll_said", F.coalesce("_ll_more_said", F.array().cast("array<string>"))) if message else None
+    text = [F.when(F.size(whole) > 0, F.array_join(whole, "\n")).alias("message")] if message else []
+    return groups.where("_ll_head_no > 0").join(carried, [file_id, "_ll_block", "_ll_head_no"], "left").select(file_id, "_ll_head.*", n_lines, *text)
 
 
 def complete(entries: DataFrame) -> DataFrame:

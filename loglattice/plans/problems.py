@@ -53,15 +53,16 @@ def p2_message_entries(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.first_copies(parsed, ["event_id"], "delivery_id", log_entries.PARSED)
 
 
-def p2_record_entries(spark: SparkSession, sf: str) -> DataFrame:
+def p2_record_entries(spark: SparkSession, sf: str, message: bool = False) -> DataFrame:
     """Entries of kept records: single ones, and those put together from numbered lines."""
     rows = source_identity(table(spark, sf, "source_records"))
-    parsed = log_entries.parse_records(rows, "raw_base64", "native_id", ["record_no", "source_id", "native_id"])
-    kept = dedup.first_copies(parsed, ["source_id", "native_id"], "record_no", [*log_entries.PARSED, "line_no", "has_bytes", "is_head"]).where("has_bytes")
+    said = ["message"] if message else []
+    parsed = log_entries.parse_records(rows, "raw_base64", "native_id", ["record_no", "source_id", "native_id"], message=message)
+    kept = dedup.first_copies(parsed, ["source_id", "native_id"], "record_no", [*log_entries.PARSED, "line_no", "has_bytes", "is_head", *said]).where("has_bytes")
     kept = written(kept, "entries")  # read by both branches: parsed once
-    single = kept.where("line_no is null").select("source_id", "record_no", *log_entries.PARSED)
+    single = kept.where("line_no is null").select("source_id", "record_no", *log_entries.PARSED, *said)
     lines = kept.where("line_no is not null")
-    return single.unionByName(log_entries.join_lines(lines, "source_id", ["native_id"], "record_no"))
+    return single.unionByName(log_entries.join_lines(lines, "source_id", ["native_id"], "record_no", message=message))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,9 +74,14 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Every delivered message with its fields and message text."""
+    """Every delivered message and every entry of the kept records, with its fields and message text; row_id as in p2_found."""
     rows = table(spark, sf, "cloudwatch_messages")
-    return log_entries.parse_messages(rows, "message", "event_timestamp_millis", ["delivery_id"], message=True)
+    messages = log_entries.parse_messages(rows, "message", "event_timestamp_millis", ["delivery_id"], message=True)
+    records = p2_record_entries(spark, sf, message=True)
+    fields = [*log_entries.PARSED, "message"]
+    return messages.select(F.lit("cloudwatch_messages").alias("origin"), F.col("delivery_id").alias("row_id"), *fields).unionByName(
+        records.select(F.lit("source_records").alias("origin"), F.col("record_no").alias("row_id"), *fields)
+    )
 
 
 def kept_events(spark: SparkSession, sf: str, carry: list[str]) -> DataFrame:

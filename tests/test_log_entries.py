@@ -1,4 +1,5 @@
 import base64
+import os
 
 import pytest
 
@@ -93,3 +94,31 @@ def test_empty_tables(spark):
     assert le.parse_messages(empty, "text", "near", ["id"], message=True).count() == 0
     parsed = le.parse_records(empty, "text", "native_id", ["id", "file", "native_id"])
     assert le.join_lines(parsed, "file", ["native_id"], "id").count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_message_of_joined_lines(spark, block):
+    head = "1673429683.497 err svc-a: checksum"
+    texts = ["early", head, "\tat x", None, "", "\x1b[31mb\x1b[0m", head + " two", head, *[f"deep {i}" for i in range(7)], None, "end"]
+    coded = [(i, "f", f"line-{i}", None if t is None else base64.b64encode(t.encode() + [b"\n", b"\r\n", b""][i % 3]).decode()) for i, t in enumerate(texts)]
+    coded += [(100, "g", "one", base64.b64encode(b"1673429683.497 err svc-a: alone\n  at y").decode()), (101, "g", "two", base64.b64encode(b"no head").decode())]
+    df = spark.createDataFrame(coded, "record_no long, file string, native_id string, raw string")
+    parsed = le.parse_records(df, "raw", "native_id", ["record_no", "file", "native_id"], message=True).where("has_bytes")
+    got = {r["record_no"]: r["message"] for r in le.join_lines(parsed.where("line_no is not null"), "file", ["native_id"], "record_no", block, message=True).collect()}
+    entries = {1: texts[1:6], 6: texts[6:7], 7: texts[7:]}
+    assert got == {i: ROUTER.parse("\n".join(t for t in ts if t is not None)).message for i, ts in entries.items()}
+    single = {r["record_no"]: r["message"] for r in parsed.where("line_no is null").collect()}
+    assert single == {100: ROUTER.parse("1673429683.497 err svc-a: alone\n  at y").message, 101: "no head"}
+
+
+def test_fields_cover_both_tables(spark):
+    from loglattice.plans import problems
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        pytest.skip("no test tables here")
+    rows = problems.p2_fields(spark, sf).collect()
+    found = {(r["origin"], r["row_id"]): r[2:6] for r in problems.p2_found(spark, sf).collect()}
+    fields = {(r["origin"], r["row_id"]): r for r in rows}
+    assert {k: fields[k][2:6] for k in found} == found
+    assert sum(r["message"] is not None for r in rows if r["origin"] == "source_records") > 0
