@@ -71,16 +71,18 @@ def prefix_within(rows: DataFrame, seq: str, cost: str, budget: int) -> DataFram
     return run.select(seq, "cost", (F.col("used") + F.col("cost")).alias("used")).where(F.col("used") <= budget)
 
 
-def correlation_edges(rows: DataFrame, key: str, lane: str, seq: str, most: int = 64) -> DataFrame:
-    """Edges between consecutive rows of a lane that share a key.
+def correlation_edges(rows: DataFrame, key: str, lane: str, seq: str) -> DataFrame:
+    """Edges between consecutive rows of a lane that share a key, for keys of any size.
 
-    A key on more than ``most`` rows correlates nothing and is left out, so
-    every window group is small; :func:`wide_keys` lists those keys.
+    Windows see at most ``BLOCK`` numbers of ``seq`` (unique); between these
+    blocks only the first and last row of each meet.
     """
-    narrow = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select(key)
-    ours = rows.select(key, lane, seq).join(narrow, key)
-    after = F.lead(seq).over(Window.partitionBy(key, lane).orderBy(seq))
-    return ours.select(key, lane, F.col(seq).alias("earlier"), after.alias("later")).where("later is not null")
+    ours = rows.where(F.col(key).isNotNull() & F.col(seq).isNotNull()).select(key, lane, seq, F.expr(f"{seq} div {BLOCK}").alias("_ll_bucket"))
+    after = F.lead(seq).over(Window.partitionBy(key, lane, "_ll_bucket").orderBy(seq))
+    inside = ours.select(key, lane, F.col(seq).alias("earlier"), after.alias("later"))
+    ends = ours.groupBy(key, lane, "_ll_bucket").agg(F.min(seq).alias("_ll_first"), F.max(seq).alias("earlier"))
+    across = ends.select(key, lane, "earlier", F.lead("_ll_first").over(Window.partitionBy(key, lane).orderBy("_ll_bucket")).alias("later"))
+    return inside.unionByName(across).where("later is not null")
 
 
 def wide_keys(rows: DataFrame, key: str, most: int = 64) -> DataFrame:

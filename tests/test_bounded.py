@@ -129,3 +129,15 @@ def test_focus_and_closure(spark):
 def test_lanes_of_nothing(spark):
     empty = spark.createDataFrame([], "lane string, seq long")
     assert lanes.strata(empty, "seq").count() == 0 and lanes.positions(empty, ["lane"], "seq").count() == 0
+
+
+def test_edges_of_wide_keys(spark):
+    random.seed(7)
+    rows = [("hot", random.choice(["a", "b", None]), i * 97) for i in range(500)] + [("few", "a", 5), ("few", "a", 100_000), (None, "a", 7), ("one", "a", 8)]
+    df = spark.createDataFrame(rows, "k string, lane string, seq long").repartition(5)
+    want = set()
+    for group in {r[:2] for r in rows if r[0]}:
+        seqs = sorted(r[2] for r in rows if r[:2] == group)
+        want |= {(*group, x, y) for x, y in itertools.pairwise(seqs)}
+    got = [tuple(r) for r in lanes.correlation_edges(df, "k", "lane", "seq").collect()]
+    assert len(got) == len(want) and set(got) == want
