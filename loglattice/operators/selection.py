@@ -1,8 +1,9 @@
 """Bounded choices at the end of a search: packing, tournaments, quotas, budgeted selection.
 
-All of these are sequential by nature and work on a candidate pool the search
+Most of these are sequential by nature and work on a candidate pool the search
 has bounded already (a few hundred cards, or ``MOST_PACKETS`` packets); a
-larger pool is refused, never cut.
+larger pool is refused, never cut. ``select_rows`` and ``quota_hybrid_paged``
+take pools of any size: each step asks the whole table for the next best.
 """
 
 from __future__ import annotations
@@ -118,6 +119,51 @@ def quota_hybrid(lanes: Sequence[tuple[Sequence[int], int]], costs: dict[int, in
     return sorted(taken)
 
 
+Page = Callable[[object, int], list[tuple[object, int, int]]]
+
+
+def _skip_pages(page: Page, after: object, budget: int, known: set[int]) -> dict[int, int]:
+    """Ids (with costs) taken in order, leaving out known ones and those that don't fit.
+
+    ``page(after, left)`` gives the next (place, id, cost) with a cost of at
+    most ``left`` in order, some of them or none at the end. What costs more than is
+    left never fits later, so passing over it changes nothing.
+    """
+    taken: dict[int, int] = {}
+    while rows := page(after, budget):
+        for after, i, cost in rows:
+            if i not in known and i not in taken and cost <= budget:
+                taken[i] = cost
+                budget -= cost
+    return taken
+
+
+def quota_hybrid_paged(page: Page, head: Sequence[tuple[object, int, int]], own: int, lanes: Sequence[tuple[Sequence[int], int]], costs: dict[int, int], budget: int) -> dict[int, int]:
+    """As quota_hybrid with a first lane of any length, read by pages; gives ids with costs in source order.
+
+    ``head`` is the beginning of that lane, of whatever cost, at least as long as
+    every other lane or the whole of it: there positions matter.
+    """
+    if head and len(head) < max((len(ids) for ids, _ in lanes), default=0) and page(head[-1][0], budget):
+        raise ValueError("the head of the first lane must be as long as the other lanes")
+    costs = dict(costs) | {i: cost for _, i, cost in head}
+    began = [i for _, i, _ in head]
+    first: dict[int, int] = {}
+    left = min(own, budget)
+    for i in began:
+        if i not in first and costs[i] <= left:
+            first[i] = costs[i]
+            left -= costs[i]
+    end = head[-1][0] if head else None
+    more = _skip_pages(page, end, left, set(first)) if head else {}
+    costs |= more
+    chosen = quota_hybrid([([*began, *more], own), *lanes], costs, budget)
+    out = {i: costs[i] for i in chosen}
+    if head:
+        out |= _skip_pages(page, end, budget - sum(out.values()), set(out))
+    return dict(sorted(out.items()))
+
+
 # --- budgeted selection ---
 
 
@@ -216,6 +262,42 @@ def select_packets(packets: Sequence[Packet], weights: dict[str, int], budget: i
     return sorted(p.id for p in [*base, *best_plan])
 
 
+def select_rows(packets: DataFrame, weights: Sequence[int], budget: int) -> dict[int, int]:
+    """As select_packets for a table of any size, without mandatory or coverage-only packets: chosen ids with their costs.
+
+    packets: id, cost, affinities (array of longs, one for each weight; 0 where
+    it has none); read once for each packet chosen, so pass it cut. Each round
+    is a distributed top-1. Gains per cost are compared exactly: as the quotient,
+    then the remainder's share in steps finer than two costs within the budget
+    can differ by.
+    """
+    fits = packets.where(F.col("cost").between(0, budget))
+    per = F.greatest(F.col("cost"), F.lit(1)).cast("long")
+    step = budget * budget + 1
+    best = [0] * len(weights)
+
+    def gains() -> Column:
+        parts = [F.greatest(F.col("affinities")[i] - F.lit(b).cast("long"), F.lit(0).cast("long")) * F.lit(w).cast("long") for i, (w, b) in enumerate(zip(weights, best))]
+        return sum(parts, F.lit(0).cast("long"))
+
+    def top(rows: DataFrame, *order: Column) -> dict | None:
+        found = rows.withColumn("gain", gains()).where("gain > 0").orderBy(*order, F.desc("gain"), F.asc("cost"), F.asc("id")).limit(1).collect()
+        return found[0].asDict() if found else None
+
+    single = top(fits)
+    room, chosen, total = budget, {}, 0
+    ratio = F.call_function("div", F.col("gain"), per), F.call_function("div", (F.col("gain") % per) * F.lit(step).cast("long"), per)
+    while row := top(fits.where((F.col("cost") <= room) & ~F.col("id").isin(list(chosen))), *[x.desc() for x in ratio]):
+        chosen[row["id"]] = row["cost"]
+        room -= row["cost"]
+        total += row["gain"]
+        best = [max(b, a) for b, a in zip(best, row["affinities"])]
+    if single is None:
+        return {}
+    plans = [(-total, budget - room, sorted(chosen)), (-single["gain"], single["cost"], [single["id"]])]
+    return {i: chosen.get(i, single["cost"]) for i in min(plans)[2]}
+
+
 def collected(pool: DataFrame, most: int) -> list[dict]:
     """A bounded pool on the driver; one that passes its bound is refused."""
     rows = pool.limit(most + 1).collect()

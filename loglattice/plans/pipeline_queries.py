@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from loglattice.operators import corpus, framing, lanes, selection
+from loglattice.operators import corpus, framing, lanes, ranking, selection
 from loglattice.plans import corpus_queries, ranking_queries, views
 from loglattice.plans.tables import table
+from loglattice.session import cut
 
 BUDGET = 4096
 
@@ -47,31 +48,40 @@ def tournament_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def selection_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents chosen to cover the question's terms within a byte budget; the pool is the best hundred by score."""
-    top = ranking_queries.bm25f_rank(spark, sf).select("doc_id")
-    rows = ranking_queries.bm25_affinity(spark, sf).join(F.broadcast(top), "doc_id")  # a hundred rows
-    sized = table(spark, sf, "documents").join(F.broadcast(top), "doc_id").select("doc_id", F.octet_length("text").alias("cost"))
-    costs = {r["doc_id"]: r["cost"] for r in selection.collected(sized, 100)}
-    packets: dict[int, selection.Packet] = {}
-    weights: dict[str, int] = {}
-    for r in selection.collected(rows, 100 * 128):
-        packets.setdefault(r["doc_id"], selection.Packet(r["doc_id"], costs[r["doc_id"]])).affinities[r["term"]] = r["affinity"]
-        weights[r["term"]] = r["weight"]
-    ids = selection.select_packets(list(packets.values()), weights, BUDGET)
-    return spark.createDataFrame([(i, costs[i]) for i in ids], "doc_id long, cost long")
+    """Documents chosen to cover the question's terms within a byte budget, out of all that hold any of them."""
+    rows = ranking_queries.bm25_affinity(spark, sf)
+    terms = ranking.query_tokens(ranking_queries.QUESTION)
+    of = [F.max(F.when(F.col("term") == t, F.col("affinity"))) for t in terms]
+    facets = rows.groupBy("doc_id").agg(F.array(*[F.coalesce(a, F.lit(0).cast("long")) for a in of]).alias("affinities"))
+    sized = table(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("cost"))
+    packets = cut(facets.join(sized.where(F.col("cost") <= BUDGET), "doc_id").select(F.col("doc_id").alias("id"), F.col("cost").cast("long").alias("cost"), "affinities"))
+    weights = {r["term"]: r["weight"] for r in rows.groupBy("term").agg(F.max("weight").alias("weight")).collect()}  # one row per term
+    chosen = selection.select_rows(packets, [weights.get(t, 0) for t in terms], BUDGET)
+    return spark.createDataFrame(sorted(chosen.items()), "doc_id long, cost long")
+
+
+PAGE_ROWS = 1000
 
 
 def quota_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    """Head, tail, best by question and evenly spaced documents under one byte budget."""
+    """Head, tail, all by question and evenly spaced documents under one byte budget."""
     docs = table(spark, sf, "documents").where("text is not null").select("doc_id", F.octet_length("text").alias("cost"))
     head = [r[0] for r in docs.orderBy("doc_id").limit(50).collect()]
     tail = [r[0] for r in docs.orderBy(F.desc("doc_id")).limit(50).collect()]
-    best = [r["doc_id"] for r in selection.collected(ranking_queries.query_feature_rank(spark, sf).orderBy("rank"), 100)]
     even = sorted(r["doc_id"] for r in selection.collected(lanes.midpoints(docs, "doc_id", 32), 64))
-    ids = sorted({*head, *tail, *best, *even})
-    costs = {r[0]: r[1] for r in docs.where(F.col("doc_id").isin(ids)).collect()}
-    chosen = selection.quota_hybrid([(best, 8000), (head, 4000), (tail, 4000), (even, 4000)], costs, 24_000)
-    return spark.createDataFrame([(i, costs[i]) for i in chosen], "doc_id long, cost long")
+    costs = {r[0]: r[1] for r in docs.where(F.col("doc_id").isin(sorted({*head, *tail, *even}))).collect()}
+    place = F.struct(*[(-F.col(c).cast("long")).alias(c) for c in ranking_queries.FEATURE_ORDER], F.col("doc_id"))
+    ranked = cut(ranking_queries.query_feature_hits(spark, sf).join(docs, "doc_id").select(place.alias("place"), "doc_id", "cost"))
+
+    def page(after: tuple | None, left: int, most: int = PAGE_ROWS) -> list:
+        rows = ranked.where(F.col("cost") <= left)
+        if after is not None:
+            rows = rows.where(F.col("place") > F.struct(*[F.lit(x).cast("long") for x in after]))
+        return [(tuple(r["place"]), r["doc_id"], r["cost"]) for r in rows.orderBy("place").limit(most).collect()]
+
+    first = page(None, 2**31, max(len(head), len(tail), len(even)))
+    chosen = selection.quota_hybrid_paged(page, first, 8000, [(head, 4000), (tail, 4000), (even, 4000)], costs, 24_000)
+    return spark.createDataFrame(list(chosen.items()), "doc_id long, cost long")
 
 
 QUERIES = {f.__name__: f for f in (exact_lines, framing_blocks, skip_packing, tournament_pack, selection_greedy, quota_hybrid)}

@@ -24,10 +24,15 @@ def bm25f_rank(spark: SparkSession, sf: str) -> DataFrame:
     return bounded(ranking.bm25f_scores(_docs(spark, sf), "doc_id", "text", QUESTION), [F.desc("score"), F.asc("doc_id")], 100)
 
 
+FEATURE_ORDER = ("full_match", "identifier_exact", "exact", "matched", "specificity")
+
+
+def query_feature_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.query_features(_docs(spark, sf), "doc_id", "text", QUESTION)
+
+
 def query_feature_rank(spark: SparkSession, sf: str) -> DataFrame:
-    features = ranking.query_features(_docs(spark, sf), "doc_id", "text", QUESTION)
-    order = [F.desc(c) for c in ("full_match", "identifier_exact", "exact", "matched", "specificity")]
-    return bounded(features, [*order, F.asc("doc_id")], 100)
+    return bounded(query_feature_hits(spark, sf), [*[F.desc(c) for c in FEATURE_ORDER], F.asc("doc_id")], 100)
 
 
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:

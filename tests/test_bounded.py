@@ -141,3 +141,36 @@ def test_edges_of_wide_keys(spark):
         want |= {(*group, x, y) for x, y in itertools.pairwise(seqs)}
     got = [tuple(r) for r in lanes.correlation_edges(df, "k", "lane", "seq").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_selection_of_rows_is_that_of_packets(spark):
+    random.seed(8)
+    for budget in (3, 9, 200):
+        packets = [selection.Packet(i, random.randint(0, 8), {f: random.randint(1, 6) for f in random.sample("abcd", random.randint(0, 3))}) for i in range(60)]
+        weights = dict(zip("abcd", (random.randint(1, 9) for _ in range(4))))
+        df = spark.createDataFrame([(p.id, p.cost, [p.affinities.get(f, 0) for f in "abcd"]) for p in packets], "id long, cost long, affinities array<bigint>").repartition(3)
+        got = selection.select_rows(df, list(weights.values()), budget)
+        assert sorted(got) == selection.select_packets(packets, weights, budget)
+        assert all(packets[i].cost == c for i, c in got.items())
+    assert selection.select_rows(df.limit(0), [1, 1, 1, 1], 5) == {}
+    # one large packet worth more than all the greedy choice, and more than a pool of a hundred before it
+    big = [(i, 1, [10]) for i in range(150)] + [(999, 10, [99])]
+    df = spark.createDataFrame(big, "id long, cost long, affinities array<bigint>")
+    assert selection.select_rows(df, [1], 10) == {999: 10}
+
+
+def test_quota_by_pages_is_that_of_the_whole_lane():
+    random.seed(9)
+    for _ in range(200):
+        costs = {i: random.choice([0, 1, 2, 3, 5, 9, 30]) for i in range(120)}
+        ranked = random.sample(range(120), random.choice([0, 4, 119]))
+        others = [(random.sample(range(120), 6), random.randint(0, 20)) for _ in range(3)]
+        own, budget = random.randint(0, 60), random.randint(60, 200)
+        lane = [(at, i, costs[i]) for at, i in enumerate(ranked)]
+
+        def page(after, left, lane=lane):
+            return [x for x in lane if (after is None or x[0] > after) and x[2] <= left][:3]
+
+        want = selection.quota_hybrid([(ranked, own), *others], costs, budget)
+        got = selection.quota_hybrid_paged(page, lane[:6], own, others, costs, budget)
+        assert list(got) == want and all(costs[i] == c for i, c in got.items())
