@@ -1,12 +1,14 @@
 """Framing, bounded selection, evaluation: small cases against brute force."""
 
 import itertools
+import os
 import random
 
 import pytest
 
 from loglattice.operators import framing, incident, lanes, ranking, selection
 
+SMALL = "/root/testdata/sf0.001"
 BLOCKS = {
     "python": ["Traceback (most recent call last):", '  File "/a.py", line 1, in x', "    y()", "ValueError: bad", "", "The above exception was the direct cause of the following exception:", "", "Traceback (most recent call last):", '  File "/b.py"', "KeyError: 1"],
     "jvm_dotnet": ["io.x.BadException: no", "\tat io.x.Y(Z.java:1)", "Caused by: io.x.E", "\t... 3 more"],
@@ -174,3 +176,19 @@ def test_quota_by_pages_is_that_of_the_whole_lane():
         want = selection.quota_hybrid([(ranked, own), *others], costs, budget)
         got = selection.quota_hybrid_paged(page, lane[:6], own, others, costs, budget)
         assert list(got) == want and all(costs[i] == c for i, c in got.items())
+
+
+def test_neighbours_of_every_anchor(spark):
+    from loglattice.plans import ranking_queries
+
+    if not os.path.exists(SMALL):
+        pytest.skip("no test tables here")
+    lanes_of: dict[str, list[int]] = {}
+    for stream, i in ranking_queries._lane_rows(spark, SMALL).select("log_stream", "delivery_id").collect():
+        lanes_of.setdefault(stream, []).append(i)
+    want = set()
+    for stream, ids in lanes_of.items():
+        ids.sort()
+        want |= {(stream, a, b) for at, a in enumerate(ids) if a % 20 == 0 for b in ids[max(0, at - 2) : at + 3]}
+    got = [tuple(r) for r in ranking_queries.neighbours_in_lane(spark, SMALL).collect()]
+    assert len(got) == len(want) and set(got) == want
