@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loglattice.operators import framing, incident, lanes, ranking, selection
 
@@ -192,3 +193,30 @@ def test_neighbours_of_every_anchor(spark):
         want |= {(stream, a, b) for at, a in enumerate(ids) if a % 20 == 0 for b in ids[max(0, at - 2) : at + 3]}
     got = [tuple(r) for r in ranking_queries.neighbours_in_lane(spark, SMALL).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_fusion_of_whole_rankings(spark, monkeypatch):
+    random.seed(10)
+    monkeypatch.setattr(ranking, "RANK_BLOCK", 16)
+    rows = [(i, random.randint(0, 3), random.choice([False, True]), random.randint(0, 900)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a long, b boolean, s long").repartition(4)
+    by_s = {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (-r[3], r[0])), 1)}
+    by_ab = {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (-r[1], not r[2], r[0])), 1)}
+    lists = [ranking.full_ranks(df, "id", ["s"], F.col("s")), ranking.full_ranks(df, "id", ["a", "b"], F.col("a"))]
+    assert [{r["id"]: r["rank"] for r in x.collect()} for x in lists] == [by_s, by_ab]
+    assert ranking.full_ranks(df.limit(0), "id", ["s"], F.col("s")).count() == 0
+
+
+def test_rrf_counts_ranks_beyond_the_first_hundred(spark, monkeypatch):
+    from loglattice.plans import ranking_queries as rq
+
+    n = 150
+    scores = spark.createDataFrame([(i, 1000 - i, 1) for i in range(n)], "doc_id long, score long, matched long")
+    features = spark.createDataFrame([(i, False, 0, 0, 1, i) for i in range(n)], "doc_id long, full_match boolean, identifier_exact long, exact long, matched long, specificity long")
+    monkeypatch.setattr(ranking, "bm25f_scores", lambda *a: scores)
+    monkeypatch.setattr(ranking, "query_features", lambda *a: features)
+    monkeypatch.setattr(rq, "_docs", lambda *a: None)
+    fused = {i: 1_000_000 // (61 + i) + 1_000_000 // (60 + n - i) for i in range(n)}
+    want = sorted(fused.items(), key=lambda x: (-x[1], x[0]))[:100]
+    got = rq.rrf_fuse(spark, "").orderBy("rank").collect()
+    assert [(r["doc_id"], r["score"]) for r in got] == want and all(r["truncated"] for r in got)
