@@ -166,7 +166,7 @@ def feedback_standing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shadow_bonus(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").where("event_type in ('error', 'purchase') and event_id % 7 < 2")
+    rows = table(spark, sf, "events").where("event_type in ('error', 'purchase')")
     labels = rows.select(F.col("event_id").cast("string").alias("native_id"), (F.col("event_id") % 60).alias("case_id"), F.when(F.col("event_id") % 31 == 0, -1).otherwise(1).alias("label"))
     terms = labels.select("case_id").distinct().select("case_id", F.when(F.col("case_id") % 2 == 0, "purchase").otherwise("other").alias("term"))
     return corpus.shadow_bonus(labels, group_members(spark, sf), terms, TASK, most_rows=1_000_000)

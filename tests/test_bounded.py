@@ -220,3 +220,16 @@ def test_rrf_counts_ranks_beyond_the_first_hundred(spark, monkeypatch):
     want = sorted(fused.items(), key=lambda x: (-x[1], x[0]))[:100]
     got = rq.rrf_fuse(spark, "").orderBy("rank").collect()
     assert [(r["doc_id"], r["score"]) for r in got] == want and all(r["truncated"] for r in got)
+
+
+def test_every_error_and_purchase_is_a_label(spark, monkeypatch):
+    from loglattice.plans import corpus_queries
+
+    if not os.path.exists(SMALL):
+        pytest.skip("no test tables here")
+    seen = []
+    monkeypatch.setattr(corpus_queries.corpus, "shadow_bonus", lambda labels, *a, **k: seen.append(labels) or labels)
+    corpus_queries.shadow_bonus(spark, SMALL)
+    events = spark.read.parquet(f"{SMALL}/events.parquet").where("event_type in ('error', 'purchase')")
+    want = {(str(r[0]), r[0] % 60, 1 if r[0] % 31 else -1) for r in events.select("event_id").collect()}
+    assert {tuple(r) for r in seen[0].select("native_id", "case_id", "label").collect()} == want
