@@ -1,13 +1,15 @@
 """Per-document text statistics and a verdict whether a text is natural prose.
 
 Structure first: neighbouring lines whose delimiters stand in the same number
-or in the same columns make a table; markers, periodic indentation and short
-units make a list; lines a log layout begins (and what goes on from them) are
+or in the same columns make a table; markers and short units make a list;
+lines a log layout begins (and what goes on from them) are
 log output. What is left is read as paragraphs, and a paragraph is running
 text if its units (sentences, or lines where none are marked) are long enough,
 if common words are neither missing nor nearly everything, and if its words
 are made of letters. A text is natural prose if at least ``PROSE_SHARE`` of
 its characters, white space at line ends aside, belong to such paragraphs.
+Indentation period and line-length autocorrelation are reported beside it and
+take no part in the verdict.
 
 Cases: a null text has null statistics and a null verdict; an empty or blank
 one has zeros and a null verdict, as it isn't a case. Very long texts are read
