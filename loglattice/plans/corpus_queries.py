@@ -315,7 +315,7 @@ SELECT *, n_positive >= 3 AND n_negative = 0 AND group_id NOT IN (SELECT group_i
     "shadow_bonus": f"""WITH {views.GROUPS_SQL},
 hit AS (
   SELECT DISTINCT group_id, native_id::BIGINT % 60 AS case_id, CASE WHEN native_id::BIGINT % 31 = 0 THEN -1 ELSE 1 END AS label
-  FROM members JOIN groups USING (service, role, fingerprint) WHERE event_type IN ('error', 'purchase') AND native_id::BIGINT % 7 < 2 AND native_id::BIGINT % 60 % 2 = 0)
+  FROM members JOIN groups USING (service, role, fingerprint) WHERE event_type IN ('error', 'purchase') AND native_id::BIGINT % 60 % 2 = 0)
 SELECT group_id, least(count(DISTINCT case_id) FILTER (label = 1), 4) AS bonus FROM hit GROUP BY 1
 HAVING count(DISTINCT case_id) FILTER (label = 1) >= 2 AND count(*) FILTER (label = -1) = 0""",
 }

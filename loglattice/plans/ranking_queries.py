@@ -182,7 +182,9 @@ SQL = {
     "bm25f_rank": f"WITH {_BM25F} SELECT doc_id, score, matched, rank, truncated FROM bm25f",
     "query_feature_rank": f"WITH {_FEATURE_RANK} SELECT * FROM featured",
     "rrf_fuse": f"""WITH {_BM25F}, {_FEATURE_RANK},
-fused AS (SELECT doc_id, sum(1000000 // (rank + 60))::BIGINT AS score FROM (SELECT doc_id, rank FROM bm25f UNION ALL SELECT doc_id, rank FROM featured) GROUP BY 1)
+r1 AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scores),
+r2 AS (SELECT doc_id, row_number() OVER (ORDER BY full_match DESC, identifier_exact DESC, exact DESC, matched DESC, specificity DESC, doc_id) AS rank FROM some_match),
+fused AS (SELECT doc_id, sum(1000000 // (rank + 60))::BIGINT AS score FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY 1)
 SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, (SELECT count(*) FROM fused) > 100 AS truncated FROM fused QUALIFY rank <= 100""",
     "lane_boundaries": f"""WITH {_MARKED},
 a AS (SELECT log_stream, min(delivery_id) AS head, max(delivery_id) AS tail, min(delivery_id) FILTER (f) AS first_failure, min(delivery_id) FILTER (o) AS first_onset, count(*) FILTER (f) AS n_failures FROM m GROUP BY 1)
@@ -196,10 +198,10 @@ SELECT role, position, group_id FROM p WHERE position IN (SELECT CASE WHEN n = 1
     "raw_prefix_budget": """SELECT delivery_id, n AS cost, used FROM (
   SELECT delivery_id, octet_length(encode(coalesce(message, '')))::BIGINT AS n, sum(octet_length(encode(coalesce(message, '')))) OVER (ORDER BY delivery_id)::BIGINT AS used FROM cloudwatch_messages) WHERE used <= 1000000""",
     "provider_correlation_edges": """SELECT * FROM (SELECT user_id, event_type, event_id AS earlier, lead(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS later
-  FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) <= 64)) WHERE later IS NOT NULL""",
+  FROM events WHERE user_id IS NOT NULL) WHERE later IS NOT NULL""",
     "wide_correlation_keys": "SELECT user_id, count(*) AS n_rows FROM events GROUP BY 1 HAVING count(*) > 64",
     "neighbours_in_lane": """WITH p AS (SELECT log_stream, delivery_id, row_number() OVER (PARTITION BY log_stream ORDER BY delivery_id) AS position FROM cloudwatch_messages)
-SELECT a.log_stream, a.delivery_id AS anchor, p.delivery_id FROM p a JOIN p ON p.log_stream = a.log_stream AND p.position BETWEEN a.position - 2 AND a.position + 2 WHERE a.delivery_id % 1000 = 17""",
+SELECT a.log_stream, a.delivery_id AS anchor, p.delivery_id FROM p a JOIN p ON p.log_stream = a.log_stream AND p.position BETWEEN a.position - 2 AND a.position + 2 WHERE a.delivery_id % 20 = 0""",
     "facet_coverage": f"""WITH {_BM25}, top AS (SELECT term AS facet_id, max(weight) AS weight, list_sum(list(affinity ORDER BY affinity DESC)[1:2])::BIGINT AS coverage FROM aff GROUP BY 1)
 SELECT *, weight * coverage AS gain FROM top""",
     "recall_weighted": """WITH r AS (SELECT l_orderkey AS case_id, l_returnflag, sum(l_tax) AS weight, list(DISTINCT l_partkey) AS need FROM lineitem GROUP BY 1, 2),
