@@ -4,9 +4,10 @@ Forced-boundary splitting: a pair of bytes that stands inside no vocabulary
 token can never be joined by a merge, so between such bytes a cut is certain.
 Of these the ones are used at which the pre-split pattern begins anew as well:
 a printable ASCII character before ASCII white space, and two ASCII letters.
-Texts are cut there about every ``FRAGMENT`` characters, fragments are encoded
-independently and their ids concatenated; the ids equal those of the whole
-text, whatever its length.
+Every text is cut at all of them, every fragment is encoded on its own, and
+the ids are concatenated; they equal those of the whole text. Fragments repeat
+(they are mostly words), so each worker encodes a distinct fragment once and
+looks it up from then on; the store of fragments is bounded.
 
 Cases: null and empty texts have an empty list, never null. Strings that look
 like special tokens are ordinary text. A text without any certain cut is one
@@ -20,14 +21,16 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-FRAGMENT = 2048  # characters; fragments end at the first certain cut after as many
+#: Fragments held by a worker; full, it starts anew. Longer fragments than LONGEST aren't held. Neither changes any id.
+HELD, LONGEST = 1 << 18, 256
+SPACES = " \n\t\r"
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TOKENIZERS = os.environ.get("LOGLATTICE_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: the pre-split pattern of this public tokenizer family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,68 +50,66 @@ def inner_pairs(ranks: dict[bytes, int]) -> set[tuple[int, int]]:
     return {pair for token in ranks for pair in zip(token, token[1:])}
 
 
-def certain_cut(pairs: set[tuple[int, int]]) -> re.Pattern:
-    """Matches (without width) where a text may be cut."""
+def before_space(pairs: set[tuple[int, int]]) -> str:
+    """Printable ASCII characters after which any ASCII white space begins a new fragment."""
+    return "".join(chr(b) for b in range(0x21, 0x7F) if all((b, ord(s)) not in pairs for s in SPACES))
+
+
+def between_spaces(certain: str) -> re.Pattern:
+    """Matches the fragments of a text, cut before all white space that follows one of the ``certain`` characters."""
+    inside = f"[^{SPACES}]"
+    unsure = f"[^{SPACES}{re.escape(certain)}]"
+    return re.compile(rf"[{SPACES}]*(?:{inside}*{unsure}[{SPACES}]+)*{inside}*")
+
+
+def between_letters(pairs: set[tuple[int, int]]) -> re.Pattern:
+    """Matches (without width) between letters that no token holds side by side."""
     places = []
-    for space in " \n\t\r":
-        before = "".join(re.escape(chr(b)) for b in range(0x21, 0x7F) if (b, ord(space)) not in pairs)
-        if before:
-            places.append(f"(?<=[{before}])(?={re.escape(space)})")
-    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    for a in letters:
-        after = "".join(b for b in letters if (ord(a), ord(b)) not in pairs)
+    for a in LETTERS:
+        after = "".join(b for b in LETTERS if (ord(a), ord(b)) not in pairs)
         if after:
             places.append(f"(?<={a})(?=[{after}])")
     return re.compile("|".join(places)) if places else re.compile(r"(?!)")
 
 
-class Encoder:
-    """Encodes by certain cuts; built from the raw rank file."""
+class Encoder(dict):
+    """Encodes by certain cuts, built from the raw rank file. Maps fragments to the bytes of their ids (32 bits, little end first)."""
 
-    def __init__(self, raw: bytes, fragment: int = FRAGMENT):
+    def __init__(self, raw: bytes, held: int = HELD):
+        super().__init__()
         ranks = parse_ranks(raw)
-        self.fragment = fragment
-        self.cut = certain_cut(inner_pairs(ranks))
+        pairs = inner_pairs(ranks)
+        self.held = held
+        self.words, self.letters = between_spaces(before_space(pairs)), between_letters(pairs)
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def fragments(self, text: str) -> Iterator[str]:
-        start, n = 0, len(text)
-        while n - start > self.fragment:
-            m = self.cut.search(text, start + self.fragment)
-            if m is None:
-                break
-            yield text[start : m.start()]
-            start = m.start()
-        yield text[start:]
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        parts = [self.encoding.encode_to_numpy(x, disallowed_special=()) for x in self.fragments(text)]
-        return (parts[0] if len(parts) == 1 else np.concatenate(parts)).astype(np.int32)
-
-
-@lru_cache(maxsize=4)
-def _encoder(digest: bytes, holder: _Raw, fragment: int) -> Encoder:
-    return Encoder(holder.raw, fragment)
-
+        """All fragments of a text, at every certain cut."""
+        for word in self.words.findall(text):
+            if word:
+                yield from self.letters.split(word)
 
-class _Raw:
-    """Rank file for the cache's key: equal to any other, as the digest tells files apart."""
+    def __missing__(self, word: str) -> bytes:
+        ids = b"".join([np.asarray(self.encoding.encode_ordinary(f), "<i4").tobytes() for f in self.letters.split(word)])
+        if len(word) <= LONGEST:
+            if len(self) >= self.held:
+                self.clear()
+            self[word] = ids
+        return ids
 
-    def __init__(self, raw: bytes):
-        self.raw = raw
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, self.words.findall(text))) if text else b""
 
-    def __hash__(self):
-        return 0
 
-    def __eq__(self, other):
-        return isinstance(other, _Raw)
+_ENCODERS: dict[bytes, Encoder] = {}
 
 
-def encoder_of(raw: bytes, fragment: int = FRAGMENT) -> Encoder:
+def encoder_of(raw: bytes) -> Encoder:
     """The process's encoder for a rank file; built once per worker process."""
-    return _encoder(hashlib.sha256(raw).digest(), _Raw(raw), fragment)
+    digest = hashlib.sha256(raw).digest()
+    if digest not in _ENCODERS:
+        _ENCODERS[digest] = Encoder(raw)
+    return _ENCODERS[digest]
 
 
 def _map_texts(rows: DataFrame, text: str, keep: list[str], raw: bytes, column: str, kind: str, build):
@@ -126,15 +127,14 @@ def _map_texts(rows: DataFrame, text: str, keep: list[str], raw: bytes, column:
     return source.mapInArrow(run, ddl)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
+def _lists(parts: list[bytes]) -> pa.Array:
     offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+    np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
 
 
-def _sizes(parts: list[np.ndarray]) -> pa.Array:
-    return pa.array([len(p) for p in parts], pa.int64())
+def _sizes(parts: list[bytes]) -> pa.Array:
+    return pa.array([len(p) // 4 for p in parts], pa.int64())
 
 
 def encode(rows: DataFrame, text: str, keep: list[str], raw: bytes | None = None) -> DataFrame:
