@@ -62,14 +62,15 @@ def between_spaces(certain: str) -> re.Pattern:
     return re.compile(rf"[{SPACES}]*(?:{inside}*{unsure}[{SPACES}]+)*{inside}*")
 
 
-def between_letters(pairs: set[tuple[int, int]]) -> re.Pattern:
-    """Matches (without width) between letters that no token holds side by side."""
-    places = []
+def between_letters(pairs: set[tuple[int, int]]) -> tuple[re.Pattern, re.Pattern]:
+    """Two letters that no token holds side by side: matched with both (quick to search), and without width between them."""
+    both, between = [], []
     for a in LETTERS:
         after = "".join(b for b in LETTERS if (ord(a), ord(b)) not in pairs)
         if after:
-            places.append(f"(?<={a})(?=[{after}])")
-    return re.compile("|".join(places)) if places else re.compile(r"(?!)")
+            both.append(f"{a}[{after}]")
+            between.append(f"(?<={a})(?=[{after}])")
+    return re.compile("|".join(both) or r"(?!)"), re.compile("|".join(between) or r"(?!)")
 
 
 class Encoder(dict):
@@ -80,7 +81,7 @@ class Encoder(dict):
         ranks = parse_ranks(raw)
         pairs = inner_pairs(ranks)
         self.held = held
-        self.words, self.letters = between_spaces(before_space(pairs)), between_letters(pairs)
+        self.words, (self.apart, self.letters) = between_spaces(before_space(pairs)), between_letters(pairs)
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def fragments(self, text: str) -> Iterator[str]:
@@ -90,7 +91,8 @@ class Encoder(dict):
                 yield from self.letters.split(word)
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join([np.asarray(self.encoding.encode_ordinary(f), "<i4").tobytes() for f in self.letters.split(word)])
+        parts = self.letters.split(word) if self.apart.search(word) else [word]
+        ids = b"".join([np.array(self.encoding.encode_ordinary(f), "<i4").tobytes() for f in parts])
         if len(word) <= LONGEST:
             if len(self) >= self.held:
                 self.clear()
