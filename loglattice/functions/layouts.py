@@ -1,9 +1,10 @@
 """Layouts of log entries: literal routing, then anchored expressions.
 
 An Aho-Corasick automaton over the layouts' anchor literals runs once over the
-head of an entry and retrieves the layouts that can apply; their anchored
-expressions verify and extract time, level, component and message. Plain
-Python without Spark, so that it can run inside any Arrow batch function.
+first line of an entry, and where no layout found there applies over the whole
+entry, and retrieves the layouts that can apply; their anchored expressions
+verify and extract time, level, component and message. Plain Python without
+Spark, so that it can run inside any Arrow batch function.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from functools import lru_cache
 
 import ahocorasick
 
-HEAD_CHARS = 240  # anchors lie within these; extraction reads whole entries
 DAY_MS = 86_400_000
 
 # Spellings of levels.
@@ -300,6 +300,17 @@ def _json(m, text, near):
     return entry
 
 
+_DECODER = json.JSONDecoder()
+
+
+def json_end(text: str) -> int:
+    """Where the JSON object a text begins with ends; 0 if it isn't complete."""
+    try:
+        return _DECODER.raw_decode(text)[1] if text.startswith("{") else 0
+    except (ValueError, RecursionError):
+        return 0
+
+
 LAYOUTS = (
     # name, anchor literals (any of them), anchored expression, extraction
     ("json", ("{",), r"\{", _json),
@@ -335,25 +346,38 @@ class Router:
             self.machine.add_word(literal, bits)
         self.machine.make_automaton()
         self.all = [(re.compile(expression, re.S), read) for _, _, expression, read in LAYOUTS]
+        self.every = (1 << len(LAYOUTS)) - 1
         self.sets: dict[int, list] = {}
 
     def parse(self, text: str, near_ms: int | None = None) -> Entry | None:
         """The entry's fields, or None where no layout's head begins the text. Colour codes are ignored."""
         if "\x1b" in text:
             text = ANSI.sub("", text)
-        bits = 0
-        for _, found in self.machine.iter(text, 0, min(len(text), HEAD_CHARS)):
+        end = text.find("\n")
+        whole = len(text)
+        entry, bits = self._among(text, 0, end if end >= 0 else whole, 0, near_ms)
+        if entry is None and end >= 0:
+            entry, _ = self._among(text, end, whole, bits, near_ms)
+        return entry
+
+    def _among(self, text: str, start: int, end: int, known: int, near_ms: int | None) -> tuple[Entry | None, int]:
+        """The entry by one of the layouts whose anchors stand in a part of the text, the ones ``known`` before aside; and all anchors so far."""
+        bits = known
+        for _, found in self.machine.iter(text, start, end):
             bits |= found
-        candidates = self.sets.get(bits)
+            if bits == self.every:
+                break
+        new = bits & ~known
+        candidates = self.sets.get(new)
         if candidates is None:
-            candidates = self.sets[bits] = [x for i, x in enumerate(self.all) if bits >> i & 1]
+            candidates = self.sets[new] = [x for i, x in enumerate(self.all) if new >> i & 1]
         for expression, read in candidates:
             m = expression.match(text)
             if m:
                 entry = read(m, text, near_ms)
                 if entry is not None:
-                    return entry
-        return None
+                    return entry, bits
+        return None, bits
 
 
 def line_count(text: str) -> int:

@@ -17,8 +17,9 @@ Cases: a null or empty text is no entry. Null bytes of a numbered line make it
 no line at all; empty bytes make it a blank line. Lines before a file's first
 head belong to no entry. Undecodable base64 counts as null. Bytes that aren't
 UTF-8 are replaced by U+FFFD. A text whose head is cut off keeps what it does
-state and null for the rest. JSON spread over several numbered lines isn't put
-together: its first line is a head without fields. Extra columns are ignored.
+state and null for the rest. A JSON object over several numbered lines, begun
+at a line's start, is put together and is an entry if it states a time or a
+level; else its lines stay what they are on their own. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from loglattice.functions.layouts import ANSI, Entry, Router, line_count
+from loglattice.functions.layouts import ANSI, Entry, Router, json_end, line_count
 
 BLOCK = 4096
 PARSED = ["ts_millis", "level", "component", "n_lines"]
@@ -88,19 +89,19 @@ def parse_messages(rows: DataFrame, text: str, near_ms: str | None, keep: list[s
 
 
 def parse_records(rows: DataFrame, raw_base64: str, native_id: str, keep: list[str], message: bool = False) -> DataFrame:
-    """As parse_messages for base64 records; adds line_no (null if the native id isn't ``line-<number>``), has_bytes and is_head.
+    """As parse_messages for base64 records; adds line_no (null if the native id isn't ``line-<number>``), has_bytes, is_head and is_open (the line begins a JSON object and doesn't end it).
 
     The message of a numbered line is without its line end and colour codes:
     what a head says after its fields, or the whole of any other line.
     """
     source = rows.select(*keep, F.col(raw_base64).alias("_ll_raw"), F.col(native_id).alias("_ll_native"))
     fields = [f for f in source.schema.fields if f.name in keep]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + _PARSED_DDL + ", line_no long, has_bytes boolean, is_head boolean" + ", message string" * message
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + _PARSED_DDL + ", line_no long, has_bytes boolean, is_head boolean, is_open boolean" + ", message string" * message
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router = Router()
         for batch in batches:
-            ts, level, component, lines, numbers, have, heads, said = [], [], [], [], [], [], [], []
+            ts, level, component, lines, numbers, have, heads, opens, said = [], [], [], [], [], [], [], [], []
             for coded, native in zip(batch.column("_ll_raw").to_pylist(), batch.column("_ll_native").to_pylist()):
                 raw = decode_base64(coded)
                 number = _LINE_ID.match(native) if native else None
@@ -113,11 +114,12 @@ def parse_records(rows: DataFrame, raw_base64: str, native_id: str, keep: list[s
                 numbers.append(int(number[1]) if number else None)
                 have.append(raw is not None)
                 heads.append(entry is not None)
+                opens.append(number is not None and text.startswith("{") and not json_end(text))
                 if message:
                     said.append(_record_message(entry, text, number is not None) if raw is not None else None)
             columns = [batch.column(f.name) for f in fields]
-            columns += [pa.array(ts, pa.int64()), pa.array(level, pa.string()), pa.array(component, pa.string()), pa.array(lines, pa.int64()), pa.array(numbers, pa.int64()), pa.array(have, pa.bool_()), pa.array(heads, pa.bool_())]
-            names = [f.name for f in fields] + [*PARSED, "line_no", "has_bytes", "is_head"]
+            columns += [pa.array(ts, pa.int64()), pa.array(level, pa.string()), pa.array(component, pa.string()), pa.array(lines, pa.int64()), pa.array(numbers, pa.int64()), pa.array(have, pa.bool_()), pa.array(heads, pa.bool_()), pa.array(opens, pa.bool_())]
+            names = [f.name for f in fields] + [*PARSED, "line_no", "has_bytes", "is_head", "is_open"]
             if message:
                 columns.append(pa.array(said, pa.string()))
                 names.append("message")
@@ -167,6 +169,41 @@ def join_lines(lines: DataFrame, file_id: str, order: list[str], row_id: str, bl
     return groups.where("_ll_head_no > 0").join(carried, [file_id, "_ll_block", "_ll_head_no"], "left").select(file_id, "_ll_head.*", n_lines, *text)
 
 
+def decoded_lines(rows: DataFrame, raw_base64: str, row_id: str) -> DataFrame:
+    """row_id and ``message``: each record's text without its line end."""
+    raw = F.unbase64(F.translate(F.regexp_replace(raw_base64, "[^A-Za-z0-9+/_-]", ""), "-_", "+/"))
+    return rows.select(row_id, F.regexp_replace(F.make_valid_utf8(raw.cast("string")), r"\r?\n\z", "").alias("message"))
+
+
+def put_json_together(lines: DataFrame, rows: DataFrame, raw_base64: str, file_id: str, order: list[str], row_id: str, message: bool = False, block: int = BLOCK) -> DataFrame:
+    """Lines whose JSON goes on over the lines after them get its fields and become heads.
+
+    Only files that hold such a line are read again, with their texts; each
+    object is then put together in one row.
+    """
+    opened = lines.where("is_open")
+    if opened.limit(1).count() == 0:
+        return lines
+    theirs = lines.join(opened.select(file_id).distinct(), file_id, "left_semi").select(file_id, row_id, "line_no", *order, *PARSED, (F.col("is_head") | F.col("is_open")).alias("is_head"))
+    texts = decoded_lines(rows.join(theirs.select(row_id), row_id, "left_semi"), raw_base64, row_id)
+    entries = join_lines(theirs.join(texts, row_id), file_id, order, row_id, block, message=True).join(opened.select(row_id), row_id, "left_semi")
+    whole = entries.select(row_id, F.col("message").alias("_ll_text"))
+    ddl = f"`{row_id}` {dict(whole.dtypes)[row_id]}, ts_millis long, level string, component string, message string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router = Router()
+        for batch in batches:
+            found = [router.parse(t[:end]) if t and (end := json_end(t)) else None for t in batch.column("_ll_text").to_pylist()]
+            found = [e if e is not None and (e.ts_ms is not None or e.level is not None) else None for e in found]
+            columns = [pa.array([e and getattr(e, c) for e in found], t) for c, t in (("ts_ms", pa.int64()), ("level", pa.string()), ("component", pa.string()), ("message", pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(row_id), *columns], names=[row_id, "ts_millis", "level", "component", "message"]).filter(pa.array([e is not None for e in found], pa.bool_()))
+
+    fields = ["ts_millis", "level", "component", *(["message"] if message else [])]
+    made = whole.mapInArrow(run, ddl).select(row_id, F.struct(*fields).alias("_ll_made"))
+    has = F.col("_ll_made").isNotNull()
+    return lines.join(made, row_id, "left").withColumns({**{c: F.when(has, F.col(f"_ll_made.{c}")).otherwise(F.col(c)) for c in fields}, "is_head": has | F.col("is_head")}).drop("_ll_made")
+
+
 def complete(entries: DataFrame) -> DataFrame:
     """Entries that state a time, a level and a component."""
     return entries.where("ts_millis is not null and level is not null and component is not null")

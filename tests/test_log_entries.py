@@ -47,6 +47,14 @@ def test_what_states_less():
     assert ROUTER.parse('ts=2023-01-09T09:13:00Z msg="2022-01-01T00:00:00Z level=error"').level is None
 
 
+@pytest.mark.parametrize("n", [10, 250, 5000])
+def test_anchors_anywhere_in_the_head(n):
+    name = "s" * n
+    for text in (f"2023-01-09T11:31:02.583Z INFO [{name}] hello", f"2023-01-09 11:31:02.583 INFO {name}: hello", f"2023-01-09T11:31:02.583Z  INFO 1 --- [main] {name} : hello"):
+        e = ROUTER.parse(text)
+        assert (e.level, e.component, e.message) == ("INFO", name, "hello")
+
+
 def test_decode():
     for text in (b"any \xff bytes", b"", b"x" * 1000):
         std, url = base64.b64encode(text).decode(), base64.urlsafe_b64encode(text).decode()
@@ -111,6 +119,26 @@ def test_message_of_joined_lines(spark, block):
     assert single == {100: ROUTER.parse("1673429683.497 err svc-a: alone\n  at y").message, 101: "no head"}
 
 
+@pytest.mark.parametrize("block", [1, 3, 4096])
+@pytest.mark.parametrize("message", [False, True])
+def test_json_over_numbered_lines(spark, block, message):
+    head = "1673429683.497 err svc-a: checksum"
+    record = ["{", '  "level": "warn",', '  "time": "2023-01-09T00:00:00Z",', '  "service": "svc-b",', '  "message": "it is", "more": {"a": [', "{}]}", "}"]
+    texts = [head, *record, "after", head, "{", '  "no": "record"', "}", head, '{"level": "info", "service": "cut off', "tail"]
+    rows = [(i, "f", f"line-{i}", base64.b64encode(t.encode() + b"\n").decode()) for i, t in enumerate(texts)]
+    rows += [(100, "g", "line-1", base64.b64encode(head.encode()).decode()), (101, "f", "line-900", None)]
+    df = spark.createDataFrame(rows, "record_no long, file string, native_id string, raw string")
+    parsed = le.parse_records(df, "raw", "native_id", ["record_no", "file", "native_id"], message=message).where("has_bytes")
+    whole = le.put_json_together(parsed, df, "raw", "file", ["native_id"], "record_no", message, block)
+    got = {r["record_no"]: r for r in le.join_lines(whole, "file", ["native_id"], "record_no", block, message=message).collect()}
+    assert {i: (r["level"], r["component"], r["n_lines"]) for i, r in got.items()} == {
+        0: ("ERROR", "svc-a", 1), 1: ("WARN", "svc-b", 8), 9: ("ERROR", "svc-a", 4), 13: ("ERROR", "svc-a", 1), 14: ("INFO", None, 2), 100: ("ERROR", "svc-a", 1),
+    }
+    assert got[1]["ts_millis"] == layouts.iso_ms("2023-01-09T00:00:00Z")
+    if message:
+        assert got[1]["message"].startswith("it is")
+
+
 def test_fields_cover_both_tables(spark):
     from loglattice.plans import problems
 
