@@ -58,10 +58,10 @@ def p2_record_entries(spark: SparkSession, sf: str, message: bool = False) -> Da
     rows = source_identity(table(spark, sf, "source_records"))
     said = ["message"] if message else []
     parsed = log_entries.parse_records(rows, "raw_base64", "native_id", ["record_no", "source_id", "native_id"], message=message)
-    kept = dedup.first_copies(parsed, ["source_id", "native_id"], "record_no", [*log_entries.PARSED, "line_no", "has_bytes", "is_head", *said]).where("has_bytes")
+    kept = dedup.first_copies(parsed, ["source_id", "native_id"], "record_no", [*log_entries.PARSED, "line_no", "has_bytes", "is_head", "is_open", *said]).where("has_bytes")
     kept = written(kept, "entries")  # read by both branches: parsed once
     single = kept.where("line_no is null").select("source_id", "record_no", *log_entries.PARSED, *said)
-    lines = kept.where("line_no is not null")
+    lines = log_entries.put_json_together(kept.where("line_no is not null"), rows, "raw_base64", "source_id", ["native_id"], "record_no", message)
     return single.unionByName(log_entries.join_lines(lines, "source_id", ["native_id"], "record_no", message=message))
 
 
@@ -89,8 +89,13 @@ def kept_events(spark: SparkSession, sf: str, carry: list[str]) -> DataFrame:
     return dedup.first_copies(table(spark, sf, "cloudwatch_messages").where("event_id is not null"), ["event_id"], "delivery_id", carry)
 
 
+def _late_state(spark: SparkSession, sf: str, carry: tuple[str, ...] = ()) -> late_events.WindowState:
+    times = ["log_group", "event_timestamp_millis", "ingestion_timestamp_millis"]
+    return late_events.taken_in(kept_events(spark, sf, times), LATE, carry, like=table(spark, sf, "cloudwatch_messages"))
+
+
 def p5_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return late_events.corrected_windows(kept_events(spark, sf, ["log_group", "event_timestamp_millis", "ingestion_timestamp_millis"]), LATE)
+    return _late_state(spark, sf).windows()
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,8 +103,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_dropped(spark: SparkSession, sf: str) -> DataFrame:
-    kept = kept_events(spark, sf, ["log_group", "event_timestamp_millis", "ingestion_timestamp_millis"])
-    return late_events.dropped_report(kept, LATE).select("delivery_id", "log_group", "period_start_millis", "reason", "over_cutoff_millis")
+    return _late_state(spark, sf, ("delivery_id",)).diverted().select("delivery_id", "log_group", "period_start_millis", "reason", "over_cutoff_millis")
 
 
 QUERIES = {

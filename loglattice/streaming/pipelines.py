@@ -44,21 +44,13 @@ def keep_once(ids: Sequence[str], row_id: str, store_path: str, out_path: str) -
     return on_batch
 
 
-def correct_windows(spec: late_events.WindowSpec, state_path: str, updates_path: str, dropped_path: str) -> Callable[[DataFrame, int], None]:
-    """Keeps every window's counters by upsert, writes the windows a batch changed and diverts what it dropped."""
-    keys = list(spec.keys)
+def correct_windows(spec: late_events.WindowSpec, path: str, disorder_ms: int = 0) -> Callable[[DataFrame, int], None]:
+    """Keeps the open windows' counts, emits the windows a batch changed and diverts what it dropped; see ``late_events.WindowState``."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        state = Versions(batch.sparkSession, state_path)
         batch.persist()
         try:
-            deltas = late_events.window_deltas(batch, spec)
-            done = [v for v in state.committed() if v < batch_id]
-            state.write(late_events.upsert(state.read(done[-1]) if done else None, deltas, keys), batch_id)
-            changed = deltas.select(*keys, "period_start_millis")
-            now = state.read(batch_id).join(changed, [*keys, "period_start_millis"], "left_semi")
-            now.withColumn("n_events", F.col("n_on_time") + F.col("n_corrected")).write.mode("overwrite").parquet(f"{updates_path}/batch={batch_id}")
-            late_events.dropped_report(batch, spec).write.mode("overwrite").parquet(f"{dropped_path}/batch={batch_id}")
+            late_events.WindowState(batch.sparkSession, path, spec, disorder_ms).advance(batch, batch_id)
         finally:
             batch.unpersist()
 
@@ -111,7 +103,3 @@ def stored_records(spark: SparkSession, path: str) -> DataFrame:
     versions = Versions(spark, f"{path}/records").committed()
     return spark.read.parquet(*[f"{path}/records/v{v}" for v in versions])
 
-
-def watermark_counts(stream: DataFrame, event_time: str, keys: Sequence[str], width: str, lateness: str) -> DataFrame:
-    """The engine's own event-time windows: counts per key, with its watermark as the cut-off; for streams whose arrival is now."""
-    return stream.withWatermark(event_time, lateness).groupBy(F.window(event_time, width), *keys).agg(F.count(F.lit(1)).alias("n_events"))

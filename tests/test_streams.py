@@ -38,18 +38,15 @@ def test_windows_corrected_over_batches(spark, folders):
     random.seed(2)
     spec = le.WindowSpec(("g",), "at", "arrived")
     rows = [(random.choice("ab"), at := random.randint(0, 9 * H), at + random.choice([0, H, 9 * H])) for _ in range(150)]
+    rows.sort(key=lambda r: r[2])
     schema = "g string, at long, arrived long"
     stream = feed(spark, folders("in"), [rows[:50], rows[50:100], rows[100:]], schema)
-    on_batch = pipelines.correct_windows(spec, folders("state"), folders("updates"), folders("dropped"))
-    pipelines.run(stream, on_batch, folders("cp")).awaitTermination(120)
-    state = Versions(spark, folders("state"))
-    whole = le.window_deltas(spark.createDataFrame(rows, schema), spec)
+    pipelines.run(stream, pipelines.correct_windows(spec, folders("state"), disorder_ms=20 * H), folders("cp")).awaitTermination(120)
+    state = le.WindowState(spark, folders("state"), spec)
+    whole = le.taken_in(spark.createDataFrame(rows, schema), spec).windows()
     order = ["g", "period_start_millis", *le.COUNTERS]
-    assert sorted(map(tuple, state.read().select(*order).collect())) == sorted(map(tuple, whole.select(*order).collect()))
-    assert spark.read.parquet(folders("dropped")).count() == whole.agg(F.sum("n_dropped")).first()[0]
-    before = state.committed()
-    on_batch(spark.createDataFrame(rows[100:], schema), before[-1])  # delivered again
-    assert state.committed() == before and sorted(map(tuple, state.read().select(*order).collect())) == sorted(map(tuple, whole.select(*order).collect()))
+    assert sorted(map(tuple, state.windows().select(*order).collect())) == sorted(map(tuple, whole.select(*order).collect()))
+    assert state.diverted().count() == whole.agg(F.sum("n_dropped")).first()[0]
 
 
 def test_corpus_upsert_equals_one_batch(spark, folders):
