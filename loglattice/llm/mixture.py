@@ -13,6 +13,12 @@ share. A larger ``total_tokens`` may be asked for; sources that run out then
 fall short, and the report shows it. Prefix sums run in hash buckets, so no
 source, however large, meets in one task.
 
+Texts are taken whole, in an order shuffled by hash, as long as they fit a
+source's demand; what is then left of it is filled, ``FILLS`` times, with the unused
+text that leaves least. So a source that has more unused texts than it is
+given misses its demand by less than its shortest unused text, and mostly by
+a few tokens.
+
 A text is one text wherever it was posted: exact copies count as one, kept
 under the smallest doc_id and its source, and may be used as often as the
 strictest source that holds them allows.
@@ -37,6 +43,8 @@ from loglattice.session import written
 
 BUCKET_ROWS = 50_000  # rows of a prefix-sum bucket, about
 MOST_TARGETS = 10_000
+MOST_PASSES = 100_000  # sources times passes over their texts; more are refused
+FILLS = 3
 TILT = 0.5
 
 
@@ -86,7 +94,7 @@ def plan_sources(by_cap: list[tuple[str, int, int, int]], targets: dict[str, tup
     order = sorted(held, key=lambda s: (sum(x for _, x in held[s].values()) / sum(n for n, _ in held[s].values()), s))
     rank = {s: (i + 0.5) / len(order) - 0.5 for i, s in enumerate(order)}
     centre = sum(shares[s] * rank[s] for s in order)
-    out = []
+    out, planned = [], 0
     for s in sorted(held):
         demand = float(min(total * shares[s], capacity[s]))
         passes, used, k = [], 0.0, 1
@@ -94,6 +102,9 @@ def plan_sources(by_cap: list[tuple[str, int, int, int]], targets: dict[str, tup
             passes.append(used)
             used += sum(size for cap, (_, size) in held[s].items() if cap >= k)
             k += 1
+        planned += len(passes)
+        if planned > MOST_PASSES:
+            raise ValueError(f"more than {MOST_PASSES} passes over sources")
         out.append(Source(s, shares[s], demand, tuple(passes), max(-1.0, min(1.0, 2 * tilt * (rank[s] - centre)))))
     return out
 
@@ -113,9 +124,28 @@ def chosen_uses(texts: DataFrame, plan: list[Source], seed: int = 0) -> DataFram
     uses = texts.join(F.broadcast(passes), "source").where("use_no <= cap")  # at most MOST_TARGETS times the largest cap, and only as many passes as are needed
     uses = uses.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "use_no")).withColumn("hb", F.pmod(F.shiftright("h", 7), F.lit(buckets)))
     placed = running_sums(uses, ["source", "use_no"], "hb", ["h", "doc_id"], {"in_pass": "n_tokens"})
-    middle = F.col("used") + F.col("in_pass") + F.col("n_tokens") / 2
-    taken = placed.withColumn("middle", middle).where(F.col("middle") <= F.col("demand"))
-    return taken.select("doc_id", "source", "use_no", "n_tokens", training_time(F.col("middle") / F.col("demand"), F.col("tilt")).alias("t"))
+    placed = placed.withColumn("covered", F.col("used") + F.col("in_pass")).select("doc_id", "source", "use_no", "n_tokens", "covered", "demand", "tilt", "h")
+    placed = written(placed, "placed")  # read for what fits and by each fill
+    fits = F.col("covered") + F.col("n_tokens") <= F.col("demand")
+    taken = placed.where(fits).withColumn("middle", F.col("covered") + F.col("n_tokens") / 2).drop("covered", "h")
+    left = {r[0]: r[1] for r in taken.groupBy("source").agg(F.max("demand") - F.sum("n_tokens")).collect()}  # one row per source
+    left = {s.name: left.get(s.name, s.demand) for s in plan}
+    spare = placed.where(~fits)
+    fills: list[tuple] = []
+    for _ in range(FILLS):
+        gaps = spark.createDataFrame(sorted(left.items()), "source string, gap double")
+        used = spark.createDataFrame([f[:3] for f in fills], "doc_id long, source string, use_no int")
+        free = spare.join(F.broadcast(used), ["doc_id", "source", "use_no"], "left_anti").join(F.broadcast(gaps), "source").where("n_tokens < 2 * gap")  # at most a row per source and fill
+        best = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("n_tokens")).alias("off"), "use_no", "h", "doc_id", "n_tokens", "demand", "tilt", "gap")).alias("b"))
+        rows = best.select("b.doc_id", "source", "b.use_no", "b.n_tokens", "b.demand", "b.tilt", (F.col("b.demand") - F.col("b.gap") / 2).alias("middle")).collect()  # one row per source
+        for r in rows:
+            fills.append(tuple(r))
+            left[r["source"]] -= r["n_tokens"]
+        if not rows:
+            break
+    added = spark.createDataFrame(fills, taken.select("doc_id", "source", "use_no", "n_tokens", "demand", "tilt", "middle").schema)
+    whole = taken.select(*added.columns).unionByName(added)
+    return whole.select("doc_id", "source", "use_no", "n_tokens", training_time(F.col("middle") / F.col("demand"), F.col("tilt")).alias("t"))
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, tilt: float = TILT, seed: int = 0, raw: bytes | None = None) -> DataFrame:

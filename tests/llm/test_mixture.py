@@ -81,3 +81,19 @@ def test_repeated_targets(spark, tables):
     _, targets = tables
     again = targets.union(targets).union(spark.createDataFrame([("a", 0.4, 9)], targets.schema))
     assert mixture.targets_of(again)["a"] == (0.4, 2) and mixture.targets_of(again)["b"] == (0.3, 3)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables here")
+def test_tolerance(spark):
+    """Of the sources that have documents each is within 3 % of its share, and within 0.2 points; at sf0.1 within 0.1 %."""
+    docs, targets = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "mix_targets"))
+    report = [r for r in mixture.shares(mixture.planned_uses(docs, targets), targets).collect() if r["n_tokens"]]
+    whole = sum(r["target_share"] for r in report)
+    for r in report:
+        off = abs(r["actual_share"] - r["target_share"] / whole)
+        assert off <= 0.03 * r["target_share"] / whole and off <= 0.002, r
+
+
+def test_passes_are_bounded():
+    with pytest.raises(ValueError):
+        mixture.plan_sources([("a", 10**9, 1, 1), ("b", 10**9, 1, 10**7)], {"a": (0.5, 10**9), "b": (0.5, 10**9)})
