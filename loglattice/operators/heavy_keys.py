@@ -18,14 +18,12 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from loglattice.session import partitions_of
+from loglattice.session import cut, partitions_of
 
 #: A key is split once its load passes this part of one task's fair load.
 SPLIT_AT = 0.5
@@ -119,64 +117,42 @@ def place(df: DataFrame, plan: LoadPlan) -> DataFrame:
     return df.repartitionById(plan.tasks, "_ll_task")
 
 
-def _combine(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = TaskContext.get().partitionId() << 24
-        held: list[pa.Table] = []
-        rows = 0
-
-        def fold() -> pa.Table:
-            t = pa.concat_tables(held).group_by("k").aggregate([(n, "sum") for n in names])
-            return t.rename_columns([c.removesuffix("_sum") for c in t.column_names]).select(["k", *names])
-
-        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            nonlocal piece
-            piece += 1
-            t = t.combine_chunks().append_column("piece", pa.array([piece] * t.num_rows, pa.int64()))
-            yield from t.to_batches(max_chunksize=50_000)
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            g = t.group_by("k").aggregate([(n, "sum") for n in names])
-            held.append(g.rename_columns([c.removesuffix("_sum") for c in g.column_names]).select(["k", *names]))
-            rows += held[-1].num_rows
-            if rows > 200_000:
-                t = fold()
-                held, rows = [t], t.num_rows
-                if rows > 100_000:  # mostly distinct keys: pass them on instead of holding them
-                    yield from out(t)
-                    held, rows = [], 0
-        if held:
-            yield from out(fold())
-
-    return run
-
-
-def key_totals(rows: DataFrame, key: str, sums: Sequence[str] = (), plan: LoadPlan | None = None) -> DataFrame:
-    """Per key its row count ``n_rows`` and ``sum_<column>`` of each integer column in ``sums``.
+def partial_totals(rows: DataFrame, key: str, sums: Sequence[str] = ()) -> DataFrame:
+    """One row per key ``k`` and input task ``piece``: n_rows, and sum_<column> and some_<column> (its non-null rows) of each.
+
+    The engine combines each task's rows before any moves, so a key that holds
+    a third of all rows leaves as many rows as there are input tasks.
+    """
+    narrow = rows.select(F.col(key).cast("string").alias("k"), F.spark_partition_id().alias("piece"), *[F.col(c).cast("long").alias(f"v_{i}") for i, c in enumerate(sums)])
+    of = [x for i, c in enumerate(sums) for x in (F.coalesce(F.sum(f"v_{i}"), F.lit(0)).alias(f"sum_{c}"), F.count(f"v_{i}").alias(f"some_{c}"))]
+    return narrow.groupBy("k", "piece").agg(F.count(F.lit(1)).alias("n_rows"), *of)
 
-    Rows are combined before the shuffle (per input task, vectorised), the
-    partial rows go to the tasks the plan packs their keys into, and the few
-    shards of a split key are merged last. A null in a summed column adds
-    nothing; a key whose values are all null gets a null sum.
+
+def _totals(rows: DataFrame, key: str, sums: Sequence[str]) -> tuple[DataFrame, LoadPlan]:
+    """Per key its totals, and the plan by which they were made, with the sums of all keys.
+
+    What the plan loads, packs and splits are the partial rows, for these are
+    the rows that are placed.
     """
-    plan = plan or plan_loads(rows, key, sums)
     names = ["n_rows"] + [x for c in sums for x in (f"sum_{c}", f"some_{c}")]
-    narrow = rows.select(
-        F.col(key).cast("string").alias("k"),
-        F.lit(1).cast("long").alias("n_rows"),
-        *[x for c in sums for x in (F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(f"sum_{c}"), F.col(c).isNotNull().cast("long").alias(f"some_{c}"))],
-    )
-    schema = "k string, " + ", ".join(f"{n} long" for n in names) + ", piece long"
-    partial = narrow.mapInArrow(_combine(names), schema)
+    partial = cut(partial_totals(rows, key, sums))  # read by the plan and by what it places; about as many rows as keys times input tasks
+    plan = plan_loads(partial, "k", names)
     placed = place(fragment(partial, "k", F.col("piece"), plan), plan)
     per_shard = placed.groupBy("_ll_task", "k").agg(*[F.sum(n).alias(n) for n in names])
     merged = per_shard.groupBy("k").agg(*[F.sum(n).alias(n) for n in names])
-    return merged.select(
-        F.col("k").alias(key),
-        "n_rows",
-        *[F.when(F.col(f"some_{c}") > 0, F.col(f"sum_{c}")).alias(f"sum_{c}") for c in sums],
-    )
+    return merged, plan
+
+
+def key_totals(rows: DataFrame, key: str, sums: Sequence[str] = ()) -> DataFrame:
+    """Per key its row count ``n_rows`` and ``sum_<column>`` of each integer column in ``sums``.
+
+    Rows are combined in their input tasks, the partial rows go to the tasks the
+    plan packs their keys into, and the few shards of a split key are merged
+    last. A null in a summed column adds nothing; a key whose values are all
+    null gets a null sum.
+    """
+    merged, _ = _totals(rows, key, sums)
+    return merged.select(F.col("k").alias(key), "n_rows", *[F.when(F.col(f"some_{c}") > 0, F.col(f"sum_{c}")).alias(f"sum_{c}") for c in sums])
 
 
 def fragment_replicate_join(rows: DataFrame, other: DataFrame, key: str, spread: Sequence[str], how: str = "inner", plan: LoadPlan | None = None) -> DataFrame:
@@ -204,19 +180,21 @@ def fragment_replicate_join(rows: DataFrame, other: DataFrame, key: str, spread:
     return left.join(right, ["_ll_task", key], how).drop("_ll_task")
 
 
-def heavy_keys(rows: DataFrame, key: str, share: tuple[int, int], sums: Sequence[str] = (), plan: LoadPlan | None = None) -> dict[str, DataFrame]:
+def heavy_keys(rows: DataFrame, key: str, share: tuple[int, int], sums: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Keys holding at least share[0]/share[1] of all rows, and of each summed column; compared exactly.
 
     Gives a frame with the column ``heavy_key`` for ``rows`` and for each name
     in ``sums``. Null keys and keys with a null sum aren't reported; a whole of
     zero or less has no heavy keys.
     """
-    plan = plan or plan_loads(rows, key, sums)
-    totals = key_totals(rows, key, sums, plan).where(F.col(key).isNotNull())
+    merged, plan = _totals(rows, key, sums)
+    totals = merged.where("k is not null")
+    if sums:
+        totals = cut(totals)  # one row per key, read for each measure
     part, whole = share
     found = {}
-    for name, column, total in [("rows", "n_rows", plan.total_rows), *((c, f"sum_{c}", plan.sums[c]) for c in sums)]:
-        total = int(total or 0)
+    for name, column, some in [("rows", "n_rows", "n_rows"), *((c, f"sum_{c}", f"some_{c}") for c in sums)]:
+        total = int(plan.sums[column] or 0)
         own = F.col(column).cast("decimal(38,0)") * whole >= F.lit(str(part * total)).cast("decimal(38,0)")
-        found[name] = totals.where(own & F.lit(total > 0)).select(F.col(key).alias("heavy_key"))
+        found[name] = totals.where(own & (F.col(some) > 0) & F.lit(total > 0)).select(F.col("k").alias("heavy_key"))
     return found

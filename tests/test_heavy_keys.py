@@ -32,6 +32,17 @@ def test_totals_equal_a_plain_count(spark, skewed):
     assert got == {k: (n[k], sums[k]) for k in n}
 
 
+def test_rows_are_combined_before_they_move(spark, skewed):
+    df, _ = skewed
+    spread = df.repartition(6, "id")
+    partial = hk.partial_totals(spread, "k", ["v"])
+    assert partial.where("k = 'hot'").count() == 6
+    plan = partial._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("partial_count") >= 1
+    loads = hk.plan_loads(partial, "k", tasks=64)  # of the partial rows
+    assert loads.total_rows == partial.count() and sum(loads.task_load) == pytest.approx(partial.count())
+
+
 def test_a_hot_key_is_split_over_tasks(spark, skewed):
     df, _ = skewed
     plan = hk.plan_loads(df, "k", tasks=4)
