@@ -1,10 +1,11 @@
 """Multi-line blocks (stack traces, panics, compiler and assertion output) from source lines.
 
 A small automaton per family decides which lines go on from a start. Lanes are
-cut into chunks at lines that can't go on from anything, so a chunk frames
-alike whatever stands before it, and a lane of any size spreads over tasks.
-(A run of more than ``BLOCK`` lines without any such line is cut at a chunk's
-end; a block may not be longer than ``MOST_LINES`` anyhow.)
+cut into chunks at sure lines: those that can't go on from anything, and those
+with no start among the ``MOST_LINES`` lines before them, as no block is longer.
+So a chunk frames alike whatever stands before it, and a lane of any size
+spreads over tasks. Only lines that go on from one another without any sure
+line between them stay in one chunk, however many they are.
 
 Cases: null text is an incomplete record, a block of its own. Lines with
 control or non-ASCII characters join nothing. A gap in the lane's sequence, or
@@ -77,6 +78,7 @@ FAMILIES = (
 )
 ORPHAN = "|".join(f"(?:{p})" for p in (PY_FRAME, PY_DETAIL, PY_CHAIN, FRAME, CAUSE, ELIDED, INNER, RUST_MARK, RUST_FRAME, GO_ROUTINE, GO_PLACE, CC_BODY, DIFF))
 GOES_ON = "|".join(sorted({f"(?:{p})" for f in FAMILIES for phase in f.phases for p, _, _ in phase} | {f"(?:{BLANK})"}))
+MAY_START = "|".join(sorted({f"(?:{p})" for f in FAMILIES for p, _ in f.starts}))
 _PLAIN = re.compile(r"[\t\x20-\x7e]*\Z")
 _MADE: dict[str, re.Pattern] = {}
 
@@ -166,10 +168,19 @@ SCHEMA = "lane {lane}, first_seq long, last_seq long, n_lines long, family strin
 def frame(lines: DataFrame, lane: str, seq: str, text: str, time: str | None = None) -> DataFrame:
     """Blocks of each lane: lane, first_seq, last_seq, n_lines, family, state, confidence."""
     rows = lines.select(F.col(lane).alias("lane"), F.col(seq).cast("long").alias("seq"), F.col(text).alias("line"), (F.col(time) if time else F.lit(None)).cast("long").alias("t"))
-    hard = ~F.coalesce(F.col("line").rlike(f"^(?:{GOES_ON})"), F.lit(False))
-    block = F.expr(f"seq div {BLOCK}")
-    seen = F.max(hard.cast("int")).over(Window.partitionBy("lane", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    chunked = rows.withColumn("block", block).withColumn("chunk", F.when(seen == 1, F.col("block")).otherwise(F.col("block") - 1))
+    goes_on = F.coalesce(F.col("line").rlike(f"^(?:{GOES_ON})"), F.lit(False))
+    starts = F.coalesce(F.col("line").rlike(f"^(?:{MAY_START})"), F.lit(False))
+    marked = rows.withColumns({"block": F.expr(f"seq div {BLOCK}"), "soft": goes_on, "starts": starts})
+    order = Window.partitionBy("lane", "block").orderBy("seq")
+    near = order.rowsBetween(-MOST_LINES, -1)
+    quiet = (F.count(F.lit(1)).over(near) == MOST_LINES) & ~F.max("starts").over(near)
+    sure = marked.withColumn("sure", ~F.col("soft") | F.coalesce(quiet, F.lit(False)))
+    seen = sure.withColumn("seen", F.max("sure").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # one row per block: lines before a block's first sure line belong to the last block that has one
+    blocks = seen.groupBy("lane", "block").agg(F.max("sure").alias("has"))
+    before = F.last(F.when(F.col("has"), F.col("block")), ignorenulls=True).over(Window.partitionBy("lane").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    owner = blocks.select("lane", "block", F.coalesce(before, F.lit(-1)).alias("owner"))
+    chunked = seen.join(owner, ["lane", "block"]).withColumn("chunk", F.when(F.col("seen"), F.col("block")).otherwise(F.col("owner")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq", kind="stable")

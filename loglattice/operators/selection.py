@@ -10,11 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from loglattice.session import cut
 
 SCALE = 1_000_000
 MOST_PACKETS = 4096
+PRIORITY_PART = 100_000_000  # a packet of the highest priority (SCALE) counts a hundredth more
 PAGE, PER_PAGE, FINAL = 64, 8, 12
 COVERAGE_PART = 8
 
@@ -38,6 +42,44 @@ def skip_packing(items: Column, budget: int) -> Column:
     return F.aggregate(items, start, take)["ids"]
 
 
+PACKING_PAGE = 512
+
+
+def skip_packing_by(rows: DataFrame, key: str, order: Sequence[tuple[str, bool]], id: str, cost: str, budget: int, page: int = PACKING_PAGE) -> DataFrame:
+    """Per key the ids taken in an order (column, descending), leaving out each that no longer fits; keys of any size.
+
+    Keys are read by pages in the order, all keys at once: each round takes the
+    next ``page`` rows that come after the last one seen and cost no more than is
+    left, and ends when there are none. What costs more than is left never fits
+    later, so leaving it out changes nothing. ``order`` must be total within a
+    key; costs aren't negative. Rows with a null key, id or cost take no part.
+    """
+    place = F.struct(*[(-F.col(c) if down else F.col(c)).alias(f"p{i}") for i, (c, down) in enumerate(order)])
+    clean = rows.where(F.col(key).isNotNull() & F.col(id).isNotNull() & F.col(cost).isNotNull())
+    all_rows = clean.select(F.col(key).alias("k"), F.col(id).cast("long").alias("id"), F.col(cost).cast("long").alias("cost"), place.alias("place"))
+    taken: DataFrame | None = None
+    state: DataFrame | None = None
+    while True:
+        if state is None:
+            here = all_rows.withColumn("left", F.lit(budget).cast("long")).where(F.col("cost") <= budget)
+        else:
+            here = all_rows.join(state, "k").where((F.col("place") > F.col("after")) & (F.col("cost") <= F.col("left"))).drop("after")
+        first = here.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("place"))).where(F.col("n") <= page)
+        heads = first.groupBy("k").agg(F.first("left").alias("left"), F.max("place").alias("after"), F.array_sort(F.collect_list(F.struct("n", "id", "cost"))).alias("l"))
+        start = F.struct(F.col("left").alias("left"), F.array().cast("array<bigint>").alias("ids"))
+
+        def take(acc: Column, x: Column) -> Column:
+            fits = x["cost"] <= acc["left"]
+            return F.struct(F.when(fits, acc["left"] - x["cost"]).otherwise(acc["left"]).alias("left"), F.when(fits, F.concat(acc["ids"], F.array(x["id"]))).otherwise(acc["ids"]).alias("ids"))
+
+        step = cut(heads.select("k", "after", F.aggregate("l", start, take).alias("r")))
+        ids = step.select(F.col("k").alias(key), F.explode("r.ids").alias(id))
+        taken = ids if taken is None else taken.unionByName(ids)
+        if step.limit(1).count() == 0:
+            return taken
+        state = step.select("k", "after", F.col("r.left").alias("left"))
+
+
 def pack(order: Sequence[tuple[int, int]], budget: int) -> tuple[list[int], bool]:
     """(id, cost) in order -> ids that fit, and whether any was left out."""
     taken, skipped = [], False
@@ -187,7 +229,7 @@ class _Cover:
         total = 0
         for f, a in p.affinities.items():
             x, y = self.best.get(f, (0, 0))
-            total += self.weights[f] * (max(a + min(x, max(a, y)) - x - y, 0) if f in self.two and a > y else max(a - x, 0) if f not in self.two else 0)
+            total += self.weights[f] * max(a - (y if f in self.two else x), 0)  # it takes the place of the least that counts
         return total
 
     def add(self, p: Packet) -> None:
@@ -202,15 +244,21 @@ class _Cover:
         return sum(self.weights[f] * (x + y) for f, (x, y) in self.best.items())
 
 
-def select_packets(packets: Sequence[Packet], weights: dict[str, int], budget: int, two: frozenset[str] = frozenset()) -> list[int]:
+def select_packets(packets: Sequence[Packet], weights: dict[str, int], budget: int, two: frozenset[str] = frozenset(), priorities: dict[int, int] | None = None) -> list[int]:
     """Greedy by gain per cost, compared with the best single packet; ids in canonical (id) order.
 
     A facet is covered by its best affinity, or the best two for those in
-    ``two``. Ties: greater gain, lower cost, lower id. Mandatory packets over
-    the budget are an error.
+    ``two``. Optional packets may have a priority from outside (1 to SCALE),
+    which adds at most a hundredth to their gain where packets are compared;
+    plans are compared without it. Ties: greater gain, lower cost, lower id.
+    Mandatory packets over the budget are an error.
     """
     if len(packets) > MOST_PACKETS:
         raise NeedsMore(f"more than {MOST_PACKETS} packets")
+    priorities = priorities or {}
+    optional = {p.id for p in packets if not p.mandatory}
+    if not optional.issuperset(priorities) or not all(0 < x <= SCALE for x in priorities.values()):
+        raise ValueError("priorities are for optional packets, from 1 to SCALE")
     base = [p for p in packets if p.mandatory]
     left = budget - sum(p.cost for p in base)
     if left < 0:
@@ -229,25 +277,22 @@ def select_packets(packets: Sequence[Packet], weights: dict[str, int], budget: i
             cover.add(p)
         return cover.total() - before
 
+    def assisted(p: Packet, gain: int) -> int:
+        return gain + gain * priorities.get(p.id, 0) // PRIORITY_PART
+
+    def by_ratio(p: Packet, gain: int) -> tuple:
+        """Greatest first; the ratio is exact."""
+        counts = assisted(p, gain)
+        return Fraction(counts, max(p.cost, 1)), counts, gain, -p.cost, -p.id
+
     cover, room, spare, greedy = start(), left, left // COVERAGE_PART, []
     rest = [p for p in packets if not p.mandatory]
     while True:
-        best: tuple[int, Packet] | None = None
-        for p in rest:
-            if p.cost > room or (p.coverage_only and p.cost > spare):
-                continue
-            g = cover.gain(p)
-            if g <= 0:
-                continue
-            if best is None:
-                best = (g, p)
-                continue
-            a, b = g * max(best[1].cost, 1), best[0] * max(p.cost, 1)
-            if a > b or (a == b and (-g, p.cost, p.id) < (-best[0], best[1].cost, best[1].id)):
-                best = (g, p)
-        if best is None:
+        fit = [p for p in rest if p.cost <= room and not (p.coverage_only and p.cost > spare)]
+        scored = [(g, p) for p in fit if (g := cover.gain(p)) > 0]
+        if not scored:
             break
-        chosen = best[1]
+        _, chosen = max(scored, key=lambda x: by_ratio(x[1], x[0]))
         cover.add(chosen)
         room -= chosen.cost
         if chosen.coverage_only:
@@ -255,9 +300,10 @@ def select_packets(packets: Sequence[Packet], weights: dict[str, int], budget: i
         rest.remove(chosen)
         greedy.append(chosen)
     plans = [greedy]
-    singles = [p for p in packets if not p.mandatory and p.cost <= (left // COVERAGE_PART if p.coverage_only else left) and start().gain(p) > 0]
+    alone = start()
+    singles = [(g, p) for p in packets if not p.mandatory and p.cost <= (left // COVERAGE_PART if p.coverage_only else left) and (g := alone.gain(p)) > 0]
     if singles:
-        plans.append([min(singles, key=lambda p: (-plan_gain([p]), p.cost, p.id))])
+        plans.append([max(singles, key=lambda x: (assisted(x[1], x[0]), x[0], -x[1].cost, -x[1].id))[1]])
     best_plan = min(plans, key=lambda ids: (-plan_gain(ids), sum(p.cost for p in ids), sorted(p.id for p in ids)))
     return sorted(p.id for p in [*base, *best_plan])
 

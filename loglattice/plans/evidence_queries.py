@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loglattice.functions import signals
 from loglattice.operators import analysis, incident, lanes, receipts
 from loglattice.plans import incident_queries, pipeline_queries, ranking_queries
-from loglattice.plans.tables import spread, table
+from loglattice.plans.tables import table
 from loglattice.session import cut
 
 FOCUS = ["quota-gate"]
 
 
 def _signals(spark: SparkSession, sf: str) -> DataFrame:
-    return signals.signals(spread(table(spark, sf, "cloudwatch_messages")), ["delivery_id", "log_stream"], "message")
+    return signals.signals(table(spark, sf, "cloudwatch_messages"), ["delivery_id", "log_stream"], "message")
 
 
 def failure_signals(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,12 +26,12 @@ def failure_signals(spark: SparkSession, sf: str) -> DataFrame:
 
 def question_lane(spark: SparkSession, sf: str) -> DataFrame:
     question = signals.question_of(ranking_queries.QUESTION)
-    return signals.question_lane(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", question)
+    return signals.question_lane(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", question)
 
 
 def merged_facets(spark: SparkSession, sf: str) -> DataFrame:
     """Per facet the number of documents and the greatest affinity, over the question's and the signals' lanes."""
-    docs = spread(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
     asked = question_lane(spark, sf).select(F.col("doc_id").alias("block_id"), "facet_id", F.lit(1_000_000).cast("long").alias("affinity"))
     covered = signals.coverage_lane(signals.signals(docs, ["doc_id"], "text"), "doc_id")
     merged = lanes.merged_affinities([asked, covered])

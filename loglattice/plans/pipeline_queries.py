@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglattice.operators import corpus, framing, lanes, ranking, selection
 from loglattice.plans import corpus_queries, ranking_queries, views
@@ -22,12 +22,9 @@ def framing_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def skip_packing(spark: SparkSession, sf: str) -> DataFrame:
-    """Per service those of its 512 newest severe groups that fit a byte budget; cost is 40 bytes a repeat."""
-    newest = Window.partitionBy("service").orderBy(F.desc("last_timestamp_millis"), F.desc("group_id"))
-    cards = corpus.severe(table(spark, sf, "log_groups")).withColumn("n", F.row_number().over(newest)).where("n <= 512")
-    heads = cards.groupBy("service").agg(F.array_sort(F.collect_list(F.struct("n", "group_id", (40 * F.col("repeat_count")).alias("cost")))).alias("l"))
-    ids = selection.skip_packing(F.transform("l", lambda s: F.struct(s["group_id"].alias("id"), s["cost"].alias("cost"))), BUDGET)
-    return heads.select("service", F.explode(ids).alias("group_id"))
+    """Per service those of its severe groups, newest first, that fit a byte budget; cost is 40 bytes a repeat."""
+    cards = corpus.severe(table(spark, sf, "log_groups")).withColumn("cost", 40 * F.col("repeat_count"))
+    return selection.skip_packing_by(cards, "service", [("last_timestamp_millis", True), ("group_id", True)], "group_id", "cost", BUDGET)
 
 
 def tournament_pack(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,6 +83,13 @@ def quota_hybrid(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (exact_lines, framing_blocks, skip_packing, tournament_pack, selection_greedy, quota_hybrid)}
 SQL = {
+    "skip_packing": f"""WITH RECURSIVE s AS (
+  SELECT service, group_id, 40 * repeat_count AS cost, row_number() OVER (PARTITION BY service ORDER BY last_timestamp_millis DESC, group_id DESC) AS n
+  FROM log_groups WHERE role IN ('critical', 'error', 'warning') AND service IS NOT NULL),
+r AS (
+  SELECT DISTINCT service, 0::BIGINT AS n, {BUDGET}::BIGINT AS room, NULL::BIGINT AS taken FROM s
+  UNION ALL SELECT s.service, s.n, CASE WHEN cost <= room THEN room - cost ELSE room END, CASE WHEN cost <= room THEN s.group_id END FROM r JOIN s ON s.service = r.service AND s.n = r.n + 1)
+SELECT service, taken AS group_id FROM r WHERE taken IS NOT NULL""",
     "exact_lines": """WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> ''),
 u AS (SELECT doc_id, p, unnest(range(len(p))) AS seq FROM s),
 x AS (SELECT doc_id, seq, p[seq + 1] AS raw, seq = len(p) - 1 AS tail FROM u)

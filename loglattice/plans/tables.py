@@ -7,9 +7,3 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores where the files give fewer splits than half of them; large tables stay as they are read."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows

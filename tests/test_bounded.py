@@ -52,6 +52,16 @@ def test_chunked_lanes_frame_like_whole_ones(spark, monkeypatch):
     assert got == want
 
 
+def test_long_soft_runs_frame_like_whole_ones(spark):
+    """Runs beyond a chunk without any hard line: chained tracebacks, which stay together, and blank lines, which are cut where no start is near."""
+    chain = BLOCKS["python"][:4]
+    lines = ["plain", *chain * 2500, *[""] * 9000, *chain, "plain"]
+    df = spark.createDataFrame([("l", i, x) for i, x in enumerate(lines)], "lane string, seq long, line string")
+    want = {(a, b - 1, f) for a, b, f, *_ in framing.frame_lane([(i, x, None) for i, x in enumerate(lines)])}
+    got = {(r["first_seq"], r["last_seq"], r["family"]) for r in framing.frame(df, "lane", "seq", "line").collect()}
+    assert got == want
+
+
 def test_exact_lines(spark):
     texts = [(1, "a\r\nb\n\nc"), (2, "x\ry\n"), (3, ""), (4, None), (5, "\n")]
     df = spark.createDataFrame(texts, "id long, text string")
@@ -76,7 +86,40 @@ def test_pack_and_quota():
     assert selection.quota_hybrid([], {}, 5) == []
 
 
-def test_selection_against_all_subsets():
+def test_skip_packing_by_pages(spark):
+    random.seed(9)
+    rows = [(random.choice(["hot", "hot", "b", None]), i, random.randint(0, 50), random.randint(0, 30)) for i in range(800)] + [("hot", None, 1, 1), ("c", 9000, 5, 1000)]
+    df = spark.createDataFrame(rows, "k string, id long, at long, cost long").repartition(4)
+    want = set()
+    for k in ("hot", "b", "c"):
+        mine = sorted((r for r in rows if r[0] == k and r[1] is not None), key=lambda r: (-r[2], r[1]))
+        want |= {(k, i) for i in selection.pack([(r[1], r[3]) for r in mine], 400)[0]}
+    for page in (3, 40, 512):
+        got = selection.skip_packing_by(df, "k", [("at", True), ("id", False)], "id", "cost", 400, page)
+        assert {tuple(r) for r in got.collect()} == want
+    assert selection.skip_packing_by(df.limit(0), "k", [("id", False)], "id", "cost", 400).count() == 0
+
+
+def test_top_two_facets():
+    """A second packet adds what it holds beyond the second best so far."""
+    packets = [selection.Packet(0, 1, {"f": 10}), selection.Packet(1, 1, {"f": 5}), selection.Packet(2, 1, {"f": 4})]
+    assert selection.select_packets(packets, {"f": 1}, 3, frozenset("f")) == [0, 1]
+    assert selection.select_packets(packets, {"f": 1}, 3) == [0]
+
+
+def test_priorities():
+    packets = [selection.Packet(0, 2, {"a": 1000}), selection.Packet(1, 2, {"b": 995}), selection.Packet(2, 2, {"c": 900})]
+    weights = {"a": 1, "b": 1, "c": 1}
+    assert selection.select_packets(packets, weights, 2) == [0]
+    assert selection.select_packets(packets, weights, 2, priorities={1: selection.SCALE}) == [1]  # 995 + 9 > 1000
+    assert selection.select_packets(packets, weights, 2, priorities={2: selection.SCALE}) == [0]  # a hundredth isn't enough
+    for wrong in ({9: 5}, {0: 0}, {0: selection.SCALE + 1}):
+        with pytest.raises(ValueError):
+            selection.select_packets(packets, weights, 2, priorities=wrong)
+
+
+@pytest.mark.parametrize("two", [frozenset(), frozenset("ab"), frozenset("abc")])
+def test_selection_against_all_subsets(two):
     random.seed(2)
     for _ in range(30):
         weights = {f: random.randint(1, 9) for f in "abc"}
@@ -84,9 +127,9 @@ def test_selection_against_all_subsets():
         budget = random.randint(4, 15)
 
         def worth(ids, packets=packets, weights=weights):
-            return sum(w * max([packets[i].affinities.get(f, 0) for i in ids] or [0]) for f, w in weights.items())
+            return sum(w * sum(sorted((packets[i].affinities.get(f, 0) for i in ids), reverse=True)[: 2 if f in two else 1]) for f, w in weights.items())
 
-        chosen = selection.select_packets(packets, weights, budget)
+        chosen = selection.select_packets(packets, weights, budget, two)
         assert sum(packets[i].cost for i in chosen) <= budget
         best = max(worth(s) for n in range(8) for s in itertools.combinations(range(7), n) if sum(packets[i].cost for i in s) <= budget)
         assert worth(chosen) >= 0.5 * (1 - 1 / 2.72) * best
