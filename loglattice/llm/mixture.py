@@ -102,9 +102,9 @@ def plan_sources(by_cap: list[tuple[str, int, int, int]], targets: dict[str, tup
             passes.append(used)
             used += sum(size for cap, (_, size) in held[s].items() if cap >= k)
             k += 1
-        planned += len(passes)
-        if planned > MOST_PASSES:
-            raise ValueError(f"more than {MOST_PASSES} passes over sources")
+            planned += 1
+            if planned > MOST_PASSES:
+                raise ValueError(f"more than {MOST_PASSES} passes over sources")
         out.append(Source(s, shares[s], demand, tuple(passes), max(-1.0, min(1.0, 2 * tilt * (rank[s] - centre)))))
     return out
 
