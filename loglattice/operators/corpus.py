@@ -185,22 +185,39 @@ def priority_fallback(groups: DataFrame, limit: int) -> DataFrame:
     """Severe groups where no terms guide the search: all of them newest first if they fit, else a spread over time and services.
 
     Service representatives come first; then the oldest, the newest and eight
-    interior anchors take turns; then more of the newest.
+    interior anchors take turns; then more of the newest. The groups are read
+    twice, however many streams there are: once by service, and once for the
+    first rows after each anchor and the newest; all else works on those few.
     """
-    some = severe(groups)
-    at = F.struct("last_timestamp_millis", "group_id")
-    n, low, high = some.agg(F.count(F.lit(1)), F.min(at)["last_timestamp_millis"], F.max(at)["last_timestamp_millis"]).first()
-    newest = severe_by_time(groups, limit + 1)
-    if n <= limit or limit == 1:
-        return newest.where(F.col("rank") <= limit).select("rank", *CARD, F.lit(n > limit).alias("truncated"))
+    card = F.struct("last_timestamp_millis", "group_id", *[c for c in CARD if c not in ("last_timestamp_millis", "group_id")])
+    ends_of = severe(groups).groupBy("service").agg(F.count(F.lit(1)).alias("group_count"), F.min(card).alias("oldest"), F.max(card).alias("newest"))
+    by_service = cut(ends_of)  # one row per service
+    n, low, high = by_service.agg(F.sum("group_count"), F.min("oldest.last_timestamp_millis"), F.max("newest.last_timestamp_millis")).first()
+    rows = severe(groups).select(*CARD)
+    newest = severe_by_time(rows, limit + 1)
+    if (n or 0) <= limit or limit == 1:
+        return newest.where(F.col("rank") <= limit).select("rank", *CARD, F.lit((n or 0) > limit).alias("truncated"))
     ends = max(limit // 3, 1)
     per_anchor = -(-max(0, limit - 2 * ends) // len(ANCHOR_PARTS))
-    streams = [severe_by_time(groups, ends, newest=False), newest.where(F.col("rank") <= ends)]
+    anchors = [low + (high - low) * part // 9 for part in ANCHOR_PARTS]
+    # a stream from an anchor is the first rows of the segment it begins, and of the next ones where that holds too few
+    segment = sum((F.when(F.col("last_timestamp_millis") >= a, 1).otherwise(0) for a in sorted(set(anchors))), F.lit(0))
+    turn = F.row_number().over(Window.partitionBy("_ll_segment").orderBy("last_timestamp_millis", "group_id"))
+    heads = rows.withColumn("_ll_segment", segment).withColumn("_ll_turn", turn).where(F.col("_ll_turn") <= max(ends, per_anchor)).select(*CARD)
+    few = cut(heads.unionByName(newest.select(*CARD)).dropDuplicates(["group_id"]))  # at most 9 * ends + limit + 1 rows
+
+    def stream(part: DataFrame, newest_first: bool, most: int, phase: int, number: int) -> DataFrame:
+        return severe_by_time(part, most, newest_first).select(*CARD, F.lit(phase).alias("phase"), F.col("rank").alias("position"), F.lit(number).alias("stream"))
+
+    services = min(32, max(1, limit // 8))
+    rare = bounded(by_service, [F.asc("group_count"), F.asc("service")], (services + 1) // 2).withColumn("side", F.lit(0))
+    common = bounded(by_service, [F.desc("group_count"), F.desc("service")], services // 2).withColumn("side", F.lit(1)) if services // 2 else rare.limit(0)
+    chosen = rare.unionByName(common).select((F.col("side") * services + F.col("rank")).alias("position"), F.posexplode(F.array("oldest", "newest")).alias("stream", "card"))
+    parts = [chosen.select("card.*", F.lit(0).alias("phase"), (2 * F.col("position") + F.col("stream")).cast("long").alias("position"), F.lit(0).alias("stream"))]
+    parts += [stream(few, False, ends, 1, 0), stream(few, True, ends, 1, 1)]
     if per_anchor:
-        streams += [severe_from_anchor(groups, low + (high - low) * part // 9, per_anchor) for part in ANCHOR_PARTS]
-    parts = [service_representatives(groups, min(32, max(1, limit // 8))).select(*CARD, F.lit(0).alias("phase"), F.col("rank").alias("position"), F.lit(0).alias("stream"))]
-    parts += [s.select(*CARD, F.lit(1).alias("phase"), F.col("rank").alias("position"), F.lit(i).alias("stream")) for i, s in enumerate(streams)]
-    parts.append(newest.where(F.col("rank") > ends).select(*CARD, F.lit(2).alias("phase"), F.col("rank").alias("position"), F.lit(0).alias("stream")))
+        parts += [stream(few.where(F.col("last_timestamp_millis") >= a), False, per_anchor, 1, i) for i, a in enumerate(anchors, 2)]
+    parts.append(stream(few, True, limit + 1, 2, 0).where(F.col("position") > ends))
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
@@ -236,11 +253,6 @@ def directory_expansion(groups: DataFrame, pick: Callable[[list[dict]], Sequence
     return first_of_each(union, "group_id", [F.col("position"), F.col("stream")], most).select("rank", *CARD)
 
 
-def same_generation(before: tuple[int, int], records: DataFrame, version: int) -> bool:
-    """Whether record count and graph version are what they were when a search began."""
-    return before == (records.count(), version)
-
-
 def graph_neighbours(groups: DataFrame, edges: DataFrame, seeds: Sequence[str], limit: int = 64) -> DataFrame:
     """Groups of services one edge away from the seed services, seeds left out."""
     out = edges.where(F.col("source_service").isin(*seeds)).select(F.col("target_service").alias("service"))
@@ -265,14 +277,31 @@ def merged_candidates(lists: Sequence[DataFrame]) -> DataFrame:
 # --- records ---
 
 
-def record_page(records: DataFrame, after: tuple[int, str] | None, limit: int, max_bytes: int) -> DataFrame:
-    """Next records in (time, id) order, at most ``limit``, stopping before the byte budget would be passed."""
-    rest = records
+def page_after(rows: DataFrame, keys: Sequence[str], after: Sequence | None, limit: int) -> DataFrame:
+    """The next rows in the order of ``keys`` (unique), at most ``limit``, with ``has_more``; the last row's keys are the next cursor."""
+    rest = rows
     if after is not None:
-        rest = rest.where(F.struct("ts_ms", "native_id") > F.struct(F.lit(after[0]).alias("ts_ms"), F.lit(after[1]).alias("native_id")))
-    page = rest.select("ts_ms", "native_id", F.octet_length("raw").cast("long").alias("n_bytes")).orderBy("ts_ms", "native_id").limit(limit)
+        types = dict(rows.dtypes)
+        rest = rest.where(F.struct(*keys) > F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, after)]))
+    page = bounded(rest, [F.asc(k) for k in keys], limit)
+    return page.withColumnRenamed("truncated", "has_more").drop("rank")
+
+
+def record_of(records: DataFrame, native_id: str) -> DataFrame:
+    """The record of an id, or no row; the condition reaches the scan."""
+    return records.where(F.col("native_id") == native_id)
+
+
+def record_page(records: DataFrame, after: tuple[int, str] | None, limit: int, max_bytes: int) -> DataFrame:
+    """Next records in (time, id) order, at most ``limit``, stopping before the byte budget would be passed; ``has_more`` says whether any follow.
+
+    A first record that alone passes the budget gives no rows.
+    """
+    sized = records.select("ts_ms", "native_id", F.octet_length("raw").cast("long").alias("n_bytes"))
+    page = page_after(sized, ["ts_ms", "native_id"], after, limit)
     used = F.sum("n_bytes").over(Window.orderBy("ts_ms", "native_id").rowsBetween(Window.unboundedPreceding, 0))
-    return page.withColumn("used_bytes", used).where(F.col("used_bytes") <= max_bytes)
+    over = F.max(F.col("used_bytes") > max_bytes).over(Window.partitionBy(F.lit(0)))
+    return page.withColumn("used_bytes", used).withColumn("has_more", F.col("has_more") | over).where(F.col("used_bytes") <= max_bytes)
 
 
 def record_samples(records: DataFrame, n: int) -> DataFrame:
@@ -286,12 +315,13 @@ def nearby_records(records: DataFrame, native_id: str, before: int, after: int,
 
     One byte budget: the anchor, then the ones before it from the nearest on,
     then the ones after it. A side stops at the first record that doesn't fit.
+    ``before_truncated`` and ``after_truncated`` say whether a side has more.
     No rows if the anchor is unknown; ValueError if it alone passes the budget.
     """
     sized = records.select("ts_ms", "native_id", F.octet_length("raw").cast("long").alias("n_bytes"))
     anchor = sized.where(F.col("native_id") == native_id).orderBy("ts_ms").first()
     if anchor is None:
-        return sized.limit(0).withColumn("offset", F.lit(0).cast("long"))
+        return sized.limit(0).withColumns({"offset": F.lit(0).cast("long"), "before_truncated": F.lit(False), "after_truncated": F.lit(False)})
     if anchor["n_bytes"] > max_bytes:
         raise ValueError("the anchor alone passes the byte budget")
     here = F.struct(F.lit(anchor["ts_ms"]).alias("ts_ms"), F.lit(native_id).alias("native_id"))
@@ -299,17 +329,21 @@ def nearby_records(records: DataFrame, native_id: str, before: int, after: int,
 
     def side(rows: DataFrame, n: int, order: list[Column], sign: int) -> DataFrame:
         w = Window.orderBy(*order)
-        few = rows.orderBy(*order).limit(n)
-        return few.withColumn("offset", sign * F.row_number().over(w).cast("long")).withColumn("used", F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        few = rows.orderBy(*order).limit(n + 1)
+        numbered = few.withColumn("offset", sign * F.row_number().over(w).cast("long")).withColumn("used", F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return numbered.withColumn("side", F.lit(sign)).withColumn("near", F.abs("offset") <= n)
 
     left = max_bytes - anchor["n_bytes"]
-    earlier = side(sized.where(at < here), before, [F.desc("ts_ms"), F.desc("native_id")], -1).where(F.col("used") <= left)
-    spent = earlier.agg(F.coalesce(F.max("used"), F.lit(0)).alias("spent"))
+    earlier = side(sized.where(at < here), before, [F.desc("ts_ms"), F.desc("native_id")], -1)
     later = side(sized.where(at > here), after, [F.asc("ts_ms"), F.asc("native_id")], 1)
-    later = later.join(F.broadcast(spent)).where(F.col("used") <= left - F.col("spent"))  # one row beside at most ``after``
-    columns = ["ts_ms", "native_id", "n_bytes", "offset"]
-    own = sized.where((F.col("native_id") == native_id) & (F.col("ts_ms") == anchor["ts_ms"])).withColumn("offset", F.lit(0).cast("long"))
-    return earlier.select(*columns).unionByName(own.select(*columns)).unionByName(later.select(*columns))
+    own = sized.where((F.col("native_id") == native_id) & (F.col("ts_ms") == anchor["ts_ms"])).withColumns({"offset": F.lit(0).cast("long"), "used": F.lit(0).cast("long"), "side": F.lit(0), "near": F.lit(True)})
+    few = earlier.unionByName(own).unionByName(later)  # at most before + after + 3 rows
+    whole = Window.partitionBy(F.lit(0))
+    spent = F.coalesce(F.max(F.when((F.col("side") < 0) & F.col("near") & (F.col("used") <= left), F.col("used"))).over(whole), F.lit(0))
+    few = few.withColumn("spent", spent)
+    few = few.withColumn("fits", F.col("near") & (F.col("used") + F.when(F.col("side") > 0, F.col("spent")).otherwise(0) <= left))
+    flag = {name: F.coalesce(F.max((F.col("side") == sign) & ~F.col("fits")).over(whole), F.lit(False)) for name, sign in (("before_truncated", -1), ("after_truncated", 1))}
+    return few.withColumns(flag).where("fits").select("ts_ms", "native_id", "n_bytes", "offset", *flag)
 
 
 def missing_members(records: DataFrame, indexed: DataFrame) -> DataFrame:

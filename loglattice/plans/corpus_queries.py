@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglattice.functions import records as fn
-from loglattice.operators import corpus
+from loglattice.operators import corpus, dedup
+from loglattice.operators.index import Index
 from loglattice.plans import views
 from loglattice.plans.tables import table
-from loglattice.session import cut
+from loglattice.session import work_folder
 
 TASK = "Why did the purchase request fail with an error upstream of svc-3? Show failed requests"
 LIMIT = 40
@@ -23,7 +24,7 @@ def cards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parse_records(spark: SparkSession, sf: str) -> DataFrame:
-    return views.members(spark, sf).drop("raw")
+    return views.parsed(spark, sf).drop("raw")
 
 
 def template_groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,21 +32,19 @@ def template_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def group_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.group_terms(views.groups(spark, sf))
+    return views.index(spark, sf).terms().select("group_id", "term")
 
 
 def group_members(spark: SparkSession, sf: str) -> DataFrame:
-    members = cut(views.members(spark, sf))
-    return corpus.group_members(members, corpus.template_groups(members))
+    return views.index(spark, sf).group_members()
 
 
 def lexical_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    groups = views.groups(spark, sf)
-    return corpus.lexical_candidates(groups, corpus.group_terms(groups), TASK, LIMIT)
+    return views.index(spark, sf).lexical_candidates(TASK, LIMIT)
 
 
 def task_match_strength(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.task_match_strength(corpus.group_terms(views.groups(spark, sf)), TASK)
+    return views.index(spark, sf).task_match_strength(TASK)
 
 
 def lexical_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,28 +97,52 @@ def priority_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merged_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    groups = views.groups(spark, sf)
-    lexical = corpus.lexical_candidates(groups, corpus.group_terms(groups), TASK, LIMIT)
-    return corpus.merged_candidates([lexical, corpus.repeated_severe(groups, 8)]).select("rank", "group_id")
+    index = views.index(spark, sf)
+    return corpus.merged_candidates([index.lexical_candidates(TASK, LIMIT), corpus.repeated_severe(index.groups(), 8)]).select("rank", "group_id")
 
 
 def edge_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.edge_evidence(views.members(spark, sf))
+    return views.index(spark, sf).evidence()
 
 
 def service_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.service_edges(corpus.edge_evidence(views.members(spark, sf)))
+    return views.index(spark, sf).edges()
 
 
 def graph_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    members = cut(views.members(spark, sf))  # parsed once for groups and edges
-    return corpus.graph_neighbours(corpus.template_groups(members), corpus.service_edges(corpus.edge_evidence(members)), SEEDS, 64)
+    return views.index(spark, sf).graph_neighbours(SEEDS, 64)
 
 
 def record_page(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.record_page(views.records(spark, sf), (1_704_200_000_000, "7"), 256, 20_000)
 
 
+def record_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.record_of(views.index(spark, sf).records(), ANCHOR_ID).select("native_id", "ts_ms", F.octet_length("raw").cast("long").alias("n_bytes"))
+
+
+def group_page(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.page_after(views.groups(spark, sf).select(*corpus.CARD), ["group_id"], [100], 256)
+
+
+def edge_page(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.page_after(views.index(spark, sf).edges(), ["source_service", "target_service"], ["svc-1", "svc-12"], 32)
+
+
+def evidence_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of the records that support one edge."""
+    mine = views.index(spark, sf).evidence().where("source_service = 'svc-1' and target_service = 'svc-9'").select("native_id")
+    return corpus.page_after(mine, ["native_id"], ["2"], 8)
+
+
+def stream_upsert_parity(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of an index that took its records in three batches, in order of time."""
+    own = Index(spark, work_folder(spark, "index"))
+    for i, part in enumerate(dedup.in_batches(views.records(spark, sf), "ts_ms", 3)):
+        own.add(part, i)
+    return own.groups()
+
+
 def nearby_records(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.nearby_records(views.records(spark, sf), ANCHOR_ID, 20, 20, 4_000)
 
@@ -177,7 +200,7 @@ QUERIES = {
     for f in (
         parse_records, template_groups, group_terms, group_members, lexical_candidates, task_match_strength, lexical_records, repeated_severe, severe_newest, severe_oldest,
         severe_from_anchor, severe_service_summary, service_directory, service_interleave, service_representatives, candidate_representatives, priority_fallback, merged_candidates,
-        edge_evidence, service_edges, graph_neighbours, record_page, nearby_records, record_samples, missing_members, insert_outcome, sensitive_screen, safe_samples, feedback_standing, shadow_bonus,
+        edge_evidence, service_edges, graph_neighbours, record_page, record_lookup, group_page, edge_page, evidence_page, stream_upsert_parity, nearby_records, record_samples, missing_members, insert_outcome, sensitive_screen, safe_samples, feedback_standing, shadow_bonus,
     )
 }
 
@@ -281,20 +304,33 @@ cards AS (SELECT * FROM groups WHERE service IN (SELECT service FROM near) AND s
     "lexical_records": f"""WITH {_HITS}, {views.RECORDS_SQL}
 SELECT rank, group_id, native_id, octet_length(encode(raw))::BIGINT AS n_bytes FROM lexical JOIN records ON native_id = first_native_id""",
     "record_page": f"""WITH {views.RECORDS_SQL},
-page AS (SELECT ts_ms, native_id, octet_length(encode(raw))::BIGINT AS n_bytes FROM records WHERE (ts_ms, native_id) > (1704200000000, '7') ORDER BY ts_ms, native_id LIMIT 256)
-SELECT * FROM (SELECT *, sum(n_bytes) OVER (ORDER BY ts_ms, native_id)::BIGINT AS used_bytes FROM page) WHERE used_bytes <= 20000""",
+rest AS (SELECT ts_ms, native_id, octet_length(encode(raw))::BIGINT AS n_bytes FROM records WHERE (ts_ms, native_id) > (1704200000000, '7')),
+page AS (SELECT *, sum(n_bytes) OVER (ORDER BY ts_ms, native_id)::BIGINT AS used_bytes FROM rest ORDER BY ts_ms, native_id LIMIT 256)
+SELECT *, (SELECT count(*) FROM rest) > (SELECT count(*) FROM page WHERE used_bytes <= 20000) AS has_more FROM page WHERE used_bytes <= 20000""",
+    "record_lookup": f"WITH {views.RECORDS_SQL} SELECT native_id, ts_ms, octet_length(encode(raw))::BIGINT AS n_bytes FROM records WHERE native_id = '{ANCHOR_ID}'",
+    "group_page": f"WITH {views.GROUPS_SQL} SELECT {CARD_SQL}, (SELECT count(*) FROM groups WHERE group_id > 100) > 256 AS has_more FROM groups WHERE group_id > 100 ORDER BY group_id LIMIT 256",
+    "edge_page": f"""WITH {views.MEMBERS_SQL},
+edges AS (SELECT service AS source_service, peer AS target_service, count(*) AS evidence_count, min((ts_ms, native_id)) AS f, max((ts_ms, native_id)) AS l
+  FROM members WHERE peer IS NOT NULL AND peer <> service AND (service, peer) > ('svc-1', 'svc-12') GROUP BY 1, 2)
+SELECT source_service, target_service, evidence_count, f[1] AS first_timestamp_millis, f[2] AS first_native_id, l[1] AS last_timestamp_millis, l[2] AS last_native_id,
+  (SELECT count(*) FROM edges) > 32 AS has_more FROM edges ORDER BY 1, 2 LIMIT 32""",
+    "evidence_page": f"""WITH {views.MEMBERS_SQL}, e AS (SELECT native_id FROM members WHERE service = 'svc-1' AND peer = 'svc-9' AND native_id > '2')
+SELECT native_id, (SELECT count(*) FROM e) > 8 AS has_more FROM e ORDER BY 1 LIMIT 8""",
+    "stream_upsert_parity": f"WITH {views.GROUPS_SQL} SELECT * FROM groups",
     "nearby_records": f"""WITH {views.RECORDS_SQL},
 sized AS (SELECT ts_ms, native_id, octet_length(encode(raw))::BIGINT AS n_bytes FROM records),
 anchor AS (SELECT * FROM sized WHERE native_id = '{ANCHOR_ID}'),
 before AS (
   SELECT *, sum(n_bytes) OVER (ORDER BY n) AS used FROM (
-    SELECT s.*, row_number() OVER (ORDER BY s.ts_ms DESC, s.native_id DESC) AS n FROM sized s, anchor a WHERE (s.ts_ms, s.native_id) < (a.ts_ms, a.native_id) QUALIFY n <= 20)),
-earlier AS (SELECT b.* FROM before b, anchor a WHERE used <= 4000 - a.n_bytes),
+    SELECT s.*, row_number() OVER (ORDER BY s.ts_ms DESC, s.native_id DESC) AS n FROM sized s, anchor a WHERE (s.ts_ms, s.native_id) < (a.ts_ms, a.native_id))),
+earlier AS (SELECT b.* FROM before b, anchor a WHERE n <= 20 AND used <= 4000 - a.n_bytes),
 after AS (
   SELECT *, sum(n_bytes) OVER (ORDER BY n) AS used FROM (
-    SELECT s.*, row_number() OVER (ORDER BY s.ts_ms, s.native_id) AS n FROM sized s, anchor a WHERE (s.ts_ms, s.native_id) > (a.ts_ms, a.native_id) QUALIFY n <= 20))
-SELECT ts_ms, native_id, n_bytes, -n AS "offset" FROM earlier UNION ALL SELECT ts_ms, native_id, n_bytes, 0 FROM anchor
-UNION ALL SELECT f.ts_ms, f.native_id, f.n_bytes, n FROM after f, anchor a WHERE used <= 4000 - a.n_bytes - (SELECT coalesce(max(used), 0) FROM earlier)""",
+    SELECT s.*, row_number() OVER (ORDER BY s.ts_ms, s.native_id) AS n FROM sized s, anchor a WHERE (s.ts_ms, s.native_id) > (a.ts_ms, a.native_id))),
+later AS (SELECT f.* FROM after f, anchor a WHERE n <= 20 AND used <= 4000 - a.n_bytes - (SELECT coalesce(max(used), 0) FROM earlier)),
+found AS (
+  SELECT ts_ms, native_id, n_bytes, -n AS "offset" FROM earlier UNION ALL SELECT ts_ms, native_id, n_bytes, 0 FROM anchor UNION ALL SELECT ts_ms, native_id, n_bytes, n FROM later)
+SELECT *, (SELECT count(*) FROM before) > (SELECT count(*) FROM earlier) AS before_truncated, (SELECT count(*) FROM after) > (SELECT count(*) FROM later) AS after_truncated FROM found""",
     "record_samples": """WITH r AS (SELECT record_no, translate(regexp_replace(raw_base64, '[^A-Za-z0-9+/_-]', '', 'g'), '-_', '+/') AS b FROM source_records),
 d AS (SELECT record_no, hex(from_base64(rpad(b, ((length(b) + 3) // 4 * 4)::INTEGER, '='))) AS h FROM r)
 SELECT record_no AS native_id, left(h, 24) AS prefix, right(h, 24) AS suffix, (length(h) // 2)::BIGINT AS n_bytes FROM d""",

@@ -29,16 +29,15 @@ def skip_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 def tournament_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Task -> candidates -> neighbours -> tournament -> exact first records within the byte budget."""
-    groups = views.groups(spark, sf)
-    terms = corpus.group_terms(groups)
-    lexical = corpus.lexical_candidates(groups, terms, corpus_queries.TASK, 200)
-    repeated = corpus.repeated_severe(groups, 8)
+    index = views.index(spark, sf)
+    lexical = index.lexical_candidates(corpus_queries.TASK, 200)
+    repeated = corpus.repeated_severe(index.groups(), 8)
     merged = corpus.merged_candidates([lexical, repeated])
     pool = selection.collected(merged.orderBy("rank"), 512)
     carried = [c["group_id"] for c in sorted(pool, key=lambda c: -c["repeat_count"]) if c["role"] in corpus.SEVERE and c["repeat_count"] > 1][:8]
     final, _ = selection.tournament(pool, selection.gravest, [carried])
     wanted = spark.createDataFrame([(i, c["group_id"], c["first_native_id"]) for i, g in enumerate(final) for c in pool if c["group_id"] == g], "rank int, group_id long, native_id string")
-    exact = views.records(spark, sf).join(F.broadcast(wanted), "native_id")  # the final twelve
+    exact = index.records().select("native_id", "raw").join(F.broadcast(wanted), "native_id")  # the final twelve
     items = F.transform(F.array_sort(F.collect_list(F.struct("rank", "group_id", F.octet_length("raw").alias("n")))), lambda x: F.struct(x["group_id"].alias("id"), x["n"].alias("cost")))
     packed = exact.agg(selection.skip_packing(items, BUDGET).alias("ids")).select(F.posexplode("ids").alias("position", "group_id"))
     return packed.join(exact.select("group_id", "native_id", "raw"), "group_id")

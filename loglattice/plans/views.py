@@ -2,6 +2,9 @@
 
 Each event becomes a JSON record of a service, with a level, a message and at
 times a peer. ``RECORDS_SQL`` states the same records' parsed form directly.
+
+Searches read a stored index of these records. The first query of an
+application that needs it takes the records in; the others search it.
 """
 
 from __future__ import annotations
@@ -9,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglattice.functions.records import parse_records
-from loglattice.operators import corpus
+from loglattice.operators.index import Index
 from loglattice.plans.tables import table
+from loglattice.session import work_folder
 
 SERVICES = 16
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
@@ -41,12 +45,30 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("event_id").cast("string").alias("native_id"), ms.alias("ts_ms"), F.to_json(doc).alias("raw"))
 
 
-def members(spark: SparkSession, sf: str) -> DataFrame:
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf: str) -> Index:
+    """The index of a data folder's records, taken in once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        path = work_folder(spark, "index")
+        Index(spark, path).add(records(spark, sf), 0)
+        _INDEXES[key] = path
+    return Index(spark, _INDEXES[key])
+
+
+def parsed(spark: SparkSession, sf: str) -> DataFrame:
+    """The records with what parsing finds in them."""
     return parse_records(records(spark, sf), "raw")
 
 
+def members(spark: SparkSession, sf: str) -> DataFrame:
+    return index(spark, sf).members()
+
+
 def groups(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.template_groups(members(spark, sf))
+    return index(spark, sf).groups()
 
 
 MEMBERS_SQL = f"""members AS (

@@ -8,16 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loglattice.functions.records import parse_records
-from loglattice.operators import corpus, dedup, late_events
-from loglattice.streaming.versions import Versions
-
-
-class Conflict(RuntimeError):
-    """A record arrived again with another time or other bytes."""
+from loglattice.operators import dedup, late_events
+from loglattice.operators.index import Index
 
 
 def run(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -58,48 +53,16 @@ def correct_windows(spec: late_events.WindowSpec, path: str, disorder_ms: int =
 
 
 def upsert_corpus(path: str) -> Callable[[DataFrame, int], None]:
-    """Takes in records (native_id, ts_ms, raw): stores new ones, refuses conflicts, and keeps the template groups up to date.
+    """Takes in records (native_id, ts_ms, raw) and keeps the index below ``path`` up to date; see ``operators.index``.
 
     A conflict anywhere fails the whole batch before anything is committed.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        records, groups = Versions(spark, f"{path}/records"), Versions(spark, f"{path}/groups")
         batch.persist()
         try:
-            once = batch.dropDuplicates(["native_id", "ts_ms", "raw"])
-            if once.groupBy("native_id").count().where("count > 1").limit(1).count():
-                raise Conflict("two versions of a record in one batch")
-            older = [v for v in records.committed() if v < batch_id]
-            fresh = once
-            if older:
-                stored = spark.read.parquet(*[f"{path}/records/v{v}" for v in older])
-                outcome = corpus.insert_outcome(stored, once)
-                if outcome.where("outcome = 'conflict'").limit(1).count():
-                    raise Conflict("a stored record arrived with another time or other bytes")
-                fresh = outcome.where("outcome = 'new'").drop("outcome")
-            records.write(fresh.select("native_id", "ts_ms", "raw"), batch_id)
-            added = flat_groups(parse_records(records.read(batch_id), "raw"))
-            before = [v for v in groups.committed() if v < batch_id]
-            groups.write(corpus.merge_groups(groups.read(before[-1]), added) if before else added, batch_id)
+            Index(batch.sparkSession, path).add(batch, batch_id)
         finally:
             batch.unpersist()
 
     return on_batch
-
-
-def flat_groups(members: DataFrame) -> DataFrame:
-    """Template groups without ids, as they are merged over batches."""
-    at = F.struct(F.col("ts_ms").alias("t"), F.col("native_id").alias("i"))
-    g = members.groupBy("service", "role", "fingerprint").agg(F.count(F.lit(1)).alias("repeat_count"), F.min(at).alias("f"), F.max(at).alias("l"))
-    return g.select(
-        "service", "role", "fingerprint", "repeat_count",
-        F.col("f.t").alias("first_timestamp_millis"), F.col("f.i").alias("first_native_id"), F.col("l.t").alias("last_timestamp_millis"), F.col("l.i").alias("last_native_id"),
-    )
-
-
-def stored_records(spark: SparkSession, path: str) -> DataFrame:
-    versions = Versions(spark, f"{path}/records").committed()
-    return spark.read.parquet(*[f"{path}/records/v{v}" for v in versions])
-

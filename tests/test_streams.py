@@ -49,27 +49,6 @@ def test_windows_corrected_over_batches(spark, folders):
     assert state.diverted().count() == whole.agg(F.sum("n_dropped")).first()[0]
 
 
-def test_corpus_upsert_equals_one_batch(spark, folders):
-    raws = [json.dumps({"service": f"s{i % 3}", "level": "error", "message": f"lost request_id={i} kind {i % 4}"}) for i in range(60)]
-    rows = [(f"n{i:02d}", 1000 + i // 2, raws[i]) for i in range(60)]
-    schema = "native_id string, ts_ms long, raw string"
-    mixed = rows[:]
-    random.seed(3)
-    random.shuffle(mixed)
-    on_batch = pipelines.upsert_corpus(folders("corpus"))
-    for b in range(3):
-        on_batch(spark.createDataFrame(mixed[b * 20 : (b + 1) * 20] + mixed[:5], schema), b)  # some come again
-    from loglattice.functions.records import parse_records
-
-    want = pipelines.flat_groups(parse_records(spark.createDataFrame(rows, schema), "raw"))
-    got = Versions(spark, folders("corpus") + "/groups").read()
-    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
-    assert pipelines.stored_records(spark, folders("corpus")).count() == 60
-    with pytest.raises(pipelines.Conflict):
-        on_batch(spark.createDataFrame([("n01", 5, "other")], schema), 3)
-    assert Versions(spark, folders("corpus") + "/records").committed() == [0, 1, 2]
-
-
 def test_versions(spark, folders):
     v = Versions(spark, folders("v"))
     assert v.read() is None
