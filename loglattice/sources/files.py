@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loglattice.functions.records import base64url
-from loglattice.operators.framing import split_lines
 from loglattice.operators.incident import FAMILIES
 
 METRICS = "timestamp long, service string, metric string, value double"
@@ -19,15 +18,48 @@ class InvalidInput(ValueError):
     """A file breaks its format's rules; nothing of it is used."""
 
 
+BOM = b"\xef\xbb\xbf"
+
+
 def exact_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of whole files with their terminators: path, seq, payload, terminator. Split on line feeds only."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    return split_lines(files, "path", "text")
+    """Lines of whole uncompressed files, byte for byte: path, seq (from 0), payload (binary), terminator (binary; null for an unended tail).
+
+    Split on line feeds only; a carriage return before one joins the
+    terminator. Files are read in splits, so one may be of any size; lines are
+    numbered within a split and splits by running sums. An empty file has none, nor
+    has one that is nothing but a byte order mark.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    rows = raw.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("at"),
+        F.col("value").cast("binary").alias("raw"), F.monotonically_increasing_id().alias("i"),
+    )
+    splits = rows.groupBy("path", "at").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("raw") + 1).alias("bytes"), F.min("i").alias("low"), F.max("size").alias("size"))
+    before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("path")
+    # what the lines with their line feeds fall short of the file: a missing last line feed (-1), a byte order mark the reader swallows (3)
+    placed = splits.select("path", "at", "low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(whole).alias("lines"), (F.col("size") - F.sum("bytes").over(whole)).alias("short"))
+    # rows of a split are read in order, so their numbers rise by one
+    seq = F.col("first") + F.col("i") - F.col("low")
+    bare = F.when((seq == 0) & F.col("short").isin(2, 3), F.concat(F.lit(BOM), F.col("raw"))).otherwise(F.col("raw"))
+    ended = ~((seq == F.col("lines") - 1) & F.col("short").isin(-1, 2))
+    lines = rows.drop("size").join(placed, ["path", "at"]).select("path", seq.alias("seq"), bare.alias("raw"), ended.alias("ended"))
+    return lines.select("path", "seq", *_terminated("raw", F.col("ended")))
+
+
+def _terminated(raw: str, ended) -> list:
+    crlf = ended & (F.substring(raw, -1, 1) == F.lit(b"\r"))
+    payload = F.when(crlf, F.substring(raw, F.lit(1), F.octet_length(raw) - 1)).otherwise(F.col(raw))
+    return [payload.alias("payload"), F.when(crlf, F.lit(b"\r\n")).when(ended, F.lit(b"\n")).alias("terminator")]
 
 
 def streamed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a growing folder as a stream (``value``), split on line feeds only."""
-    return spark.readStream.option("lineSep", "\n").text(path)
+    """Lines of files that come into a folder, as a stream: path, payload and terminator (binary), as in ``exact_lines``.
+
+    Files must be whole when they appear; a last line without a line feed counts as ended.
+    """
+    rows = spark.readStream.option("lineSep", "\n").text(path)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("raw")).select("path", *_terminated("raw", F.lit(True)))
 
 
 def _checked(rows: DataFrame, wrong, what: str) -> DataFrame:

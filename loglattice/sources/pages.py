@@ -1,23 +1,24 @@
 """Paged log histories as a data source: recorded provider pages of several providers, batch and streaming.
 
 ``spark.read.format("recorded_pages").option("provider", "cloudwatch").load(path)``
-reads a folder of JSON page files. A page is what the provider's API returned;
-records come out as native_id, ts_ms, raw, page. Live providers are reached by
-putting their pages into such a folder; credentials and HTTP stay outside.
+reads a folder of JSON page files, in any file system pyarrow or Python can
+open. A page is what the provider's API returned; records come out as
+native_id, ts_ms, raw, stream, page and position. Each page is read in a task of its own,
+in streams too. Live providers are reached by putting their pages into such a
+folder; credentials and HTTP stay outside. ``sources.runs`` checks a whole run.
 """
 
 from __future__ import annotations
 
-import glob
 import json
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-SCHEMA = "native_id string, ts_ms long, raw string, page string"
-Row = tuple[str, int, str]
+SCHEMA = "native_id string, ts_ms long, raw string, stream string, page string, position int"
+Row = tuple[str, int, str, str]
 
 
 class IntegrityError(ValueError):
@@ -35,42 +36,65 @@ def _iso_ms(text: str) -> int:
 
 def _cloudwatch(page: dict) -> Iterator[Row]:
     for e in page.get("events", []):
-        yield e["eventId"], int(e["timestamp"]), e["message"]
+        yield e["eventId"], int(e["timestamp"]), e["message"], e.get("logStreamName", "")
 
 
 def _sentry(page: dict | list) -> Iterator[Row]:
     for e in page if isinstance(page, list) else page.get("data", []):
-        yield e["eventID"], _iso_ms(e["dateCreated"]), json.dumps(e, separators=(",", ":"), sort_keys=True)
+        yield e["eventID"], _iso_ms(e["dateCreated"]), json.dumps(e, separators=(",", ":"), sort_keys=True), ""
 
 
 def _datadog(page: dict) -> Iterator[Row]:
     for e in page.get("data", []):
-        yield e["id"], _iso_ms(e["attributes"]["timestamp"]), json.dumps(e, separators=(",", ":"), sort_keys=True)
+        yield e["id"], _iso_ms(e["attributes"]["timestamp"]), json.dumps(e, separators=(",", ":"), sort_keys=True), ""
 
 
 def _kubernetes(page: dict) -> Iterator[Row]:
     """Lines of one container instance: "<time> <stdout|stderr> <F|P> text"; the id is instance, stream and line number."""
     for i, line in enumerate(page.get("lines", [])):
         when, stream, _, text = (line.split(" ", 3) + ["", "", ""])[:4]
-        yield f"{page['instance']}/{stream}/{i}", _iso_ms(when), text
+        yield f"{page['instance']}/{stream}/{i}", _iso_ms(when), text, f"{page['instance']}/{stream}"
 
 
 PROVIDERS = {"cloudwatch": _cloudwatch, "sentry": _sentry, "datadog": _datadog, "kubernetes": _kubernetes}
 
 
-def read_page(provider: str, path: str) -> list[tuple[str, int, str, str]]:
-    """A page's records in (time, id) order; exact repetitions within the page are left out, conflicting ones are an error."""
-    with open(path, encoding="utf-8") as f:
-        page = json.load(f)
-    seen: dict[str, tuple[int, str]] = {}
-    for native_id, ts, raw in PROVIDERS[provider](page):
-        if seen.setdefault(native_id, (ts, raw)) != (ts, raw):
+def _system(path: str):
+    """pyarrow's file system of a path with a scheme, else None."""
+    if "://" not in path:
+        return None, path.removeprefix("file:")
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def read_page(provider: str, path: str) -> list[tuple[str, int, str, str, str, int]]:
+    """A page's records as they stand in it; exact repetitions within the page are left out, conflicting ones are an error."""
+    system, place = _system(path)
+    if system is None:
+        with open(place, encoding="utf-8") as f:
+            page = json.load(f)
+    else:
+        with system.open_input_stream(place) as f:
+            page = json.loads(f.read())
+    seen: dict[str, tuple[int, str, str]] = {}
+    out = []
+    for position, (native_id, ts, raw, stream) in enumerate(PROVIDERS[provider](page)):
+        if native_id not in seen:
+            out.append((native_id, ts, raw, stream, os.path.basename(path), position))
+        if seen.setdefault(native_id, (ts, raw, stream)) != (ts, raw, stream):
             raise IntegrityError(native_id)
-    return sorted(((i, ts, raw, os.path.basename(path)) for i, (ts, raw) in seen.items()), key=lambda r: (r[1], r[0]))
+    return out
 
 
 def page_files(path: str) -> list[str]:
-    return sorted(glob.glob(os.path.join(path, "*.json")))
+    system, place = _system(path)
+    if system is None:
+        return sorted(os.path.join(place, n) for n in os.listdir(place) if n.endswith(".json"))
+    from pyarrow import fs
+
+    scheme = path.split("://", 1)[0]
+    return sorted(f"{scheme}://{f.path}" for f in system.get_file_info(fs.FileSelector(place)) if f.path.endswith(".json"))
 
 
 class _Page(InputPartition):
@@ -89,21 +113,23 @@ class PageReader(DataSourceReader):
         yield from read_page(self.provider, partition.path)
 
 
-class PageStreamReader(SimpleDataSourceStreamReader):
-    """Offsets count the pages read, in file name order; at most ``pagesPerBatch`` pages a batch."""
+class PageStreamReader(DataSourceStreamReader):
+    """Offsets count the pages, in file name order; the driver only lists them."""
 
     def __init__(self, options: dict):
-        self.provider, self.path, self.most = options.get("provider", "cloudwatch"), options["path"], int(options.get("pagesPerBatch", "16"))
+        self.provider, self.path = options.get("provider", "cloudwatch"), options["path"]
 
     def initialOffset(self) -> dict:
         return {"pages": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        files = page_files(self.path)[start["pages"] : start["pages"] + self.most]
-        return iter([r for p in files for r in read_page(self.provider, p)]), {"pages": start["pages"] + len(files)}
+    def latestOffset(self) -> dict:
+        return {"pages": len(page_files(self.path))}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Page(p) for p in page_files(self.path)[start["pages"] : end["pages"]]]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([r for p in page_files(self.path)[start["pages"] : end["pages"]] for r in read_page(self.provider, p)])
+    def read(self, partition: _Page) -> Iterator[tuple]:
+        yield from read_page(self.provider, partition.path)
 
 
 class RecordedPages(DataSource):
@@ -117,5 +143,5 @@ class RecordedPages(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return PageReader(self.options)
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return PageStreamReader(self.options)

@@ -7,8 +7,14 @@ Ranges include both ends.
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
+
+from pyspark.sql import SparkSession
+
+from loglattice.session import created_alone, listed, read_text
 
 Record = tuple[str, int, str]
 Fetch = Callable[[int, int, str | None], tuple[Sequence[Record], str | None]]
@@ -28,6 +34,41 @@ class PageLimit(RuntimeError):
 @dataclass
 class Checkpoint:
     completed_ms: int | None = None
+    cursor_ms: int | None = None  # of the sweep over old history
+
+
+class StoredCheckpoint:
+    """A checkpoint kept below a folder, so that a restart goes on where it stopped; each change is a numbered file that one writer creates."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.number, self._now = -1, Checkpoint()
+        numbers = [int(n) for n in listed(spark, self.path) if n.isdigit()]
+        if numbers:
+            self.number = max(numbers)
+            self._now = Checkpoint(**json.loads(read_text(spark, f"{self.path}/{self.number}")))
+
+    def _change(self, **values: int | None) -> None:
+        now = replace(self._now, **values)
+        if not created_alone(self.spark, f"{self.path}/{self.number + 1}", json.dumps(asdict(now))):
+            raise RuntimeError("another writer moved this checkpoint")
+        self.number, self._now = self.number + 1, now
+
+    @property
+    def completed_ms(self) -> int | None:
+        return self._now.completed_ms
+
+    @completed_ms.setter
+    def completed_ms(self, value: int) -> None:
+        self._change(completed_ms=value)
+
+    @property
+    def cursor_ms(self) -> int | None:
+        return self._now.cursor_ms
+
+    @cursor_ms.setter
+    def cursor_ms(self, value: int | None) -> None:
+        self._change(cursor_ms=value)
 
 
 def read_range(fetch: Fetch, commit: Commit, start: int, end: int, most_pages: int = MOST_PAGES) -> int:
@@ -94,3 +135,27 @@ def sweep(cursor: int | None, oldest: int, newest: int, span: int, most_ranges:
 
 def backoff_seconds(base: int, errors: int, most: int = 3600) -> int:
     return min(base * 2 ** min(errors, 6), most)
+
+
+def sweep_on(fetch: Fetch, commit: Commit, checkpoint: Checkpoint | StoredCheckpoint, oldest: int, newest: int, span: int, most_ranges: int = 8) -> bool:
+    """Reads the next ranges of old history again and moves the stored cursor; True once it is through."""
+    ranges, following = sweep(checkpoint.cursor_ms, oldest, newest, span, most_ranges)
+    for start, end in ranges:
+        read_range(fetch, commit, start, end)
+    checkpoint.cursor_ms = following
+    return following is None
+
+
+def watch(round_: Callable[[], str], rounds: int, base: int = 60, sleep: Callable[[float], None] = time.sleep) -> list[str]:
+    """Runs sync rounds with a pause between them, longer after each error in a row; gives what each round said."""
+    said, errors = [], 0
+    for i in range(rounds):
+        try:
+            said.append(round_())
+            errors = 0
+        except (InvalidPage, PageLimit, OSError) as e:
+            said.append(type(e).__name__)
+            errors += 1
+        if i + 1 < rounds:
+            sleep(backoff_seconds(base, errors))
+    return said

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglattice.operators import late_events as le
-from loglattice.sources import files
+from loglattice.sources import files, runs
 from loglattice.sources.pages import IntegrityError, RecordedPages, read_page
 from loglattice.streaming import pipelines, sync
 from loglattice.streaming.versions import Versions
@@ -85,6 +85,145 @@ def test_sync_replays_halves_and_stops():
     assert [sync.backoff_seconds(60, n) for n in (0, 3, 9)] == [60, 480, 3600]
 
 
+def test_a_restart_goes_on(spark, folders):
+    history = [(f"r{i}", i * 10, "x") for i in range(20)]
+    read = []
+
+    def fetch(start, end, token):
+        return [r for r in history if start <= r[1] <= end], None
+
+    commit = lambda records: read.extend(r[1] for r in records)
+    cp = sync.StoredCheckpoint(spark, folders("cp"))
+    assert cp.completed_ms is None
+    assert sync.backfill(fetch, commit, cp, 0, 195, span=50, most_ranges=2) == "backfilling"
+    again = sync.StoredCheckpoint(spark, folders("cp"))
+    assert again.completed_ms == 99
+    assert sync.backfill(fetch, commit, again, 0, 195, span=50) == "scanned" and read == [i * 10 for i in range(20)]
+    assert not sync.sweep_on(fetch, commit, again, 0, 195, 40, 3)
+    assert sync.StoredCheckpoint(spark, folders("cp")).cursor_ms == 120
+    assert sync.sweep_on(fetch, commit, sync.StoredCheckpoint(spark, folders("cp")), 0, 195, 40, 3)
+    with pytest.raises(RuntimeError):
+        cp.completed_ms = 5  # an older process
+    pauses, turns = [], iter(["scanned", sync.PageLimit(), sync.PageLimit(), "scanned"])
+
+    def turn():
+        x = next(turns)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert sync.watch(turn, 4, 60, pauses.append) == ["scanned", "PageLimit", "PageLimit", "scanned"] and pauses == [60, 120, 240]
+
+
+@pytest.mark.parametrize("content", [b"a\xff\xfeb\n", b"one\r\ntwo\n\xff", b"", b"\n", b"\xef\xbb\xbfx\r\n\r\n\x00y\r", b"a\rb\n\xc3"])
+def test_exact_bytes(spark, tmp_path, content):
+    (tmp_path / "a.log").write_bytes(content)
+    rows = files.exact_lines(spark, str(tmp_path / "a.log")).orderBy("seq").collect()
+    want = [x for x in content.split(b"\n")]
+    ended = [b"\n"] * (len(want) - 1) + [b""]
+    if not want[-1]:
+        want, ended = want[:-1], ended[:-1]
+    assert b"".join(bytes(r["payload"]) + bytes(r["terminator"] or b"") for r in rows) == content
+    assert [r["seq"] for r in rows] == list(range(len(want)))
+    assert [(bytes(r["payload"]), bytes(r["terminator"] or b"")) for r in rows] == [(w[:-1], b"\r\n") if e and w.endswith(b"\r") else (w, e) for w, e in zip(want, ended)]
+
+
+def test_exact_bytes_over_splits(spark, tmp_path):
+    random.seed(4)
+    for name in ("a", "b"):
+        (tmp_path / name).write_bytes(b"".join(bytes(random.randrange(256) for _ in range(random.randint(0, 60))) + random.choice([b"\n", b"\r\n"]) for _ in range(3000)) + b"tail")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows = files.exact_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name in ("a", "b"):
+        mine = sorted((r for r in rows if r["path"].endswith(f"/{name}")), key=lambda r: r["seq"])
+        assert b"".join(bytes(r["payload"]) + bytes(r["terminator"] or b"") for r in mine) == (tmp_path / name).read_bytes()
+
+
+def test_streamed_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_bytes(b"x\xff\r\ny\n")
+    q = files.streamed_lines(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("lines").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((bytes(r["payload"]), bytes(r["terminator"])) for r in spark.table("lines").collect()) == [(b"x\xff", b"\r\n"), (b"y", b"\n")]
+
+
+def plain_run(pages, caps):
+    """pages: (token that led to it, records); the rules one after the other."""
+    seen, tokens, got, size, last = {}, set(), [], 0, None
+    for p, (token, records) in enumerate(pages):
+        if p >= caps.pages:
+            return "page_cap", got
+        if token is not None and (token == "" or token in tokens):
+            return "pagination_incomplete", got
+        tokens.add(token)
+        kept, stop = [], None
+        for i, (native_id, ts, raw) in enumerate(records):
+            if not native_id:
+                stop = "missing_identity"
+            elif native_id in seen:
+                if seen[native_id] == raw:
+                    continue
+                stop = "integrity_conflict"
+            elif len(raw) > caps.record_bytes:
+                stop = "record_too_large"
+            elif len(got) + len(kept) >= caps.records:
+                stop = "record_cap"
+            elif size + sum(len(k[3]) for k in kept) + len(raw) > caps.bytes:
+                stop = "byte_cap"
+            if stop:
+                break
+            seen[native_id] = raw
+            kept.append((p, ts, native_id, raw))
+        kept.sort()
+        if kept and last is not None and kept[0][1:3] < last and stop is None:
+            return "order_regressed", got
+        got += kept
+        size += sum(len(k[3]) for k in kept)
+        if kept:
+            last = kept[-1][1:3]
+        if stop:
+            return stop, got
+    return "finished", got
+
+
+BASE = [(None, [("a", 1, "xx"), ("b", 2, "yy"), ("a", 1, "xx")]), ("t1", [("d", 5, "zz"), ("c", 4, "w")]), ("t2", []), ("t3", [("e", 9, "vvv"), ("a", 1, "xx")])]
+RUNS = {
+    "finished": (BASE, runs.Caps()),
+    "page_cap": (BASE, runs.Caps(pages=3)),
+    "record_cap": (BASE, runs.Caps(records=3)),
+    "byte_cap": (BASE, runs.Caps(bytes=6)),
+    "record_too_large": (BASE, runs.Caps(record_bytes=2)),
+    "integrity_conflict": ([*BASE, ("t4", [("f", 10, "q"), ("b", 2, "other"), ("g", 11, "q")])], runs.Caps()),
+    "pagination_incomplete": ([*BASE, ("t1", [("f", 10, "q")])], runs.Caps()),
+    "order_regressed": ([*BASE, ("t4", [("f", 3, "q")])], runs.Caps()),
+    "missing_identity": ([*BASE, ("t4", [("f", 10, "q"), ("", 11, "q")])], runs.Caps()),
+}
+
+
+@pytest.mark.parametrize("rule", RUNS)
+def test_runs(spark, rule):
+    pages, caps = RUNS[rule]
+    rows = [(p, i, n, t, raw, "s") for p, (_, records) in enumerate(pages) for i, (n, t, raw) in enumerate(records)]
+    df = spark.createDataFrame(rows, "page_no int, position int, native_id string, ts_ms long, raw string, stream string")
+    index = spark.createDataFrame([(p, token) for p, (token, _) in enumerate(pages)], "page_no int, token string")
+    got, outcome = runs.acquire(df, index, caps)
+    want, records = plain_run(pages, caps)
+    assert outcome.outcome == want == rule
+    assert [(r["page_no"], r["ts_ms"], r["native_id"], r["raw"]) for r in got.orderBy("sequence").collect()] == records
+    assert outcome.records == len(records) and outcome.n_bytes == sum(len(r[3]) for r in records)
+
+
+def test_an_empty_run(spark):
+    df = spark.createDataFrame([], "page_no int, position int, native_id string, ts_ms long, raw string, stream string")
+    got, outcome = runs.acquire(df, spark.createDataFrame([], "page_no int, token string"))
+    assert got.count() == 0 and outcome == runs.Outcome("finished", None, None, 0, 0, 0)
+
+
 def test_recorded_pages(spark, tmp_path):
     pages = tmp_path / "pages"
     pages.mkdir()
@@ -93,7 +232,7 @@ def test_recorded_pages(spark, tmp_path):
     spark.dataSource.register(RecordedPages)
     got = spark.read.format("recorded_pages").option("provider", "cloudwatch").load(str(pages))
     assert sorted(r["native_id"] for r in got.collect()) == ["e00", "e01", "e10", "e11", "e20", "e21"]
-    stream = spark.readStream.format("recorded_pages").option("pagesPerBatch", "2").load(str(pages))
+    stream = spark.readStream.format("recorded_pages").load(str(pages))
     q = stream.writeStream.format("memory").queryName("pages").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
@@ -108,13 +247,10 @@ def test_recorded_pages(spark, tmp_path):
         ("kubernetes", {"instance": "pod/c/0", "lines": ["2023-01-01T00:00:00Z stdout F hello there"]}, ("pod/c/0/stdout/0", 1672531200000)),
     ):
         bad.write_text(json.dumps(page))
-        assert read_page(provider, str(bad))[0][:2] == want
+        assert read_page(provider, str(bad))[0][:2] == want == read_page(provider, f"file://{bad}")[0][:2]
 
 
 def test_file_sources(spark, tmp_path):
-    (tmp_path / "a.log").write_bytes(b"one\r\ntwo\n\xff")
-    got = [(r["payload"], r["terminator"]) for r in files.exact_lines(spark, str(tmp_path / "a.log")).orderBy("seq").collect()]
-    assert got == [("one", "\r\n"), ("two", "\n"), ("�", None)]
     m = tmp_path / "m.json"
     m.write_text('{"timestamp":1,"service":"a","metric":"cpu","value":1.5}\n')
     assert files.read_metrics(spark, str(m)).count() == 1
