@@ -139,7 +139,7 @@ def parse_records(rows: DataFrame, raw: str) -> DataFrame:
     whole = r"^[+-]?[0-9]{1,19}$"
     ts = F.coalesce(
         F.when(stated.rlike(whole), stated.try_cast("long")),
-        F.when(nanos.rlike(whole), (nanos.try_cast("decimal(38,0)") / 1_000_000_000).cast("decimal(38,9)").cast("long")),
+        F.when(nanos.rlike(whole), F.call_function("div", nanos.try_cast("decimal(38,0)"), F.lit(1_000_000_000).cast("decimal(38,0)"))),
         F.when(F.col("_ll_ras"), F.regexp_extract(text, _RAS, 1).cast("long")),
     )
     message = F.coalesce(

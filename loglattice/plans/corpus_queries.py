@@ -27,6 +27,10 @@ def parse_records(spark: SparkSession, sf: str) -> DataFrame:
     return views.parsed(spark, sf).drop("raw")
 
 
+def parse_layouts(spark: SparkSession, sf: str) -> DataFrame:
+    return fn.parse_records(views.layout_records(spark, sf), "raw").select("native_id", "service", "role", "fingerprint", "ts_seconds")
+
+
 def template_groups(spark: SparkSession, sf: str) -> DataFrame:
     return views.groups(spark, sf)
 
@@ -198,7 +202,7 @@ def shadow_bonus(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_records, template_groups, group_terms, group_members, lexical_candidates, task_match_strength, lexical_records, repeated_severe, severe_newest, severe_oldest,
+        parse_records, parse_layouts, template_groups, group_terms, group_members, lexical_candidates, task_match_strength, lexical_records, repeated_severe, severe_newest, severe_oldest,
         severe_from_anchor, severe_service_summary, service_directory, service_interleave, service_representatives, candidate_representatives, priority_fallback, merged_candidates,
         edge_evidence, service_edges, graph_neighbours, record_page, record_lookup, group_page, edge_page, evidence_page, stream_upsert_parity, nearby_records, record_samples, missing_members, insert_outcome, sensitive_screen, safe_samples, feedback_standing, shadow_bonus,
     )
@@ -244,6 +248,7 @@ _STREAMS = " UNION ALL ".join(
 )
 
 SQL = {
+    "parse_layouts": views.LAYOUTS_SQL,
     "parse_records": f"WITH {views.MEMBERS_SQL} SELECT native_id, ts_ms, service, role, fingerprint, ts_seconds, peer FROM members",
     "template_groups": f"WITH {views.GROUPS_SQL} SELECT * FROM groups",
     "group_terms": f"WITH {views.TERMS_SQL} SELECT * FROM terms",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglattice.functions import signals
-from loglattice.operators import analysis, incident, lanes, receipts
+from loglattice.operators import analysis, candidates, dedup, incident, receipts
 from loglattice.plans import incident_queries, pipeline_queries, ranking_queries
 from loglattice.plans.tables import table
 from loglattice.session import cut
@@ -26,16 +26,28 @@ def failure_signals(spark: SparkSession, sf: str) -> DataFrame:
 
 def question_lane(spark: SparkSession, sf: str) -> DataFrame:
     question = signals.question_of(ranking_queries.QUESTION)
-    return signals.question_lane(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", question)
+    found = signals.question_lane(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", question)
+    return found.withColumn("tf", F.col("tf").cast("long"))
 
 
 def merged_facets(spark: SparkSession, sf: str) -> DataFrame:
-    """Per facet the number of documents and the greatest affinity, over the question's and the signals' lanes."""
-    docs = table(spark, sf, "documents")
-    asked = question_lane(spark, sf).select(F.col("doc_id").alias("block_id"), "facet_id", F.lit(1_000_000).cast("long").alias("affinity"))
-    covered = signals.coverage_lane(signals.signals(docs, ["doc_id"], "text"), "doc_id")
-    merged = lanes.merged_affinities([asked, covered])
-    return merged.groupBy("facet_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.max("affinity").alias("affinity"))
+    """Per facet of the three lanes over all documents its kind and weight, the number of its blocks, and their affinities."""
+    text = F.col("text")
+    blocks = table(spark, sf, "documents").select(F.col("doc_id").alias("block_id"), F.coalesce("source", F.lit("?")).alias("lane"), "text", F.array(F.when(text != "", F.md5(text))).alias("keys"))
+    any_number = candidates.Bounds(None, None, None)
+    parts = [candidates.lexical(blocks, signals.question_of(ranking_queries.QUESTION), any_number), candidates.coverage(blocks), candidates.provider(blocks, bounds=any_number)]
+    both = candidates.merged(parts)
+    held = both.affinities.groupBy("facet_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.max("affinity").alias("affinity"), F.sum("affinity").alias("total"))
+    return both.facets.join(held, "facet_id", "left").select("facet_id", "kind", "weight", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), "affinity", "total")
+
+
+def delivery_accounting(spark: SparkSession, sf: str) -> DataFrame:
+    """Every delivered message kept, left out as a copy, or without an identifier; each in one of these."""
+    rows = table(spark, sf, "cloudwatch_messages").select("delivery_id", "event_id", F.coalesce(F.octet_length("message"), F.lit(0)).cast("long").alias("n_bytes"))
+    copies = dedup.repeated_deliveries(rows, ["event_id"], "delivery_id")
+    named = rows.where("event_id is not null")
+    parts = {"copy": copies, "kept": named.join(copies, "delivery_id", "left_anti"), "unnamed": rows.where("event_id is null")}
+    return receipts.accounting(rows, parts, "delivery_id", "n_bytes")
 
 
 def block_accounting(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,10 +80,76 @@ def top_traces(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.top_traces(found).select("rank", "service", "truncated")
 
 
-QUERIES = {f.__name__: f for f in (failure_signals, question_lane, merged_facets, block_accounting, run_totals, visible_groups, top_metrics, top_traces)}
+QUERIES = {f.__name__: f for f in (failure_signals, question_lane, merged_facets, block_accounting, delivery_accounting, run_totals, visible_groups, top_metrics, top_traces)}
+
+_UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
+
+
+def _words(items) -> str:
+    return ", ".join("'" + x + "'" for x in items)
+
+
+def _tokens(text: str) -> str:
+    """Compound tokens of a text in SQL."""
+    parts = f"""flatten(list_transform(list_filter(list_transform(string_split(c, '/'), lambda s: trim(s, '.-')), lambda s: s <> ''), lambda s: list_concat(
+    CASE WHEN s <> c THEN [s] ELSE [] END, CASE WHEN regexp_matches(s, '{_UUID}') THEN [] ELSE list_filter(string_split_regex(s, '[.-]'), lambda p: p <> '' AND p <> s AND p <> c) END)))"""
+    return f"""flatten(list_transform(list_filter(list_transform(regexp_extract_all({text}, '[A-Za-z0-9_./-]+'), lambda x: trim(x, '.-')), lambda x: x <> ''), lambda c: list_concat([c], {parts})))"""
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FAILED = "CASE " + " ".join(f"WHEN w IN ({_words(v)}) THEN '{k}'" for k, v in signals.FAILURES.items()) + """
+  WHEN regexp_full_match(t, '[A-Za-z0-9_]+(Exception|Error)') AND regexp_matches(t, '[A-Z][A-Za-z0-9_]*(Exception|Error)$') THEN 'exception'
+  WHEN regexp_full_match(w, 'e[0-9]{4}') AND w <> 'e0000' THEN 'compiler_error' END"""
+_ONSET = "CASE " + " ".join(f"WHEN w IN ({_words(v)}) THEN '{k}'" for k, v in signals.ONSETS.items()) + " END"
+
+
+def _found(source: str, keep: str, text: str) -> str:
+    """CTEs ending in ``found``: keep columns, side and kind of each signal."""
+    return f"""tok AS (SELECT {keep}, {_tokens(text)} AS ts FROM {source} WHERE {text} IS NOT NULL),
+one AS (SELECT {keep}, unnest(list_transform(ts, lambda t, i: {{'t': t, 'p': CASE WHEN i > 1 THEN ts[i - 1] END}})) AS x FROM tok),
+low AS (SELECT {keep}, x.t AS t, {_LOWER.format('x.t')} AS w, {_LOWER.format('x.p')} AS before FROM one),
+found AS (
+  SELECT {keep}, 'failure' AS side, {_FAILED} AS kind FROM low WHERE before IS NULL OR before NOT IN ({_words(signals.NEGATORS)})
+  UNION ALL SELECT {keep}, 'onset', {_ONSET} FROM low)"""
+
 
+_ASKED = signals.question_of(ranking_queries.QUESTION)
+_TERMS = _words(_ASKED.terms)
+_DOC_TOKENS = f"dt AS (SELECT doc_id, {_tokens(_LOWER.format('text'))} AS ts FROM documents)"
+_HITS = f"{_DOC_TOKENS}, q AS (SELECT unnest([{_TERMS}]) AS term), hit AS (SELECT doc_id, term, len(list_filter(ts, lambda x: x = term)) AS tf FROM dt, q WHERE list_contains(ts, term))"
 _ORDER = "service <> 'quota-gate', CASE role WHEN 'critical' THEN 0 WHEN 'error' THEN 1 WHEN 'change' THEN 2 WHEN 'warning' THEN 3 ELSE 4 END, repeat_count, group_id"
 SQL = {
+    "failure_signals": f"WITH {_found('cloudwatch_messages', 'log_stream', 'message')} SELECT log_stream, side, kind, count(*) AS n FROM found WHERE kind IS NOT NULL GROUP BY ALL",
+    "question_lane": f"WITH {_HITS} SELECT doc_id, 'term:' || term AS facet_id, 'term' AS kind, tf, false AS mandatory FROM hit",
+    "merged_facets": f"""WITH {_found('documents', 'doc_id', 'text')}, {_HITS},
+st AS (SELECT count(*)::HUGEINT AS n, sum(coalesce(len(ts), 0))::HUGEINT AS total FROM dt),
+df AS (SELECT q.term, count(doc_id)::HUGEINT AS df FROM q LEFT JOIN hit USING (term) GROUP BY 1),
+b AS (SELECT doc_id, coalesce(source, '?') AS lane, coalesce((SELECT bool_or(f.side = 'failure' AND f.kind IS NOT NULL) FROM found f WHERE f.doc_id = d.doc_id), false) AS f,
+  coalesce((SELECT bool_or(f.side = 'onset' AND f.kind IS NOT NULL) FROM found f WHERE f.doc_id = d.doc_id), false) AS o FROM documents d),
+m AS (SELECT lane, min(doc_id) AS head, max(doc_id) AS tail, min(doc_id) FILTER (f) AS ff, min(doc_id) FILTER (o) AS fo FROM b GROUP BY 1),
+n AS (SELECT m.lane, max(doc_id) FILTER (doc_id < ff) AS bf, max(doc_id) FILTER (doc_id < fo) AS bo FROM m JOIN b USING (lane) GROUP BY 1),
+pos AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents),
+strata AS (SELECT pos.doc_id, i, least(8, n) AS k FROM pos, range(8) r(i) WHERE i < least(8, n) AND p = i * n // least(8, n)),
+keyed AS (SELECT doc_id, md5(text) AS key FROM documents WHERE text <> ''),
+aff AS (
+  SELECT doc_id, 'term:' || term AS facet_id, 'query_term' AS kind, (1000000 * (n - df + 1) // (n + 1))::BIGINT AS weight,
+    ((10 * total * tf * 1000000) // (10 * total * tf + 3 * total + 9 * len(ts) * n))::BIGINT AS affinity FROM hit JOIN df USING (term) JOIN dt USING (doc_id), st
+  UNION ALL SELECT DISTINCT doc_id, side || ':' || kind, side || '_role', 1000000, 1000000 FROM found WHERE kind IS NOT NULL
+  UNION ALL SELECT head, 'lane_head:' || lane, 'source_coverage_stratum', 250000, 1000000 FROM m
+  UNION ALL SELECT tail, 'lane_tail:' || lane, 'source_coverage_stratum', 250000, 1000000 FROM m
+  UNION ALL SELECT ff, 'first_failure:' || lane, 'onset_role', 1000000, 1000000 FROM m WHERE ff IS NOT NULL
+  UNION ALL SELECT fo, 'first_onset:' || lane, 'onset_role', 1000000, 1000000 FROM m WHERE fo IS NOT NULL
+  UNION ALL SELECT bf, 'before_failure:' || lane, 'onset_role', 1000000, 1000000 FROM n WHERE bf IS NOT NULL
+  UNION ALL SELECT bo, 'before_onset:' || lane, 'onset_role', 1000000, 1000000 FROM n WHERE bo IS NOT NULL
+  UNION ALL SELECT min(doc_id), 'retrieval_head', 'source_coverage_stratum', 250000, 1000000 FROM documents
+  UNION ALL SELECT max(doc_id), 'retrieval_tail', 'source_coverage_stratum', 250000, 1000000 FROM documents
+  UNION ALL SELECT doc_id, 'stratum:' || i || '/' || k, 'time_coverage_stratum', 250000, 1000000 FROM strata
+  UNION ALL SELECT doc_id, 'relation:' || key, 'provider_attested_graph_relation', 500000, 1000000 FROM keyed WHERE key IN (SELECT key FROM keyed GROUP BY 1 HAVING count(*) > 1))
+SELECT facet_id, kind, weight, count(*) AS n_blocks, max(affinity) AS affinity, sum(affinity)::BIGINT AS total FROM aff GROUP BY 1, 2, 3
+UNION ALL SELECT 'term:' || term, 'query_term', (1000000 * (n - df + 1) // (n + 1))::BIGINT, 0, NULL, NULL FROM df, st WHERE df = 0""",
+    "delivery_accounting": """WITH d AS (
+  SELECT coalesce(octet_length(encode(message)), 0)::BIGINT AS n, event_id, row_number() OVER (PARTITION BY event_id ORDER BY delivery_id) AS rn FROM cloudwatch_messages)
+SELECT CASE WHEN event_id IS NULL THEN 'unnamed' WHEN rn = 1 THEN 'kept' ELSE 'copy' END AS disposition, count(*) AS n_records, sum(n)::BIGINT AS n_bytes FROM d GROUP BY 1""",
     "run_totals": """SELECT count(*) AS n_cases, count(*) FILTER (o_orderstatus = 'F') AS complete, count(*) FILTER (o_orderstatus = 'P') AS partial,
   count(*) FILTER (o_orderstatus NOT IN ('F', 'P')) AS unknown, sum(o_custkey)::BIGINT AS total_cost FROM orders""",
     "visible_groups": f"SELECT group_id, service, role, repeat_count, row_number() OVER (PARTITION BY service ORDER BY {_ORDER}) AS turn FROM log_groups QUALIFY turn <= 3",

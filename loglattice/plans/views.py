@@ -45,6 +45,33 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("event_id").cast("string").alias("native_id"), ms.alias("ts_ms"), F.to_json(doc).alias("raw"))
 
 
+def layout_records(spark: SparkSession, sf: str) -> DataFrame:
+    """native_id and raw in six layouts other than plain JSON: a RAS line, a framework's preamble, an access line, a bracketed head, OpenTelemetry and key=value."""
+    i, u = F.col("event_id"), F.col("user_id") % SERVICES
+    grave = F.col("event_type") == "error"
+    raw = (
+        F.when(i % 6 == 0, F.concat(F.lit("- 1117838570 2005.06.03 R02-M1 2005-06-03-15.42.50.363779 R02-M1 RAS KERN"), u, F.lit(" "), F.when(grave, "FATAL").otherwise("INFO"), F.lit("  data  at 12:30:05.25 on "), i % 9))
+        .when(i % 6 == 1, F.concat(F.lit("2024-01-15 10:00:00.123 "), F.when(grave, "ERROR").otherwise("WARN"), F.lit(" [svc,ab"), u, F.lit("] 12 --- [main] c.x.Y : took "), i % 7))
+        .when(i % 6 == 2, F.concat(F.lit("GET /v1/items/"), u, F.lit(" "), F.when(grave, 503).when(F.col("event_type") == "click", 404).otherwise(200), F.lit(" 12.5 ms - "), i))
+        .when(i % 6 == 3, F.concat(F.lit("[svc-"), u, F.lit("] "), F.when(grave, "ERROR").otherwise("info"), F.lit(": request_id=r"), i, F.lit(" restart of 10.0.0.1:"), i % 999 + 1))
+        .when(i % 6 == 4, F.concat(F.lit('{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"svc-'), u, F.lit('"}}]},"severityNumber":'), F.when(grave, 21).otherwise(13), F.lit(',"body":{"stringValue":"lost shard '), i % 5, F.lit('"},"timeUnixNano":"17040672'), F.lpad((i % 100).cast("string"), 2, "0"), F.lit('999999999"}')))
+        .otherwise(F.concat(F.lit("timestamp=5 level="), F.when(grave, "critical").otherwise("debug"), F.lit(" service=svc-"), u, F.lit(", without error "), i % 8))
+    )
+    return table(spark, sf, "events").select(i.cast("string").alias("native_id"), raw.alias("raw"))
+
+
+LAYOUTS_SQL = f"""WITH e AS (SELECT event_id AS i, user_id % {SERVICES} AS u, event_type = 'error' AS grave, event_type FROM events)
+SELECT i::VARCHAR AS native_id,
+  CASE i % 6 WHEN 0 THEN 'kern' || u WHEN 3 THEN 'svc-' || u WHEN 4 THEN 'svc-' || u WHEN 5 THEN 'svc-' || u ELSE 'unknown' END AS service,
+  CASE i % 6 WHEN 0 THEN CASE WHEN grave THEN 'critical' ELSE 'context' END WHEN 1 THEN CASE WHEN grave THEN 'error' ELSE 'warning' END
+    WHEN 2 THEN CASE WHEN grave THEN 'error' WHEN event_type = 'click' THEN 'warning' ELSE 'context' END WHEN 3 THEN CASE WHEN grave THEN 'error' ELSE 'change' END
+    WHEN 4 THEN CASE WHEN grave THEN 'critical' ELSE 'warning' END ELSE CASE WHEN grave THEN 'critical' ELSE 'context' END END AS role,
+  CASE i % 6 WHEN 0 THEN 'data at <time> on ' || (i % 9) WHEN 1 THEN '<date> <time> ' || CASE WHEN grave THEN 'error' ELSE 'warn' END || ' [svc,ab' || u || '] 12 --- [main] c.x.y : took ' || (i % 7)
+    WHEN 2 THEN 'get /v1/items/' || u || ' ' || CASE WHEN grave THEN 503 WHEN event_type = 'click' THEN 404 ELSE 200 END || ' <latency> ms - <bytes>'
+    WHEN 3 THEN '[svc-' || u || '] ' || CASE WHEN grave THEN 'error' ELSE 'info' END || ': request_id=<id> restart of 10.0.0.1:<port>' WHEN 4 THEN 'lost shard ' || (i % 5) ELSE 'without error ' || (i % 8) END AS fingerprint,
+  CASE i % 6 WHEN 0 THEN 1117838570 WHEN 4 THEN 1704067200 + i % 100 END::BIGINT AS ts_seconds
+FROM e"""
+
 _INDEXES: dict[tuple[str, str], str] = {}
 
 
