@@ -56,8 +56,7 @@ def template_groups(members: DataFrame) -> DataFrame:
         F.col("first.ts_ms").alias("first_timestamp_millis"), F.col("first.native_id").alias("first_native_id"),
         F.col("last.ts_ms").alias("last_timestamp_millis"), F.col("last.native_id").alias("last_native_id"),
     )
-    # read three times below: cut here, where templates have made the table small
-    return dense_ids(cut(flat), "group_id", "first_timestamp_millis", ["first_native_id", "service", "role", "fingerprint"])
+    return dense_ids(flat, "group_id", ["first_timestamp_millis", "first_native_id", "service", "role", "fingerprint"])
 
 
 def merge_groups(old: DataFrame, new: DataFrame) -> DataFrame:

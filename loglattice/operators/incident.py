@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loglattice.operators.corpus import bounded
 from loglattice.operators.prefix import medians, order_statistics
 from loglattice.session import cut
 
@@ -31,9 +32,9 @@ def metric_shifts(points: DataFrame, incident: int, width: int = 300, least: int
     """points: at, service, metric, value, id. One row per series with enough points on both sides."""
     sided = points.withColumn("p", period(F.col("at"), incident, width)).where("p is not null")
     both = medians(sided, ["service", "metric", "p"], "value", "id")
-    base = both.where("p = 0").select("service", "metric", F.col("median").alias("baseline_median"), F.col("n").alias("baseline_count"), F.col("example").alias("baseline_id"))
-    late = both.where("p = 1").select("service", "metric", F.col("median").alias("incident_median"), F.col("n").alias("incident_count"), F.col("example").alias("incident_id"))
-    series = base.join(late, ["service", "metric"]).where((F.col("baseline_count") >= least) & (F.col("incident_count") >= least))
+    named = {"median": "median", "count": "n", "id": "example"}
+    sides = [F.max(F.when(F.col("p") == p, F.col(c))).alias(f"{side}_{name}") for p, side in ((0, "baseline"), (1, "incident")) for name, c in named.items()]
+    series = both.groupBy("service", "metric").agg(*sides).where((F.col("baseline_count") >= least) & (F.col("incident_count") >= least))
     old, now = F.col("baseline_median"), F.col("incident_median")
     return series.withColumn("relative_shift", F.abs(now - old) / F.greatest(F.abs(old), F.abs(now) * 0.01, F.lit(1e-6)))
 
@@ -92,7 +93,7 @@ def link_counts(spans: DataFrame) -> DataFrame:
 
 def trace_signals(spans: DataFrame, incident_ms: int, width_ms: int = 300_000) -> DataFrame:
     """Per service counts, failing statuses and duration medians before and after, and a priority."""
-    sided = spans.withColumn("p", period(F.col("start_ms"), incident_ms, width_ms)).where("p is not null")
+    sided = cut(spans.withColumn("p", period(F.col("start_ms"), incident_ms, width_ms)).where("p is not null").select("service", "p", "status_code", "duration", "line"))
     failed = F.coalesce(F.col("status_code"), F.lit(0)) != 0
     counts = []
     for p, name in ((0, "before"), (1, "after")):
@@ -102,45 +103,62 @@ def trace_signals(spans: DataFrame, incident_ms: int, width_ms: int = 300_000) -
         ]
     out = sided.groupBy("service").agg(*counts)
     middle = medians(sided, ["service", "p"], "duration", "line")
-    for p, name in ((0, "before"), (1, "after")):
-        mine = middle.where(F.col("p") == p).select("service", F.col("median").alias(f"{name}_median"), F.col("example").alias(f"{name}_example"))
-        out = out.join(mine, "service", "left")
+    sides = [F.max(F.when(F.col("p") == p, F.col(c))).alias(f"{name}_{c}") for p, name in ((0, "before"), (1, "after")) for c in ("median", "example")]
+    out = out.join(middle.groupBy("service").agg(*sides), "service", "left")
     rate = {n: F.col(f"{n}_failed") / F.greatest(F.col(f"{n}_count"), F.lit(1)) for n in ("before", "after")}
     enough = (F.col("before_durations") >= 5) & (F.col("after_durations") >= 5)
     slower = F.when(enough, F.log1p(F.col("after_median") / F.greatest(F.col("before_median"), F.lit(1.0)))).otherwise(0.0)
     return out.withColumn("priority", F.greatest(rate["after"] - rate["before"], F.lit(0.0)) * 10 + slower)
 
 
-def operation_signals(spans: DataFrame, edges: DataFrame, incident_ms: int, width_ms: int = 300_000) -> DataFrame:
-    """Per service, operation and failing status the counts before and after; the operation's target if exactly one observed edge fits its name."""
-    sided = spans.withColumn("p", period(F.col("start_ms"), incident_ms, width_ms)).where("p is not null and operation is not null")
+def grpc_status_name(code: Column) -> Column:
+    """Name of a gRPC status that isn't OK; null for any other number."""
+    return F.when(code.between(1, len(GRPC_STATUS) - 1), F.get(F.array(*map(F.lit, GRPC_STATUS)), code.cast("int")))
+
+
+def operation_signals(spans: DataFrame, edges: DataFrame, incident_ms: int, width_ms: int = 300_000, most: int | None = None) -> DataFrame:
+    """Per service, operation, failing status and its kind the counts before and after, the status's name if it's a gRPC one, and the operation's target if exactly one observed edge fits its name.
+
+    spans may have ``status_code_kind`` (grpc, or null for untyped). With
+    ``most`` the signals that rose most come first, with rank and truncated.
+    """
+    if "status_code_kind" not in spans.columns:
+        spans = spans.withColumn("status_code_kind", F.lit(None).cast("string"))
+    sided = cut(spans.withColumn("p", period(F.col("start_ms"), incident_ms, width_ms)).where("p is not null and operation is not null").select("service", "operation", "status_code", "status_code_kind", "p", "line"))
     count = lambda p: F.count(F.when(F.col("p") == p, 1))
     totals = sided.groupBy("service", "operation").agg(count(0).alias("before_operations"), count(1).alias("after_operations"))
-    failing = sided.where("status_code <> 0").groupBy("service", "operation", "status_code").agg(count(0).alias("before_count"), count(1).alias("after_count"), F.min(F.when(F.col("p") == 1, F.col("line"))).alias("example_after"))
+    failing = sided.where("status_code <> 0").groupBy("service", "operation", "status_code", "status_code_kind").agg(count(0).alias("before_count"), count(1).alias("after_count"), F.min(F.when(F.col("p") == 1, F.col("line"))).alias("example_after"))
     named = F.lower(F.element_at(F.split(F.element_at(F.split("operation", "/"), 1), r"\."), -1))
     targets = edges.select(F.col("source_service").alias("service"), F.lower("target_service").alias("wanted"), "target_service").distinct()
     only = targets.groupBy("service", "wanted").agg(F.count(F.lit(1)).alias("n"), F.min("target_service").alias("observed_target")).where("n = 1").drop("n")
-    return failing.join(totals, ["service", "operation"]).withColumn("wanted", named).join(only, ["service", "wanted"], "left").drop("wanted")
+    out = failing.join(totals, ["service", "operation"]).withColumn("wanted", named).join(only, ["service", "wanted"], "left").drop("wanted")
+    out = out.withColumn("status_name", F.when(F.col("status_code_kind") == "grpc", grpc_status_name(F.col("status_code"))))
+    if most is None:
+        return out
+    rise = F.greatest(F.col("after_count") - F.col("before_count"), F.lit(0))
+    return bounded(out, [rise.desc(), F.desc("after_count"), F.asc("service"), F.asc("operation"), F.asc("status_code"), F.asc("status_code_kind")], most)
 
 
 # --- services ---
 
 
-def transitive_dependents(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def transitive_dependents(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """service and dependent pairs of the closure of "source depends on target"; cycles end by themselves.
 
-    Each round joins only what the last one found; lineage is cut every round.
-    The rounds double the reach, so 64 of them suffice for any graph.
+    Each round joins only the pairs the last one found with the edges, and
+    keeps those that are new; lineage is cut every round. There are as many
+    rounds as the longest shortest path has edges.
     """
-    reach = cut(edges.select(F.col("target_service").alias("service"), F.col("source_service").alias("dependent")).where("service <> dependent").distinct())
-    n = reach.count()
+    direct = cut(edges.select(F.col("target_service").alias("service"), F.col("source_service").alias("dependent")).where("service <> dependent").distinct())
+    onward = direct.select(F.col("service").alias("via"), F.col("dependent").alias("next"))
+    reach = found = direct
     for _ in range(most_rounds):
-        step = reach.alias("a").join(reach.alias("b"), F.col("a.dependent") == F.col("b.service")).select(F.col("a.service").alias("service"), F.col("b.dependent").alias("dependent"))
-        reach = cut(reach.union(step.where("service <> dependent")).distinct())
-        more = reach.count()
-        if more == n:
+        step = found.join(onward, F.col("dependent") == F.col("via")).select("service", F.col("next").alias("dependent")).where("service <> dependent").distinct()
+        known = reach.select(F.col("service").alias("s"), F.col("dependent").alias("d"))
+        found = cut(step.join(known, (F.col("service") == F.col("s")) & (F.col("dependent") == F.col("d")), "left_anti"))
+        if found.limit(1).count() == 0:
             return reach
-        n = more
+        reach = cut(reach.union(found))
     raise RuntimeError("the closure didn't end")
 
 

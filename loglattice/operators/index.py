@@ -156,8 +156,8 @@ class Index:
             grown, fresh = new.where("group_id is not null"), new.where("group_id is null").drop("group_id")
             top = known.agg(F.max("group_id")).first()[0] or 0
         else:
-            grown, fresh, top = None, cut(new), 0
-        numbered = dense_ids(fresh, "group_id", "first_timestamp_millis", ["first_native_id", *KEY]).withColumn("group_id", F.col("group_id") + F.lit(top)).select(*GROUP)
+            grown, fresh, top = None, new, 0
+        numbered = dense_ids(fresh, "group_id", ["first_timestamp_millis", "first_native_id", *KEY]).withColumn("group_id", F.col("group_id") + F.lit(top)).select(*GROUP)
         numbered = numbered if grown is None else grown.select(*GROUP).unionByName(numbered)
         groups = store(numbered.withColumn("group_key", group_key()), "groups")
         terms = corpus.group_terms(groups.where(F.col("group_id") > top))

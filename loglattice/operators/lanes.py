@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loglattice.operators.prefix import running_sums
+from loglattice.session import cut
 
 BLOCK = 4096
 
@@ -24,9 +25,9 @@ def positions(rows: DataFrame, keys: list[str], seq: str, name: str = "position"
 def boundaries(rows: DataFrame, lane: str, seq: str, failure: Column, onset: Column) -> DataFrame:
     """Per lane: head, tail, first failure and the row before it, first onset and the row before it, number of failures."""
     base = rows.select(lane, F.col(seq).alias("seq"), failure.alias("f"), onset.alias("o"))
-    firsts = base.groupBy(lane).agg(
+    firsts = cut(base.groupBy(lane).agg(
         F.min("seq").alias("head"), F.max("seq").alias("tail"), F.min(F.when(F.col("f"), F.col("seq"))).alias("first_failure"), F.min(F.when(F.col("o"), F.col("seq"))).alias("first_onset"), F.count(F.when(F.col("f"), 1)).alias("n_failures")
-    )
+    ))  # one row per lane, read below twice
     marks = firsts.select(lane, "first_failure", "first_onset")
     before = base.select(lane, "seq").join(marks, lane).groupBy(lane).agg(
         F.max(F.when(F.col("seq") < F.col("first_failure"), F.col("seq"))).alias("before_failure"), F.max(F.when(F.col("seq") < F.col("first_onset"), F.col("seq"))).alias("before_onset")

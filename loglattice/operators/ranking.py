@@ -10,13 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loglattice.functions.records import ascii_lower, settled
-from loglattice.operators.prefix import order_statistics, quantile_bucket, running_sums
+from loglattice.operators.prefix import dense_ids, order_statistics
 
 SCALE = 1_000_000
 BODY_B, ID_B, K1 = 750_000, 250_000, 1_200_000
 BODY_WEIGHT, ID_WEIGHT = 1_000_000, 2_000_000
 MOST_TOKEN = 64
-RANK_BLOCK = 4096
 # Words a query may contain that say nothing.
 QUERY_STOP_WORDS = frozenset("a an the is are was were what which who why how did does do to of for in on at by with from around cause caused".split())
 FIELD_TOKEN = "[A-Za-z0-9_.-]+"
@@ -140,20 +139,9 @@ def query_features(docs: DataFrame, doc: str, text: str, query: str) -> DataFram
     return scored.where("full_match or matched > 0")
 
 
-def full_ranks(rows: DataFrame, doc: str, order: Sequence[str], coarse: Column) -> DataFrame:
-    """doc and its ``rank`` from 1 among all rows, by ``order`` (columns, all descending), then by doc (unique).
-
-    ``coarse`` is a number that never rises along the order; its quantiles cut
-    the table. Rows that tie in the order are cut by blocks of doc, so that no
-    task sees all rows or all of a tie.
-    """
-    block = [*order, "_ll_block"]
-    cells = rows.select(doc, *order, (-coarse).cast("double").alias("_ll_coarse"), F.expr(f"{doc} div {RANK_BLOCK}").alias("_ll_block"))
-    sizes = cells.groupBy(*block).agg(F.first("_ll_coarse").alias("_ll_coarse"), F.count(F.lit(1)).alias("_ll_n"))
-    marked = sizes.withColumns({"_ll_all": F.lit(0), "_ll_bucket": quantile_bucket(sizes, "_ll_coarse")})
-    before = running_sums(marked, ["_ll_all"], "_ll_bucket", [*[F.desc(c) for c in order], F.asc("_ll_block")], {"_ll_before": "_ll_n"})
-    inside = F.row_number().over(Window.partitionBy(*block).orderBy(doc))
-    return cells.join(before.select(*block, "_ll_before"), block).select(doc, (F.col("_ll_before") + inside).cast("long").alias("rank"))
+def full_ranks(rows: DataFrame, doc: str, order: Sequence[str]) -> DataFrame:
+    """doc and its ``rank`` from 1 among all rows, by ``order`` (columns, all descending), then by doc (unique)."""
+    return dense_ids(rows.select(doc, *order), "rank", [*[F.desc(c) for c in order], F.asc(doc)]).select(doc, "rank")
 
 
 def reciprocal_ranks(lists: Sequence[DataFrame], key: str, k: int = 60) -> DataFrame:

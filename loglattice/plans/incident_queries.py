@@ -53,13 +53,14 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").join(customers, "o_custkey").select(
         F.col("o_orderkey").alias("trace_id"), F.lit("o").alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"), F.concat(F.lit("nation"), "c_nationkey").alias("service"),
         F.expr(ms.format("o_orderdate")).alias("start_ms"), F.col("o_totalprice").cast("long").alias("duration"), F.lit(0).cast("long").alias("status_code"), F.lit(None).cast("string").alias("operation"),
-        (F.col("o_orderkey") * 10).alias("line"),
+        F.lit(None).cast("string").alias("status_code_kind"), (F.col("o_orderkey") * 10).alias("line"),
     )
     status = F.when(F.col("l_returnflag") == "R", 14).when(F.col("l_returnflag") == "A", 5).otherwise(0).cast("long")
     lines = table(spark, sf, "lineitem").join(suppliers, "l_suppkey").select(
         F.col("l_orderkey").alias("trace_id"), F.concat(F.lit("l"), "l_linenumber").alias("span_id"), F.lit("o").alias("parent_span_id"), F.concat(F.lit("nation"), "s_nationkey").alias("service"),
         F.expr(ms.format("l_shipdate")).alias("start_ms"), F.col("l_quantity").cast("long").alias("duration"), status.alias("status_code"),
-        F.concat(F.lit("shop.nation"), F.col("l_partkey") % 25, F.lit("/Ship")).alias("operation"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"),
+        F.concat(F.lit("shop.nation"), F.col("l_partkey") % 25, F.lit("/Ship")).alias("operation"),
+        F.when(F.col("l_returnflag") == "R", "grpc").alias("status_code_kind"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"),
     )
     return orders.unionByName(lines)
 
@@ -81,6 +82,13 @@ def trace_status_signals(spark: SparkSession, sf: str) -> DataFrame:
     return incident.operation_signals(rows, incident.span_edges(rows), TRACE_INCIDENT, TRACE_WIDTH)
 
 
+def top_operations(spark: SparkSession, sf: str) -> DataFrame:
+    """The sixteen operation statuses that rose most."""
+    rows = spans(spark, sf)
+    found = incident.operation_signals(rows, incident.span_edges(rows), TRACE_INCIDENT, TRACE_WIDTH, 16)
+    return found.select("rank", "service", "operation", "status_code", "after_count", "truncated")
+
+
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "service_edges")
 
@@ -123,7 +131,7 @@ def group_order(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        metric_shift, metric_families, group_periods, chronic_conflict, span_links, span_edges, trace_service_signals, trace_status_signals,
+        metric_shift, metric_families, group_periods, chronic_conflict, span_links, span_edges, trace_service_signals, trace_status_signals, top_operations,
         transitive_dependents, service_signals, precedent_knn, focus_context, group_order,
     )
 }
@@ -183,7 +191,7 @@ failing AS (
   SELECT service, operation, status_code::BIGINT AS status_code, count(*) FILTER (p = 0) AS before_count, count(*) FILTER (p = 1) AS after_count, min(line) FILTER (p = 1) AS example_after
   FROM sided WHERE p IS NOT NULL AND status_code <> 0 GROUP BY 1, 2, 3),
 only_one AS (SELECT source_service AS service, lower(target_service) AS wanted, min(target_service) AS observed_target FROM edges GROUP BY 1, 2 HAVING count(*) = 1)
-SELECT f.*, before_operations, after_operations, observed_target FROM failing f JOIN totals USING (service, operation)
+SELECT f.*, CASE WHEN status_code = 14 THEN 'grpc' END AS status_code_kind, CASE WHEN status_code = 14 THEN 'UNAVAILABLE' END AS status_name, before_operations, after_operations, observed_target FROM failing f JOIN totals USING (service, operation)
 LEFT JOIN only_one o ON o.service = f.service AND o.wanted = lower(string_split(string_split(f.operation, '/')[1], '.')[-1])""",
     "transitive_dependents": f"WITH RECURSIVE {_CLOSURE} SELECT service, dependent FROM reach",
     "service_signals": f"""WITH RECURSIVE {_CLOSURE},
@@ -207,3 +215,6 @@ SELECT DISTINCT service, unnest([l[1], l[len(l) // 2 + 1], l[-1]]) AS line FROM
   row_number() OVER (ORDER BY service <> 'quota-gate', CASE role WHEN 'critical' THEN 0 WHEN 'error' THEN 1 WHEN 'change' THEN 2 WHEN 'warning' THEN 3 ELSE 4 END, repeat_count, group_id) AS rank,
   (SELECT count(*) FROM log_groups) > 50 AS truncated FROM log_groups QUALIFY rank <= 50""",
 }
+SQL["top_operations"] = f"""WITH s AS ({SQL["trace_status_signals"]})
+SELECT row_number() OVER (ORDER BY greatest(after_count - before_count, 0) DESC, after_count DESC, service, operation, status_code) AS rank, service, operation, status_code, after_count, (SELECT count(*) FROM s) > 16 AS truncated
+FROM s QUALIFY rank <= 16"""

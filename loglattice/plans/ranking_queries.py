@@ -8,7 +8,6 @@ from loglattice.operators import lanes, ranking
 from loglattice.operators.corpus import bounded
 from loglattice.plans import views
 from loglattice.plans.tables import table
-from loglattice.session import cut
 
 QUESTION = "Why did the registry on node-12 restart after the rollout of cedar-feed? checkpoint quorum lost"
 
@@ -38,11 +37,9 @@ def query_feature_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
     """The best hundred by both rankings, each over all documents it scores."""
-    scores = cut(ranking.bm25f_scores(_docs(spark, sf), "doc_id", "text", QUESTION))
-    features = cut(query_feature_hits(spark, sf))
-    # four counts below 4,096 each, as digits of one number
-    coarse = sum(F.col(c).cast("long") * 4096**i for i, c in enumerate(reversed(FEATURE_ORDER[:-1])))
-    lists = [ranking.full_ranks(scores, "doc_id", ["score"], F.col("score")), ranking.full_ranks(features, "doc_id", FEATURE_ORDER, coarse)]
+    scores = ranking.bm25f_scores(_docs(spark, sf), "doc_id", "text", QUESTION)
+    features = query_feature_hits(spark, sf)
+    lists = [ranking.full_ranks(scores, "doc_id", ["score"]), ranking.full_ranks(features, "doc_id", FEATURE_ORDER)]
     return bounded(ranking.reciprocal_ranks(lists, "doc_id"), [F.desc("score"), F.asc("doc_id")], 100)
 
 

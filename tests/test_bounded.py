@@ -238,16 +238,15 @@ def test_neighbours_of_every_anchor(spark):
     assert len(got) == len(want) and set(got) == want
 
 
-def test_fusion_of_whole_rankings(spark, monkeypatch):
+def test_fusion_of_whole_rankings(spark):
     random.seed(10)
-    monkeypatch.setattr(ranking, "RANK_BLOCK", 16)
     rows = [(i, random.randint(0, 3), random.choice([False, True]), random.randint(0, 900)) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, a long, b boolean, s long").repartition(4)
     by_s = {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (-r[3], r[0])), 1)}
     by_ab = {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (-r[1], not r[2], r[0])), 1)}
-    lists = [ranking.full_ranks(df, "id", ["s"], F.col("s")), ranking.full_ranks(df, "id", ["a", "b"], F.col("a"))]
+    lists = [ranking.full_ranks(df, "id", ["s"]), ranking.full_ranks(df, "id", ["a", "b"])]
     assert [{r["id"]: r["rank"] for r in x.collect()} for x in lists] == [by_s, by_ab]
-    assert ranking.full_ranks(df.limit(0), "id", ["s"], F.col("s")).count() == 0
+    assert ranking.full_ranks(df.limit(0), "id", ["s"]).count() == 0
 
 
 def test_rrf_counts_ranks_beyond_the_first_hundred(spark, monkeypatch):
