@@ -53,6 +53,16 @@ def expand(lines: DataFrame, line: int, before: int, after: int, most: int = 128
     return lines.where(F.col("line").between(line - before, line + after))
 
 
+def group_examples(lines: DataFrame, groups: DataFrame) -> DataFrame:
+    """Per group its first and last line, and for critical and error groups the lines beside them; each line once, with ``n_lines`` of the group.
+
+    lines: line (numbered without gaps), raw. groups: group_id, role, first_line, last_line.
+    """
+    reach = F.when(F.col("role").isin("critical", "error"), 1).otherwise(0)
+    wanted = F.array_distinct(F.flatten(F.array(*[F.sequence(F.col(c) - reach, F.col(c) + reach) for c in ("first_line", "last_line")])))
+    return groups.select("group_id", F.explode(wanted).alias("line")).join(lines.select("line", "raw"), "line")
+
+
 def visible_groups(groups: DataFrame, focus: Sequence[str], per_service: int = PER_SERVICE) -> DataFrame:
     """The first groups of each service in a reader's order, with ``turn``: their rank within the service."""
     order = incident.group_priority(groups, focus)

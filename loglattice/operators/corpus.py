@@ -386,3 +386,24 @@ def shadow_bonus(labels: DataFrame, members: DataFrame, label_terms: DataFrame,
     hits = hits.join(F.broadcast(too_many)).where("not too_many")  # one row
     counted = hits.groupBy("group_id").agg(F.countDistinct(F.when(F.col("label") == 1, F.col("case_id"))).alias("n_positive"), F.countDistinct(F.when(F.col("label") == -1, F.col("case_id"))).alias("n_negative"))
     return counted.where("n_positive >= 2 and n_negative = 0").select("group_id", F.least("n_positive", F.lit(most)).alias("bonus"))
+
+
+def promoted_groups(promotions: DataFrame, members: DataFrame) -> DataFrame:
+    """Distinct groups that hold a promoted record. promotions and members: native_id; members: group_id."""
+    return members.join(promotions.select("native_id"), "native_id", "left_semi").select("group_id").distinct()
+
+
+def labels_digest(labels: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: number of labels and a digest of them with the groups they fall in; it changes with any label, and with any regrouping.
+
+    labels: case_id, native_id (unique together), label. Each label is
+    digested where it is; the digests of a case are digested in order, then those of all cases,
+    so only a short digest per case meets in one task.
+    """
+    of = members.join(groups.select("group_id", "service", "role", "fingerprint"), "group_id", "left")
+    full = labels.join(of, "native_id", "left")
+    text = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
+    own = F.sha2(F.concat_ws("\x1f", *[text(c) for c in ("case_id", "native_id", "label", "group_id", "service", "role", "fingerprint")]), 256)
+    cases = full.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("native_id", own.alias("d")))), lambda x: x["d"]), ""), 256).alias("d"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("case_id", "d"))), lambda x: x["d"]), "")
+    return cases.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_labels"), F.sha2(joined, 256).alias("digest"))

@@ -1,11 +1,15 @@
-"""Promotion of rated groups and of a learned route: small versioned states beside the tables."""
+"""Promotion of rated groups and of a learned route: small versioned states, and verdicts as a table, kept below a folder."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
 from loglattice.operators.ranking import binomial_tail
+from loglattice.session import created_alone, listed, read_text
 
 MOST_PROMOTED = 16
 
@@ -94,3 +98,61 @@ class Routes:
         self.routes[now]["status"] = "retired"
         if self.routes[now]["parent"] is not None:
             self.routes[self.routes[now]["parent"]]["status"] = "active"
+
+
+VERDICTS = "task string, native_id string, nonce string, verdict int"
+
+
+class Store:
+    """Verdicts, promotions by task and routes below ``path``; a change is a numbered file that one writer creates, or none."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _numbers(self, what: str) -> list[int]:
+        return sorted(int(n) for n in listed(self.spark, f"{self.path}/{what}") if n.isdigit())
+
+    def _last(self, what: str) -> tuple[int, dict | None]:
+        numbers = self._numbers(what)
+        return (numbers[-1], json.loads(read_text(self.spark, f"{self.path}/{what}/{numbers[-1]}"))) if numbers else (-1, None)
+
+    def _change(self, what: str, number: int, state: dict) -> None:
+        if not created_alone(self.spark, f"{self.path}/{what}/{number + 1}", json.dumps(state)):
+            raise NotAllowed("another writer was first; read again")
+
+    def add_verdicts(self, verdicts: DataFrame, number: int) -> None:
+        """Adds a batch of verdicts; a batch that was added before changes nothing."""
+        if number not in self._numbers("committed"):
+            verdicts.select(*[f.split()[0] for f in VERDICTS.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/verdicts/batch={number}")
+            created_alone(self.spark, f"{self.path}/committed/{number}", "")
+
+    def verdicts(self) -> DataFrame:
+        """The last verdict of each task, record and nonce."""
+        done = self._numbers("committed")
+        if not done:
+            return self.spark.createDataFrame([], VERDICTS)
+        rows = self.spark.read.schema(f"{VERDICTS}, batch int").parquet(f"{self.path}/verdicts").where(F.col("batch").isin(done))
+        return rows.groupBy("task", "native_id", "nonce").agg(F.max(F.struct("batch", "verdict"))["verdict"].alias("verdict"))
+
+    def promotions(self, task: str) -> Promotions:
+        _, state = self._last("promotions")
+        held = (state or {}).get(task)
+        return Promotions([(p, tuple(m)) for p, m in held["versions"]], held["active"]) if held else Promotions()
+
+    def change_promotions(self, task: str, change: Callable[[Promotions], object]) -> Promotions:
+        number, state = self._last("promotions")
+        now = self.promotions(task)
+        change(now)
+        self._change("promotions", number, (state or {}) | {task: {"versions": now.versions, "active": now.active}})
+        return now
+
+    def routes(self) -> Routes:
+        _, state = self._last("routes")
+        return Routes(state["routes"]) if state else Routes()
+
+    def change_routes(self, change: Callable[[Routes], object]) -> Routes:
+        number, _ = self._last("routes")
+        now = self.routes()
+        change(now)
+        self._change("routes", number, {"routes": now.routes})
+        return now

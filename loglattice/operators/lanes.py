@@ -97,6 +97,25 @@ def around(rows: DataFrame, lane: str, seq: str, anchors: DataFrame, n: int) ->
     return placed.join(at, [lane, "position"]).select(lane, "anchor", seq)
 
 
+def around_within(rows: DataFrame, lane: str, seq: str, size: str, anchors: DataFrame, n: int, most_bytes: int) -> DataFrame:
+    """As ``around`` with whole rows within a byte budget per anchor: the anchor, then the ones before it from the nearest on, then the ones after.
+
+    A side stops at the first row that doesn't fit; an anchor that alone passes
+    the budget has no rows. Groups have at most 2n + 1 rows.
+    """
+    near = around(rows, lane, seq, anchors, n).join(rows.select(lane, seq, size), [lane, seq])
+    offset = F.row_number().over(Window.partitionBy(lane, "anchor", "side").orderBy(F.abs(F.col(seq) - F.col("anchor"))))
+    sided = near.withColumn("side", F.sign(F.col(seq) - F.col("anchor")).cast("int"))
+    along = Window.partitionBy(lane, "anchor", "side").orderBy(F.abs(F.col(seq) - F.col("anchor"))).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(lane, "anchor")
+    summed = sided.withColumns({"used": F.sum(size).over(along), "offset": offset})
+    own = F.max(F.when(F.col("side") == 0, F.col(size))).over(whole)
+    summed = summed.withColumn("own", own).withColumn("left", F.lit(most_bytes) - F.col("own"))
+    before = F.coalesce(F.max(F.when((F.col("side") < 0) & (F.col("used") <= F.col("left")), F.col("used"))).over(whole), F.lit(0))
+    fits = F.when(F.col("side") == 0, F.col("left") >= 0).when(F.col("side") < 0, F.col("used") <= F.col("left")).otherwise(F.col("used") + F.col("before") <= F.col("left"))
+    return summed.withColumn("before", before).where((F.col("left") >= 0) & fits).select(lane, "anchor", seq)
+
+
 def merged_affinities(lanes: Sequence[DataFrame]) -> DataFrame:
     """Facet affinities of several lanes: the greatest per (block, facet)."""
     union = lanes[0]

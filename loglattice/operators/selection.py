@@ -45,8 +45,8 @@ def skip_packing(items: Column, budget: int) -> Column:
 PACKING_PAGE = 512
 
 
-def skip_packing_by(rows: DataFrame, key: str, order: Sequence[tuple[str, bool]], id: str, cost: str, budget: int, page: int = PACKING_PAGE) -> DataFrame:
-    """Per key the ids taken in an order (column, descending), leaving out each that no longer fits; keys of any size.
+def skip_packing_by(rows: DataFrame, key: str, order: Sequence[tuple[str, bool]], id: str, cost: str, budget: int, page: int = PACKING_PAGE, most: int = 1 << 31) -> DataFrame:
+    """Per key the ids taken in an order (column, descending), at most ``most``, leaving out each that no longer fits; keys of any size.
 
     Keys are read by pages in the order, all keys at once: each round takes the
     next ``page`` rows that come after the last one seen and cost no more than is
@@ -61,23 +61,23 @@ def skip_packing_by(rows: DataFrame, key: str, order: Sequence[tuple[str, bool]]
     state: DataFrame | None = None
     while True:
         if state is None:
-            here = all_rows.withColumn("left", F.lit(budget).cast("long")).where(F.col("cost") <= budget)
+            here = all_rows.withColumns({"left": F.lit(budget).cast("long"), "room": F.lit(most).cast("long")}).where((F.col("cost") <= budget) & F.lit(most > 0))
         else:
-            here = all_rows.join(state, "k").where((F.col("place") > F.col("after")) & (F.col("cost") <= F.col("left"))).drop("after")
+            here = all_rows.join(state, "k").where((F.col("place") > F.col("after")) & (F.col("cost") <= F.col("left")) & (F.col("room") > 0)).drop("after")
         first = here.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("place"))).where(F.col("n") <= page)
-        heads = first.groupBy("k").agg(F.first("left").alias("left"), F.max("place").alias("after"), F.array_sort(F.collect_list(F.struct("n", "id", "cost"))).alias("l"))
+        heads = first.groupBy("k").agg(F.first("left").alias("left"), F.first("room").alias("room"), F.max("place").alias("after"), F.array_sort(F.collect_list(F.struct("n", "id", "cost"))).alias("l"))
         start = F.struct(F.col("left").alias("left"), F.array().cast("array<bigint>").alias("ids"))
 
         def take(acc: Column, x: Column) -> Column:
-            fits = x["cost"] <= acc["left"]
+            fits = (x["cost"] <= acc["left"]) & (F.size(acc["ids"]) < F.col("room"))
             return F.struct(F.when(fits, acc["left"] - x["cost"]).otherwise(acc["left"]).alias("left"), F.when(fits, F.concat(acc["ids"], F.array(x["id"]))).otherwise(acc["ids"]).alias("ids"))
 
-        step = cut(heads.select("k", "after", F.aggregate("l", start, take).alias("r")))
+        step = cut(heads.select("k", "after", "room", F.aggregate("l", start, take).alias("r")))
         ids = step.select(F.col("k").alias(key), F.explode("r.ids").alias(id))
         taken = ids if taken is None else taken.unionByName(ids)
         if step.limit(1).count() == 0:
             return taken
-        state = step.select("k", "after", F.col("r.left").alias("left"))
+        state = step.select("k", "after", F.col("r.left").alias("left"), (F.col("room") - F.size("r.ids")).alias("room"))
 
 
 def pack(order: Sequence[tuple[int, int]], budget: int) -> tuple[list[int], bool]:

@@ -199,12 +199,38 @@ def shadow_bonus(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.shadow_bonus(labels, group_members(spark, sf), terms, TASK, most_rows=1_000_000)
 
 
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").where("event_type in ('error', 'purchase')")
+    return rows.select(F.col("event_id").cast("string").alias("native_id"), (F.col("event_id") % 60).alias("case_id"), F.when(F.col("event_id") % 31 == 0, -1).otherwise(1).alias("label"))
+
+
+def shadow_bonus_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """As shadow_bonus under its own bound: no bonus at all where a task matches more than 4,096 label rows. Every case is on the task."""
+    labels = _labels(spark, sf)
+    terms = labels.select("case_id").distinct().select("case_id", F.lit("purchase").alias("term"))
+    return corpus.shadow_bonus(labels, group_members(spark, sf), terms, TASK)
+
+
+def promoted_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of the records that were rated well."""
+    return corpus.promoted_groups(_observations(spark, sf).where("verdict = 1"), group_members(spark, sf))
+
+
+def labels_digest(spark: SparkSession, sf: str) -> DataFrame:
+    index = views.index(spark, sf)
+    return corpus.labels_digest(_labels(spark, sf), index.group_members(), index.groups())
+
+
+def term_digests(spark: SparkSession, sf: str) -> DataFrame:
+    return views.index(spark, sf).terms().select("group_id", F.sha2("term", 256).alias("digest"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         parse_records, parse_layouts, template_groups, group_terms, group_members, lexical_candidates, task_match_strength, lexical_records, repeated_severe, severe_newest, severe_oldest,
         severe_from_anchor, severe_service_summary, service_directory, service_interleave, service_representatives, candidate_representatives, priority_fallback, merged_candidates,
-        edge_evidence, service_edges, graph_neighbours, record_page, record_lookup, group_page, edge_page, evidence_page, stream_upsert_parity, nearby_records, record_samples, missing_members, insert_outcome, sensitive_screen, safe_samples, feedback_standing, shadow_bonus,
+        edge_evidence, service_edges, graph_neighbours, record_page, record_lookup, group_page, edge_page, evidence_page, stream_upsert_parity, nearby_records, record_samples, missing_members, insert_outcome, sensitive_screen, safe_samples, feedback_standing, shadow_bonus, shadow_bonus_rule, promoted_groups, labels_digest, term_digests,
     )
 }
 
@@ -359,4 +385,18 @@ hit AS (
   FROM members JOIN groups USING (service, role, fingerprint) WHERE event_type IN ('error', 'purchase') AND native_id::BIGINT % 60 % 2 = 0)
 SELECT group_id, least(count(DISTINCT case_id) FILTER (label = 1), 4) AS bonus FROM hit GROUP BY 1
 HAVING count(DISTINCT case_id) FILTER (label = 1) >= 2 AND count(*) FILTER (label = -1) = 0""",
+    "shadow_bonus_rule": f"""WITH {views.GROUPS_SQL},
+hit AS (
+  SELECT DISTINCT group_id, native_id::BIGINT % 60 AS case_id, CASE WHEN native_id::BIGINT % 31 = 0 THEN -1 ELSE 1 END AS label
+  FROM members JOIN groups USING (service, role, fingerprint) WHERE event_type IN ('error', 'purchase'))
+SELECT group_id, least(count(DISTINCT case_id) FILTER (label = 1), 4) AS bonus FROM hit WHERE (SELECT count(*) FROM hit) <= 4096 GROUP BY 1
+HAVING count(DISTINCT case_id) FILTER (label = 1) >= 2 AND count(*) FILTER (label = -1) = 0""",
+    "promoted_groups": f"""WITH {views.GROUPS_SQL} SELECT DISTINCT group_id FROM members JOIN groups USING (service, role, fingerprint) WHERE event_type <> 'view' AND user_id % 40 <> 0""",
+    "labels_digest": f"""WITH {views.GROUPS_SQL},
+l AS (SELECT native_id, native_id::BIGINT % 60 AS case_id, CASE WHEN native_id::BIGINT % 31 = 0 THEN -1 ELSE 1 END AS label, group_id, service, role, fingerprint
+  FROM members JOIN groups USING (service, role, fingerprint) WHERE event_type IN ('error', 'purchase')),
+d AS (SELECT case_id, native_id, sha256(concat_ws(chr(31), 'v' || case_id, 'v' || native_id, 'v' || label, 'v' || group_id, 'v' || service, 'v' || role, 'v' || fingerprint)) AS d FROM l),
+c AS (SELECT case_id, count(*) AS n, sha256(string_agg(d, '' ORDER BY native_id)) AS d FROM d GROUP BY 1)
+SELECT sum(n)::BIGINT AS n_labels, sha256(string_agg(d, '' ORDER BY case_id)) AS digest FROM c""",
+    "term_digests": f"WITH {views.TERMS_SQL} SELECT group_id, sha256(term) AS digest FROM terms",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglattice.functions import signals
-from loglattice.operators import analysis, candidates, dedup, incident, receipts
+from loglattice.operators import analysis, candidates, dedup, incident, lanes, receipts, reducer
 from loglattice.plans import incident_queries, pipeline_queries, ranking_queries
 from loglattice.plans.tables import table
 from loglattice.session import cut
@@ -60,6 +60,54 @@ def block_accounting(spark: SparkSession, sf: str) -> DataFrame:
     return receipts.accounting(lines, {s: inside.where(F.col("state") == s) for s in states}, "id", "n_bytes")
 
 
+REDUCED = reducer.Capacity(256, 400_000, 200_000)
+
+
+def reduced_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = table(spark, sf, "documents").select(F.col("doc_id").alias("block_id"), "text")
+    return reducer.reduced(blocks, signals.question_of(ranking_queries.QUESTION), REDUCED)
+
+
+def group_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """First and last event of each service and type, with the events beside those of errors."""
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("line"), "event_type", F.concat(F.lit("svc-"), F.col("user_id") % 16).alias("service"))
+    role = F.when(F.col("event_type") == "error", "error").otherwise("context")
+    groups = rows.groupBy("service", "event_type").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line")).select(F.concat_ws("/", "service", "event_type").alias("group_id"), role.alias("role"), "first_line", "last_line")
+    return analysis.group_examples(rows.select("line", F.col("event_type").alias("raw")), groups)
+
+
+def expanded_within(spark: SparkSession, sf: str) -> DataFrame:
+    """Up to three deliveries before and after each delivery_id divisible by 20, in its stream, within 600 bytes."""
+    rows = table(spark, sf, "cloudwatch_messages").select("log_stream", "delivery_id", F.coalesce(F.octet_length("message"), F.lit(0)).cast("long").alias("n_bytes"))
+    return lanes.around_within(rows, "log_stream", "delivery_id", "n_bytes", rows.where("delivery_id % 20 = 0"), 3, 600)
+
+
+def source_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """SHA-256 of every exact line of the documents."""
+    return pipeline_queries.exact_lines(spark, sf).select("doc_id", "seq", F.sha2("payload", 256).alias("digest"))
+
+
+def fidelities(spark: SparkSession, sf: str) -> DataFrame:
+    """What each document's rendering is to it, by language, and the bytes it may take at most."""
+    text = F.col("text")
+    shown = F.when(F.col("lang") == "en", text).when(F.col("lang") == "de", F.base64(F.encode(text, "UTF-8"))).otherwise(F.upper(text))
+    decoded = F.when(F.col("lang") == "de", text)
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", receipts.fidelity(shown, text, decoded).alias("fidelity"), receipts.packet_cost(text).cast("long").alias("cost"))
+
+
+def omitted_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.omitted_inventory(table(spark, sf, "log_groups").select("group_id", "service", "role", "repeat_count"), FOCUS, 40)
+
+
+def citations(spark: SparkSession, sf: str) -> DataFrame:
+    """Each card cites its own role under each service its service is an edge's target or source of; only dependents' citations hold."""
+    cards, edges = table(spark, sf, "log_groups"), table(spark, sf, "service_edges")
+    visible = cards.select(F.col("group_id").alias("event_id"), "service", F.concat_ws(" ", "service", "role").alias("sample"))
+    pairs = edges.select(F.col("source_service").alias("service"), F.col("target_service").alias("hypothesis")).union(edges.select(F.col("target_service"), F.col("source_service"))).distinct()
+    cited = cards.join(pairs, "service").select("hypothesis", F.col("group_id").alias("event_id"), F.when(F.col("repeat_count") > 1, F.col("role")).otherwise("absent").alias("quote"))
+    return receipts.verified_citations(cited, visible, incident.transitive_dependents(edges)).select("hypothesis", "event_id", "holds")
+
+
 def run_totals(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "P", "partial").otherwise("unknown")
@@ -80,7 +128,7 @@ def top_traces(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.top_traces(found).select("rank", "service", "truncated")
 
 
-QUERIES = {f.__name__: f for f in (failure_signals, question_lane, merged_facets, block_accounting, delivery_accounting, run_totals, visible_groups, top_metrics, top_traces)}
+QUERIES = {f.__name__: f for f in (failure_signals, question_lane, merged_facets, block_accounting, delivery_accounting, reduced_blocks, group_examples, expanded_within, source_digests, fidelities, omitted_inventory, citations, run_totals, visible_groups, top_metrics, top_traces)}
 
 _UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
 
@@ -155,4 +203,38 @@ SELECT CASE WHEN event_id IS NULL THEN 'unnamed' WHEN rn = 1 THEN 'kept' ELSE 'c
     "visible_groups": f"SELECT group_id, service, role, repeat_count, row_number() OVER (PARTITION BY service ORDER BY {_ORDER}) AS turn FROM log_groups QUALIFY turn <= 3",
     "top_metrics": f"WITH s AS ({incident_queries.SQL['metric_shift']}) SELECT row_number() OVER (ORDER BY relative_shift DESC, service, metric) AS rank, service, metric, (SELECT count(*) FROM s) > 24 AS truncated FROM s QUALIFY rank <= 24",
     "top_traces": f"WITH s AS ({incident_queries.SQL['trace_service_signals']}) SELECT row_number() OVER (ORDER BY priority DESC, service) AS rank, service, (SELECT count(*) FROM s) > 16 AS truncated FROM s QUALIFY rank <= 16",
+    "reduced_blocks": f"""WITH RECURSIVE w AS (SELECT doc_id AS b, coalesce(octet_length(encode(text)), 0)::BIGINT AS n, string_split_regex({_LOWER.format('text')}, '[^a-z0-9_-]') AS w FROM documents),
+f AS (SELECT b, n, coalesce(len(list_intersect(w, [{_words(reducer.FAILURE_WORDS)}])), 0) > 0 AS failed, w FROM w),
+q AS (SELECT unnest([{_TERMS}]) AS term), hit AS (SELECT b, term FROM f, q WHERE list_contains(w, term)),
+df AS (SELECT term, count(*) AS df FROM hit GROUP BY 1), st AS (SELECT count(*) AS nb, sum(n) AS size FROM f),
+s AS (SELECT b, n, CASE WHEN failed THEN 2 * nb ELSE 0 END + coalesce((SELECT sum(nb - df + 1) FROM hit JOIN df USING (term) WHERE hit.b = f.b), 0) AS score FROM f, st),
+pos AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS p FROM f), strata AS (SELECT b FROM pos, st WHERE p IN (SELECT (2 * i + 1) * nb // 16 FROM range(8) r(i), st)),
+first AS (SELECT count(*) AS k, coalesce(sum(n), 0) AS used FROM f WHERE b IN (SELECT b FROM strata)),
+r AS (SELECT b, n, row_number() OVER (ORDER BY score DESC, b) AS i FROM s WHERE b NOT IN (SELECT b FROM strata)),
+go AS (SELECT 0::BIGINT AS i, (200000 - used)::BIGINT AS room, (256 - k)::BIGINT AS more, NULL::BIGINT AS taken FROM first
+  UNION ALL SELECT r.i, CASE WHEN n <= room AND more > 0 THEN room - n ELSE room END, CASE WHEN n <= room AND more > 0 THEN more - 1 ELSE more END, CASE WHEN n <= room AND more > 0 THEN b END FROM go JOIN r ON r.i = go.i + 1),
+big AS (SELECT nb > 256 OR size > 400000 AS big FROM st)
+SELECT b AS block_id, 'whole' AS reason FROM f, big WHERE NOT big
+UNION ALL SELECT b, 'stratum' FROM strata, big WHERE big UNION ALL SELECT taken, 'ranked' FROM go, big WHERE big AND taken IS NOT NULL""",
+    "group_examples": """WITH e AS (SELECT event_id AS line, event_type, 'svc-' || (user_id % 16) AS service FROM events),
+g AS (SELECT service || '/' || event_type AS group_id, event_type, min(line) AS a, max(line) AS b FROM e GROUP BY ALL),
+x AS (SELECT group_id, unnest(CASE WHEN event_type = 'error' THEN [a - 1, a, a + 1, b - 1, b, b + 1] ELSE [a, b] END) AS line FROM g)
+SELECT DISTINCT group_id, line, event_type AS raw FROM x JOIN e USING (line)""",
+    "expanded_within": """WITH p AS (
+  SELECT log_stream, delivery_id, coalesce(octet_length(encode(message)), 0)::BIGINT AS n, row_number() OVER (PARTITION BY log_stream ORDER BY delivery_id) AS p FROM cloudwatch_messages),
+x AS (SELECT a.log_stream, a.delivery_id AS anchor, a.n AS own, p.delivery_id, p.n, p.p - a.p AS o FROM p a JOIN p ON p.log_stream = a.log_stream AND p.p BETWEEN a.p - 3 AND a.p + 3 WHERE a.delivery_id % 20 = 0),
+u AS (SELECT *, sum(n) OVER (PARTITION BY anchor, sign(o) ORDER BY abs(o)) AS used FROM x),
+b AS (SELECT *, coalesce(max(CASE WHEN o < 0 AND used <= 600 - own THEN used END) OVER (PARTITION BY anchor), 0) AS before FROM u)
+SELECT log_stream, anchor, delivery_id FROM b WHERE own <= 600 AND (o = 0 OR (o < 0 AND used <= 600 - own) OR (o > 0 AND used + before <= 600 - own))""",
+    "source_digests": f"WITH l AS ({pipeline_queries.SQL['exact_lines']}) SELECT doc_id, seq, sha256(payload) AS digest FROM l",
+    "fidelities": """SELECT doc_id, CASE WHEN lang = 'en' THEN 'source_exact' WHEN lang = 'de' THEN CASE WHEN text = '' THEN 'source_exact' ELSE 'reversible' END WHEN upper(text) = text THEN 'source_exact' ELSE 'transformed' END AS fidelity,
+  (octet_length(encode(regexp_replace(text, '[^\\x20-\\x7e]', '....', 'g'))) + 64)::BIGINT AS cost FROM documents WHERE text IS NOT NULL""",
+    "omitted_inventory": f"""WITH t AS (SELECT group_id, service, role, repeat_count, row_number() OVER (PARTITION BY service ORDER BY {_ORDER}) AS turn FROM log_groups),
+r AS (SELECT * FROM t WHERE turn BETWEEN 4 AND 43)
+SELECT *, row_number() OVER (ORDER BY turn, service <> 'quota-gate', CASE role WHEN 'critical' THEN 0 WHEN 'error' THEN 1 WHEN 'change' THEN 2 WHEN 'warning' THEN 3 ELSE 4 END, group_id) AS rank,
+  (SELECT count(*) FROM r) > 40 AS truncated FROM r QUALIFY rank <= 40""",
+    "citations": f"""WITH RECURSIVE {incident_queries._CLOSURE},
+pairs AS (SELECT source_service AS service, target_service AS hypothesis FROM service_edges UNION SELECT target_service, source_service FROM service_edges)
+SELECT p.hypothesis, c.group_id AS event_id, coalesce(c.repeat_count > 1 AND (c.service = p.hypothesis OR EXISTS (SELECT 1 FROM reach r WHERE r.service = p.hypothesis AND r.dependent = c.service)), false) AS holds
+FROM log_groups c JOIN pairs p ON p.service = c.service""",
 }
