@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -114,6 +115,8 @@ def _periodic(values: list[float]) -> float:
 
 def indent_period(lines: list[str]) -> float:
     """How strongly the indentation repeats; 0 where it doesn't vary."""
+    if not any(map(str.isspace, map(itemgetter(0), filter(None, lines)))):
+        return 0.0
     return _periodic([float(len(x) - len(x.lstrip())) for x in lines])
 
 
@@ -153,8 +156,8 @@ def alnum_chars(text: str) -> int:
     return n if text.isascii() else n + sum(map(str.isalnum, "".join(_OTHER_SCRIPTS.findall(text))))
 
 
-def _running(lines: list[str], words_of: list[list[str]], common: frozenset[str]) -> bool:
-    """lines: of one paragraph, with their indentation; words_of: each line's words."""
+def _running(lines: list[str], words_of: list[list[str]], common_of: list[int]) -> bool:
+    """lines: of one paragraph, with their indentation; words_of and common_of: each line's words, and how many of them are common."""
     words = [w for line in words_of for w in line]
     n = len(words)
     if n < 4:
@@ -163,11 +166,11 @@ def _running(lines: list[str], words_of: list[list[str]], common: frozenset[str]
     text = " ".join(plain)
     if text.count(",") > 0.28 * n:
         return False
-    odd = [w for w in words if not w.isalpha()]
+    odd = [w for line in words_of if not "".join(line).isalpha() for w in line if not w.isalpha()]
     if n - len(odd) + sum(map(bool, map(_CLEAN.match, odd))) < CLEAN_WORDS * n:
         return False
     letters = n - sum(map(bool, map(_VALUE_WORD.search, odd)))
-    shared = sum(map(common.__contains__, words)) / max(1, letters)
+    shared = sum(common_of) / max(1, letters)
     ends = len(_TERMINAL.findall(text))
     sentence = ends and text[0].isupper() and _LINE_END.search(text)  # a marked sentence may lack common words if it's short
     if shared > COMMON[1] or (shared < COMMON[0] and not (sentence and n < 14)):
@@ -197,6 +200,7 @@ def text_stats(text: str, common: frozenset[str], router: Router) -> list:
     lines = [x.rstrip() for x in text.splitlines()]
     full = [x for x in lines if x]
     words_of = [_WORD.findall(x.lower()) for x in full]
+    common_of = [sum(map(common.__contains__, ws)) for ws in words_of]
     n_words = sum(map(len, words_of))
     solid = len("".join(text.split()))
     n, prose = len(full), 0
@@ -218,15 +222,16 @@ def text_stats(text: str, common: frozenset[str], router: Router) -> list:
         if is_text:
             paragraph.append(at)
         elif paragraph:
-            prose += _prose_chars(full[paragraph[0] : paragraph[-1] + 1], words_of[paragraph[0] : paragraph[-1] + 1], common)
+            its = slice(paragraph[0], paragraph[-1] + 1)
+            prose += _prose_chars(full[its], words_of[its], common_of[its])
             paragraph = []
     total = sum(len(x.strip()) for x in full)
     return [
         n_words,
-        _mean([len(w) for ws in words_of for w in ws], n_words),
+        _mean([len("".join(ws)) for ws in words_of], n_words),
         (solid - alnum_chars(text)) / solid if solid else 0.0,
         _mean(map(bool, map(_STOPS.search, full)), n),
-        _mean([sum(map(common.__contains__, ws)) for ws in words_of], n_words),
+        _mean(common_of, n_words),
         _mean(aligned, n),
         indent_period(full) if n > 2 else 0.0,
         autocorrelation([float(len(x)) for x in full], 1) if n > 2 else 0.0,
@@ -234,18 +239,18 @@ def text_stats(text: str, common: frozenset[str], router: Router) -> list:
     ]
 
 
-def _prose_chars(lines: list[str], words_of: list[list[str]], common: frozenset[str]) -> int:
+def _prose_chars(lines: list[str], words_of: list[list[str]], common_of: list[int]) -> int:
     """Characters of a paragraph's running text; a heading or stray line before or after it may be left out."""
     sizes = [len(x.strip()) for x in lines]
-    if _running(lines, words_of, common):
+    if _running(lines, words_of, common_of):
         return sum(sizes)
     best = 0
     if len(lines) > 1:
         for part in (slice(1, None), slice(None, -1)):
-            if _running(lines[part], words_of[part], common):
+            if _running(lines[part], words_of[part], common_of[part]):
                 best = max(best, sum(sizes[part]))
         if not best and not list_structure(lines):  # text and list without a blank line between them: the long lines
-            best = sum(size for x, ws, size in zip(lines, words_of, sizes) if len(ws) >= 8 and _running([x], [ws], common))
+            best = sum(size for x, ws, c, size in zip(lines, words_of, common_of, sizes) if len(ws) >= 8 and _running([x], [ws], [c]))
     return best
 
 
