@@ -30,18 +30,6 @@ class NeedsMore(ValueError):
 # --- packing ---
 
 
-def skip_packing(items: Column, budget: int) -> Column:
-    """Ids taken from an array of structs (id, cost) in order, leaving out each one that no longer fits; a column expression."""
-    empty = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(budget).cast("long").alias("left"), empty.alias("ids"))
-
-    def take(acc: Column, x: Column) -> Column:
-        fits = x["cost"] <= acc["left"]
-        return F.struct(F.when(fits, acc["left"] - x["cost"]).otherwise(acc["left"]).alias("left"), F.when(fits, F.concat(acc["ids"], F.array(x["id"].cast("long")))).otherwise(acc["ids"]).alias("ids"))
-
-    return F.aggregate(items, start, take)["ids"]
-
-
 PACKING_PAGE = 512
 
 

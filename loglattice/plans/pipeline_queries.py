@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loglattice.operators import corpus, framing, lanes, ranking, selection
+from loglattice.operators import corpus, framing, lanes, ranking, selection, tools
 from loglattice.plans import corpus_queries, ranking_queries, views
 from loglattice.plans.tables import table
 from loglattice.session import cut
@@ -28,19 +28,8 @@ def skip_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tournament_pack(spark: SparkSession, sf: str) -> DataFrame:
-    """Task -> candidates -> neighbours -> tournament -> exact first records within the byte budget."""
-    index = views.index(spark, sf)
-    lexical = index.lexical_candidates(corpus_queries.TASK, 200)
-    repeated = corpus.repeated_severe(index.groups(), 8)
-    merged = corpus.merged_candidates([lexical, repeated])
-    pool = selection.collected(merged.orderBy("rank"), 512)
-    carried = [c["group_id"] for c in sorted(pool, key=lambda c: -c["repeat_count"]) if c["role"] in corpus.SEVERE and c["repeat_count"] > 1][:8]
-    final, _ = selection.tournament(pool, selection.gravest, [carried])
-    wanted = spark.createDataFrame([(i, c["group_id"], c["first_native_id"]) for i, g in enumerate(final) for c in pool if c["group_id"] == g], "rank int, group_id long, native_id string")
-    exact = index.records().select("native_id", "raw").join(F.broadcast(wanted), "native_id")  # the final twelve
-    items = F.transform(F.array_sort(F.collect_list(F.struct("rank", "group_id", F.octet_length("raw").alias("n")))), lambda x: F.struct(x["group_id"].alias("id"), x["n"].alias("cost")))
-    packed = exact.agg(selection.skip_packing(items, BUDGET).alias("ids")).select(F.posexplode("ids").alias("position", "group_id"))
-    return packed.join(exact.select("group_id", "native_id", "raw"), "group_id")
+    """Task -> candidates -> tournament by severity -> exact first records within the byte budget."""
+    return tools.connected_logs(views.index(spark, sf), corpus_queries.TASK, selection.gravest, BUDGET)
 
 
 def selection_greedy(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +70,23 @@ def quota_hybrid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (exact_lines, framing_blocks, skip_packing, tournament_pack, selection_greedy, quota_hybrid)}
+_GRAVE = "CASE role WHEN 'critical' THEN 0 WHEN 'error' THEN 1 WHEN 'warning' THEN 2 WHEN 'change' THEN 3 ELSE 4 END"
 SQL = {
+    "tournament_pack": f"""WITH RECURSIVE {corpus_queries._HITS.replace(f"QUALIFY rank <= {corpus_queries.LIMIT}", "QUALIFY rank <= 200")}, {views.RECORDS_SQL},
+repeated AS (SELECT row_number() OVER (ORDER BY repeat_count DESC, group_id) AS rank, group_id FROM groups WHERE role IN ('critical', 'error', 'warning') AND repeat_count > 1 QUALIFY rank <= 8),
+lists AS (SELECT CASE WHEN rank = 1 THEN 0 ELSE 2 END AS phase, rank AS pos, group_id FROM lexical UNION ALL SELECT 1, rank, group_id FROM repeated),
+once AS (SELECT * FROM lists QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY phase, pos) = 1),
+pool AS (SELECT row_number() OVER (ORDER BY phase, pos) AS rank, group_id, role, repeat_count, first_native_id FROM once JOIN groups USING (group_id)),
+carried AS (SELECT group_id, row_number() OVER (ORDER BY repeat_count DESC, rank) AS pos FROM pool WHERE role IN ('critical', 'error', 'warning') AND repeat_count > 1 QUALIFY pos <= 8),
+winners AS (SELECT group_id, (rank - 1) // 64 AS page, row_number() OVER (PARTITION BY (rank - 1) // 64 ORDER BY {_GRAVE}, rank) AS pos FROM pool QUALIFY pos <= 8),
+kept AS (SELECT 0 AS part, 0 AS page, pos, group_id FROM carried UNION ALL SELECT 1, page, pos, group_id FROM winners),
+one AS (SELECT group_id, row_number() OVER (ORDER BY part, page, pos) AS pos FROM (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY part, page, pos) = 1)),
+last AS (SELECT group_id, pos FROM one WHERE (SELECT count(*) FROM pool) > 64 UNION ALL SELECT group_id, rank FROM pool WHERE (SELECT count(*) FROM pool) <= 64),
+final AS (SELECT row_number() OVER (ORDER BY {_GRAVE}, pos) AS i, group_id, native_id, raw, octet_length(encode(raw))::BIGINT AS n
+  FROM last JOIN pool USING (group_id) JOIN records ON native_id = first_native_id QUALIFY i <= 12),
+go AS (SELECT 0::BIGINT AS i, {BUDGET}::BIGINT AS room, 0 AS k, NULL::BIGINT AS taken
+  UNION ALL SELECT f.i, CASE WHEN n <= room THEN room - n ELSE room END, CASE WHEN n <= room THEN k + 1 ELSE k END, CASE WHEN n <= room THEN f.group_id END FROM go JOIN final f ON f.i = go.i + 1)
+SELECT (k - 1)::INTEGER AS position, taken AS group_id, native_id, raw FROM go JOIN final ON group_id = taken""",
     "skip_packing": f"""WITH RECURSIVE s AS (
   SELECT service, group_id, 40 * repeat_count AS cost, row_number() OVER (PARTITION BY service ORDER BY last_timestamp_millis DESC, group_id DESC) AS n
   FROM log_groups WHERE role IN ('critical', 'error', 'warning') AND service IS NOT NULL),

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglattice.functions.records import parse_records
-from loglattice.operators import corpus
+from loglattice.operators import corpus, selection, tools
+from loglattice.operators.feedback import Store
 from loglattice.operators.index import Conflict, Index, flat_groups
 from loglattice.session import work_folder
 from loglattice.streaming import pipelines
@@ -137,3 +138,28 @@ def test_pages_and_nearby_flags(spark):
         got = corpus.nearby_records(df, "n4", before, after, budget).collect()
         assert (sorted(r["ts_ms"] for r in got), got[0]["before_truncated"], got[0]["after_truncated"]) == want
     assert corpus.nearby_records(df, "none", 1, 1, 10).count() == 0
+
+
+def test_a_connected_pack_is_of_one_generation(spark, index):
+    index.add(spark.createDataFrame(ROWS, SCHEMA), 0)
+    rows = tools.connected_logs(index, "lost kind 3").collect()
+    raw = {r[0]: r[2] for r in ROWS}
+    assert rows and all(raw[r["native_id"]] == r["raw"] for r in rows) and [r["position"] for r in rows] == list(range(len(rows)))
+    assert sum(len(r["raw"]) for r in rows) <= tools.BUDGET and tools.connected_logs(index, "lost", budget=5).count() == 0
+
+    def late(cards, most):
+        index.add(spark.createDataFrame([("new", 1, "x")], SCHEMA), 1)
+        return selection.first_ids(cards, most)
+
+    with pytest.raises(tools.Stale):
+        tools.connected_logs(index, "lost kind 3", late)
+    assert tools.connected_expand(index, "n010", 1, 1, 10_000).count() == 3
+    store = Store(spark, work_folder(spark, "feedback"))
+    tools.connected_feedback(store, "t", ["n010"], "n", -1, 0)
+    assert [tuple(r) for r in store.verdicts().collect()] == [("t", "n010", "n", -1)]
+    with pytest.raises(ValueError):
+        tools.connected_feedback(store, "t", ["n010"], "n", 0, 1)
+    lines = spark.createDataFrame([(i, f"level=error service=s kind {i % 2}") for i in range(6)], "line long, raw string")
+    got = {r["line"]: r["raw"] for r in tools.logs(lines).collect()}
+    assert set(got) <= set(range(6)) and {"level=error service=s kind 0", "level=error service=s kind 1"} == set(got.values())
+    assert tools.expand(lines, 3, 1, 1).count() == 3
