@@ -20,6 +20,7 @@ import base64
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,7 +75,7 @@ def between_letters(pairs: set[tuple[int, int]]) -> tuple[re.Pattern, re.Pattern
 
 
 class Encoder(dict):
-    """Encodes by certain cuts, built from the raw rank file. Maps fragments to the bytes of their ids (32 bits, little end first)."""
+    """Encodes by certain cuts, built from the raw rank file. Maps fragments to the bytes of their ids (native 32-bit integers)."""
 
     def __init__(self, raw: bytes, held: int = HELD):
         super().__init__()
@@ -91,8 +92,10 @@ class Encoder(dict):
                 yield from self.letters.split(word)
 
     def __missing__(self, word: str) -> bytes:
-        parts = self.letters.split(word) if self.apart.search(word) else [word]
-        ids = b"".join([np.array(self.encoding.encode_ordinary(f), "<i4").tobytes() for f in parts])
+        if self.apart.search(word):
+            ids = b"".join([array("i", self.encoding.encode_ordinary(f)).tobytes() for f in self.letters.split(word)])
+        else:
+            ids = array("i", self.encoding.encode_ordinary(word)).tobytes()
         if len(word) <= LONGEST:
             if len(self) >= self.held:
                 self.clear()
@@ -132,7 +135,7 @@ def _map_texts(rows: DataFrame, text: str, keep: list[str], raw: bytes, column:
 def _lists(parts: list[bytes]) -> pa.Array:
     offsets = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32), pa.int32()))
 
 
 def _sizes(parts: list[bytes]) -> pa.Array:
