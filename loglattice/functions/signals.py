@@ -144,9 +144,3 @@ def question_lane(rows: DataFrame, block: str, text: str, question: Question) ->
     made = F.array(*[F.struct(F.concat(F.lit(f"{k}:"), F.lit(w)).alias("facet_id"), F.lit(k).alias("kind"), times(w).alias("tf")) for k, w in wanted]) if wanted else F.array().cast("array<struct<facet_id:string,kind:string,tf:int>>")
     hits = settled(toks, [block], [made.alias("h")]).select(block, F.inline(F.filter("h", lambda x: x["tf"] > 0)))
     return hits.withColumn("mandatory", F.col("kind") == "identifier")
-
-
-def coverage_lane(found: DataFrame, block: str) -> DataFrame:
-    """Facet affinities of the signals found: every kind present covers its facet wholly. found: the result of :func:`signals`."""
-    both = F.concat(F.transform("failures", lambda k: F.concat(F.lit("failure:"), k)), F.transform("onsets", lambda k: F.concat(F.lit("onset:"), k)))
-    return found.select(F.col(block).alias("block_id"), F.explode(F.array_distinct(both)).alias("facet_id")).withColumn("affinity", F.lit(1_000_000).cast("long"))

@@ -59,24 +59,11 @@ def template_groups(members: DataFrame) -> DataFrame:
     return dense_ids(flat, "group_id", ["first_timestamp_millis", "first_native_id", "service", "role", "fingerprint"])
 
 
-def merge_groups(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Groups after more records: counts add up, the first and last record are the extremes of both."""
-    both = old.unionByName(new)
-    first, last = F.struct("first_timestamp_millis", "first_native_id"), F.struct("last_timestamp_millis", "last_native_id")
-    merged = both.groupBy("service", "role", "fingerprint").agg(F.sum("repeat_count").alias("repeat_count"), F.min(first).alias("f"), F.max(last).alias("l"))
-    return merged.select("service", "role", "fingerprint", "repeat_count", "f.*", "l.*")
-
-
 def group_terms(groups: DataFrame) -> DataFrame:
     text = F.concat_ws(" ", "service", "role", "fingerprint")
     return groups.select("group_id", F.explode(fn.search_terms(text, INDEX_TERMS)).alias("term"))
 
 
-def group_members(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """native_id -> group_id."""
-    return members.select("native_id", "service", "role", "fingerprint").join(groups.select("group_id", "service", "role", "fingerprint"), ["service", "role", "fingerprint"]).select("native_id", "group_id")
-
-
 def edge_evidence(members: DataFrame) -> DataFrame:
     """Records that name a peer other than their own, known, service."""
     return members.where("peer is not null and service <> 'unknown' and service <> peer").select("native_id", "ts_ms", F.col("service").alias("source_service"), F.col("peer").alias("target_service"))

@@ -46,14 +46,15 @@ def selection_greedy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PAGE_ROWS = 1000
+HEAD, TAIL, SPACED = 50, 50, 32  # documents of the head and tail lanes, and evenly spaced ones
 
 
 def quota_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Head, tail, all by question and evenly spaced documents under one byte budget."""
     docs = table(spark, sf, "documents").where("text is not null").select("doc_id", F.octet_length("text").alias("cost"))
-    head = [r[0] for r in docs.orderBy("doc_id").limit(50).collect()]
-    tail = [r[0] for r in docs.orderBy(F.desc("doc_id")).limit(50).collect()]
-    even = sorted(r["doc_id"] for r in selection.collected(lanes.midpoints(docs, "doc_id", 32), 64))
+    head = [r[0] for r in docs.orderBy("doc_id").limit(HEAD).collect()]
+    tail = [r[0] for r in docs.orderBy(F.desc("doc_id")).limit(TAIL).collect()]
+    even = sorted(r["doc_id"] for r in selection.collected(lanes.midpoints(docs, "doc_id", SPACED), SPACED))
     costs = {r[0]: r[1] for r in docs.where(F.col("doc_id").isin(sorted({*head, *tail, *even}))).collect()}
     place = F.struct(*[(-F.col(c).cast("long")).alias(c) for c in ranking_queries.FEATURE_ORDER], F.col("doc_id"))
     ranked = cut(ranking_queries.query_feature_hits(spark, sf).join(docs, "doc_id").select(place.alias("place"), "doc_id", "cost"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglattice.operators import lanes, ranking
 from loglattice.operators.corpus import bounded
-from loglattice.plans import views
 from loglattice.plans.tables import table
 
 QUESTION = "Why did the registry on node-12 restart after the rollout of cedar-feed? checkpoint quorum lost"

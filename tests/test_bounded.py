@@ -5,7 +5,6 @@ import os
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from loglattice.operators import framing, incident, lanes, ranking, selection
 

@@ -271,9 +271,11 @@ def test_file_sources(spark, tmp_path):
         files.read_precedents(spark, str(p))
 
 
-def test_result_lines(spark):
+def test_result_lines(spark, tmp_path):
     rows = [("s", bytearray(b"\xfb\xff"), "first", 2, bytearray(b"text")), ("s", bytearray(b"n"), "last", 2, bytearray(b"\xff"))]
     df = spark.createDataFrame(rows, "source_id string, native_id binary, position string, repeat_count long, raw binary")
     got = [json.loads(r[0]) for r in files.result_lines(df).collect()]
     assert got[0] == {"source_id": "s", "native_id": "-_8", "position": "first", "repeat_count": 2, "raw": "text"}
     assert got[1]["raw_base64"] == "/w==" and "raw" not in got[1]
+    files.write_results(df, str(tmp_path / "out"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(json.dumps(g, separators=(",", ":")) for g in got)
