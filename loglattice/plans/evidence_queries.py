@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglattice.functions import signals
-from loglattice.operators import analysis, candidates, dedup, incident, lanes, receipts, reducer
-from loglattice.plans import incident_queries, pipeline_queries, ranking_queries
+from loglattice.functions.records import base64url, settled, utf8_prefix
+from loglattice.operators import analysis, candidates, dedup, incident, lanes, receipts, reducer, selection
+from loglattice.plans import incident_queries, pipeline_queries, ranking_queries, views
 from loglattice.plans.tables import table
 from loglattice.session import cut
 
@@ -108,6 +109,58 @@ def citations(spark: SparkSession, sf: str) -> DataFrame:
     return receipts.verified_citations(cited, visible, incident.transitive_dependents(edges)).select("hypothesis", "event_id", "holds")
 
 
+def compound_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """How many compound tokens each document has, and a digest of them in order."""
+    tokens = signals.compound_tokens(F.col("text"))
+    rows = settled(table(spark, sf, "documents").where("text is not null"), ["doc_id"], [tokens.alias("t")])
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", "\x1f")).alias("digest"))
+
+
+def utf8_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest prefix of each document within 40 bytes."""
+    return table(spark, sf, "documents").select("doc_id", utf8_prefix(F.col("text"), 40).alias("prefix"))
+
+
+def base64url_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", base64url(F.encode("text", "UTF-8")).alias("coded"))
+
+
+def corpus_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: records, groups, severe groups, edges and evidence of the index."""
+    index = views.index(spark, sf)
+    counts = [index.records().agg(F.count(F.lit(1)).alias("records")), index.groups().agg(F.count(F.lit(1)).alias("groups")), index.summary().agg(F.sum("group_count").alias("severe_groups"))]
+    counts.append(index.edges().agg(F.count(F.lit(1)).alias("edges"), F.sum("evidence_count").alias("evidence")))
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.join(F.broadcast(c))  # one row each
+    return out
+
+
+def told_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups an analysis tells of: those that aren't mere context."""
+    return views.groups(spark, sf).where("role <> 'context'").select("group_id", "service", "role", "repeat_count")
+
+
+def topology_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Services and the edges between them, declared or observed in traces."""
+    return table(spark, sf, "service_edges").select("source_service", "target_service").union(incident_queries.span_edges(spark, sf).select("source_service", "target_service")).distinct()
+
+
+HITS_BUDGET = 60_000
+
+
+def grep_head_tail(spark: SparkSession, sf: str) -> DataFrame:
+    """The baseline of a plain search: its hundred best documents, then the last 200, then the first 20, each whole or not at all."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("cost"))
+    ranked = [r["doc_id"] for r in ranking_queries.query_feature_rank(spark, sf).orderBy("rank").collect()]
+    tail = [r[0] for r in docs.orderBy(F.desc("doc_id")).limit(200).collect()][::-1]
+    head = [r[0] for r in docs.orderBy("doc_id").limit(20).collect()]
+    order = list(dict.fromkeys([*ranked, *tail, *head]))
+    costs = {r[0]: r[1] for r in docs.where(F.col("doc_id").isin(order)).collect()}  # at most 320
+    taken, _ = selection.pack([(i, costs[i]) for i in order], HITS_BUDGET)
+    return spark.createDataFrame([(i, costs[i]) for i in sorted(taken)], "doc_id long, cost long")
+
+
 def run_totals(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "P", "partial").otherwise("unknown")
@@ -128,7 +181,7 @@ def top_traces(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.top_traces(found).select("rank", "service", "truncated")
 
 
-QUERIES = {f.__name__: f for f in (failure_signals, question_lane, merged_facets, block_accounting, delivery_accounting, reduced_blocks, group_examples, expanded_within, source_digests, fidelities, omitted_inventory, citations, run_totals, visible_groups, top_metrics, top_traces)}
+QUERIES = {f.__name__: f for f in (failure_signals, question_lane, merged_facets, block_accounting, delivery_accounting, reduced_blocks, group_examples, expanded_within, source_digests, fidelities, omitted_inventory, citations, compound_tokens, utf8_prefixes, base64url_texts, corpus_counts, told_groups, topology_union, grep_head_tail, run_totals, visible_groups, top_metrics, top_traces)}
 
 _UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
 
@@ -237,4 +290,20 @@ SELECT *, row_number() OVER (ORDER BY turn, service <> 'quota-gate', CASE role W
 pairs AS (SELECT source_service AS service, target_service AS hypothesis FROM service_edges UNION SELECT target_service, source_service FROM service_edges)
 SELECT p.hypothesis, c.group_id AS event_id, coalesce(c.repeat_count > 1 AND (c.service = p.hypothesis OR EXISTS (SELECT 1 FROM reach r WHERE r.service = p.hypothesis AND r.dependent = c.service)), false) AS holds
 FROM log_groups c JOIN pairs p ON p.service = c.service""",
+    "compound_tokens": f"WITH t AS (SELECT doc_id, {_tokens('text')} AS ts FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(ts) AS n_tokens, md5(array_to_string(ts, chr(31))) AS digest FROM t",
+    "utf8_prefixes": "SELECT doc_id, left(text, (SELECT max(k) FROM range(41) r(k) WHERE octet_length(encode(left(text, k))) <= 40)) AS prefix FROM documents",
+    "base64url_texts": "SELECT doc_id, rtrim(translate(base64(encode(text)), '+/', '-_'), '=') AS coded FROM documents",
+    "corpus_counts": f"""WITH {views.GROUPS_SQL},
+e AS (SELECT service, peer, count(*) AS n FROM members WHERE peer IS NOT NULL AND peer <> service GROUP BY ALL)
+SELECT (SELECT count(*) FROM members) AS records, (SELECT count(*) FROM groups) AS groups, (SELECT count(*) FROM groups WHERE role IN ('critical', 'error', 'warning')) AS severe_groups,
+  (SELECT count(*) FROM e) AS edges, (SELECT sum(n)::BIGINT FROM e) AS evidence""",
+    "told_groups": f"WITH {views.GROUPS_SQL} SELECT group_id, service, role, repeat_count FROM groups WHERE role <> 'context'",
+    "topology_union": f"WITH e AS ({incident_queries.SQL['span_edges']}) SELECT source_service, target_service FROM service_edges UNION SELECT source_service, target_service FROM e",
+    "grep_head_tail": f"""WITH RECURSIVE {ranking_queries._FEATURE_RANK},
+n AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS cost, row_number() OVER (ORDER BY doc_id) AS a, row_number() OVER (ORDER BY doc_id DESC) AS z FROM documents),
+l AS (SELECT 0 AS part, rank AS pos, doc_id FROM featured UNION ALL SELECT 1, -z, doc_id FROM n WHERE z <= 200 UNION ALL SELECT 2, a, doc_id FROM n WHERE a <= 20),
+o AS (SELECT doc_id, cost, row_number() OVER (ORDER BY part, pos) AS i FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY part, pos) = 1) JOIN n USING (doc_id)),
+go AS (SELECT 0::BIGINT AS i, {HITS_BUDGET}::BIGINT AS room, NULL::BIGINT AS doc_id, NULL::BIGINT AS cost
+  UNION ALL SELECT o.i, CASE WHEN o.cost <= room THEN room - o.cost ELSE room END, CASE WHEN o.cost <= room THEN o.doc_id END, o.cost FROM go JOIN o ON o.i = go.i + 1)
+SELECT doc_id, cost FROM go WHERE doc_id IS NOT NULL""",
 }
