@@ -9,6 +9,7 @@ from loglattice.functions.records import base64url, settled, utf8_prefix
 from loglattice.operators import analysis, candidates, dedup, incident, lanes, receipts, reducer, selection
 from loglattice.plans import incident_queries, pipeline_queries, ranking_queries, views
 from loglattice.plans.tables import table
+from loglattice.sources import runs
 from loglattice.session import cut
 
 FOCUS = ["quota-gate"]
@@ -146,6 +147,15 @@ def topology_union(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "service_edges").select("source_service", "target_service").union(incident_queries.span_edges(spark, sf).select("source_service", "target_service")).distinct()
 
 
+def acquired_run(spark: SparkSession, sf: str) -> DataFrame:
+    """What one run over all pages of deliveries acquires: it stops where an event comes again with other bytes."""
+    rows = table(spark, sf, "cloudwatch_messages").where("event_id is not null")
+    records = rows.select(F.col("page_no").cast("int").alias("page_no"), F.col("delivery_id").cast("int").alias("position"), F.col("event_id").alias("native_id"), F.col("delivery_id").alias("ts_ms"), F.coalesce("message", F.lit("")).alias("raw"), F.coalesce("log_stream", F.lit("?")).alias("stream"))
+    pages = records.select("page_no").distinct().withColumn("token", F.concat(F.lit("t"), "page_no"))
+    kept, _ = runs.acquire(records, pages, runs.Caps(1 << 30, 1 << 60, 1 << 60, 1 << 30))
+    return kept.select("page_no", "position", "native_id", "stream", "sequence")
+
+
 HITS_BUDGET = 60_000
 
 
@@ -181,7 +191,7 @@ def top_traces(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.top_traces(found).select("rank", "service", "truncated")
 
 
-QUERIES = {f.__name__: f for f in (failure_signals, question_lane, merged_facets, block_accounting, delivery_accounting, reduced_blocks, group_examples, expanded_within, source_digests, fidelities, omitted_inventory, citations, compound_tokens, utf8_prefixes, base64url_texts, corpus_counts, told_groups, topology_union, grep_head_tail, run_totals, visible_groups, top_metrics, top_traces)}
+QUERIES = {f.__name__: f for f in (failure_signals, question_lane, merged_facets, block_accounting, delivery_accounting, reduced_blocks, group_examples, expanded_within, source_digests, fidelities, omitted_inventory, citations, compound_tokens, utf8_prefixes, base64url_texts, corpus_counts, told_groups, topology_union, acquired_run, grep_head_tail, run_totals, visible_groups, top_metrics, top_traces)}
 
 _UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
 
@@ -306,4 +316,8 @@ o AS (SELECT doc_id, cost, row_number() OVER (ORDER BY part, pos) AS i FROM (SEL
 go AS (SELECT 0::BIGINT AS i, {HITS_BUDGET}::BIGINT AS room, NULL::BIGINT AS doc_id, NULL::BIGINT AS cost
   UNION ALL SELECT o.i, CASE WHEN o.cost <= room THEN room - o.cost ELSE room END, CASE WHEN o.cost <= room THEN o.doc_id END, o.cost FROM go JOIN o ON o.i = go.i + 1)
 SELECT doc_id, cost FROM go WHERE doc_id IS NOT NULL""",
+    "acquired_run": """WITH d AS (SELECT page_no::INTEGER AS page_no, delivery_id::INTEGER AS position, event_id AS native_id, coalesce(message, '') AS raw, coalesce(log_stream, '?') AS stream FROM cloudwatch_messages WHERE event_id IS NOT NULL),
+f AS (SELECT *, row_number() OVER w AS rn, first_value(raw) OVER w AS raw1 FROM d WINDOW w AS (PARTITION BY stream, native_id ORDER BY page_no, position)),
+stop AS (SELECT min((page_no, position)) AS place FROM f WHERE raw <> raw1)
+SELECT page_no, position, native_id, stream, row_number() OVER (PARTITION BY stream ORDER BY page_no, position) - 1 AS sequence FROM f, stop WHERE rn = 1 AND (place IS NULL OR (page_no, position) < place)""",
 }
