@@ -40,21 +40,23 @@ _UNIT = "|".join(sorted(UNITS, key=len, reverse=True))
 _RELATED_ID = re.compile(r"\b(?:x[-_])?(?:request|span|correlation|trace)[-_ ]?id\s*[=:]\s*\"?[\w.-]+\"?")
 _VALUE = re.compile(
     rf"""
-      '[^'\n]*'                                                             # a quoted name
-    | \b\d{{4}}-\d\d-\d\d(?:[t\s]\d\d:\d\d(?::\d\d(?:[.,]\d+)?)?(?:z|[+-]\d\d:?\d\d)?)?  # a date or time
-    | \b\d{{1,2}}:\d\d(?::\d\d(?:[.,]\d+)?)?\b
-    | \b[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}\b
-    | \b(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?::\d+)?\b                            # an address
-    | \[[0-9a-f:]{{0,39}}:[0-9a-f:]{{1,39}}\](?::\d+)?
-    | \b(?:\d+(?:\.\d+)?(?:h|m|s|ms|µs|μs|us|ns|d))+(?![\w])                # 19m51s
-    | [-+]?\b\d+(?:[.,]\d+)*(?:\s?(?:{_UNIT})\b|%|(?!\w))                  # a number or quantity
-    | \b(?=[a-z_]*\d)[0-9a-z_]+\b                                           # an id: letters and digits mixed
-    | \b[0-9a-f]{{8,}}\b
+      '[^'\n]*'                                                               # a quoted name
+    | \[[0-9a-f:]{{0,39}}:[0-9a-f:]{{1,39}}\](?::\d+)?                          # an address
+    | [-+]\b\d+(?:[.,]\d+)*(?:\s?(?:{_UNIT})\b|%|(?!\w))                      # a signed number or quantity
+    | \b(?=\w*\d|[0-9a-f]{{8}})(?:                                            # words that can hold a value, and only these, go on here
+        \d{{4}}-\d\d-\d\d(?:[t\s]\d\d:\d\d(?::\d\d(?:[.,]\d+)?)?(?:z|[+-]\d\d:?\d\d)?)?  # a date or time
+      | \d{{1,2}}:\d\d(?::\d\d(?:[.,]\d+)?)?\b
+      | [0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}\b
+      | (?:\d{{1,3}}\.){{3}}\d{{1,3}}(?::\d+)?\b                                 # an address
+      | (?:\d+(?:\.\d+)?(?:h|m|s|ms|µs|μs|us|ns|d))+(?![\w])                   # 19m51s
+      | \d+(?:[.,]\d+)*(?:\s?(?:{_UNIT})\b|%|(?!\w))                            # a number or quantity
+      | (?=[a-z_]*\d)[0-9a-z_]+\b                                             # an id: letters and digits mixed
+      | [0-9a-f]{{8,}}\b
+      )
     """,
     re.X,
 )
 _MIXED = re.compile(r"(?<!\w)(?=[^\W\d]*\d)\w+")  # begins at words only: linear on long ones
-_SPACE = re.compile(r"\s+")
 
 
 def words(text: str) -> str:
@@ -64,7 +66,7 @@ def words(text: str) -> str:
         text = _RELATED_ID.sub(" ", text)
     text = _VALUE.sub(" # ", text)
     text = _MIXED.sub("#", text)
-    return _SPACE.sub(" ", text).strip()
+    return " ".join(text.split())
 
 
 def same_event_key(router: Router, text: str, near_ms: int | None = None) -> str:
