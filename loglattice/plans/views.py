@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loglattice.functions.records import parse_records
 from loglattice.operators.index import Index
 from loglattice.plans.tables import table
-from loglattice.session import work_folder
+from loglattice.session import filesystem, work_folder
 
 SERVICES = 16
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
@@ -72,12 +72,18 @@ SELECT i::VARCHAR AS native_id,
   CASE i % 6 WHEN 0 THEN 1117838570 WHEN 4 THEN 1704067200 + i % 100 END::BIGINT AS ts_seconds
 FROM e"""
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple, str] = {}
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files."""
+    fs, p = filesystem(spark, path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p)))
 
 
 def index(spark: SparkSession, sf: str) -> Index:
-    """The index of a data folder's records, taken in once per application."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The index of a data folder's records, taken in once per application and state of its files."""
+    key = (spark.sparkContext.applicationId, sf, _files(spark, f"{sf.rstrip('/')}/events.parquet"))
     if key not in _INDEXES:
         path = work_folder(spark, "index")
         Index(spark, path).add(records(spark, sf), 0)
