@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglattice.functions import signals
 from loglattice.functions.records import base64url, settled, utf8_prefix
-from loglattice.operators import analysis, candidates, dedup, incident, lanes, receipts, reducer, selection
-from loglattice.plans import incident_queries, pipeline_queries, ranking_queries, views
+from loglattice.operators import analysis, candidates, corpus, dedup, incident, lanes, receipts, reducer, selection
+from loglattice.plans import corpus_queries, incident_queries, pipeline_queries, ranking_queries, views
 from loglattice.plans.tables import table
-from loglattice.sources import runs
-from loglattice.session import cut
+from loglattice.sources import files, runs
+from loglattice.session import cut, work_folder
 
 FOCUS = ["quota-gate"]
 
@@ -156,6 +156,41 @@ def acquired_run(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("page_no", "position", "native_id", "stream", "sequence")
 
 
+def exact_file_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The messages written as text files and read again byte for byte: how often each line stands, with its terminator."""
+    folder = work_folder(spark, "lines")
+    table(spark, sf, "cloudwatch_messages").select(F.coalesce("message", F.lit("")).alias("value")).write.text(folder)
+    lines = files.exact_lines(spark, folder)
+    return lines.groupBy(F.sha2("payload", 256).alias("digest"), F.hex("terminator").alias("terminator")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def metrics_ndjson(spark: SparkSession, sf: str) -> DataFrame:
+    """Metric points written as JSON lines and read with the checks of that format."""
+    folder = work_folder(spark, "metrics")
+    incident_queries.points(spark, sf).select(F.col("at").alias("timestamp"), "service", "metric", "value").write.json(folder)
+    return files.read_metrics(spark, folder).groupBy("service", "metric").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.round(F.max("value"), 6).alias("most"))
+
+
+def spans_ndjson(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans written as JSON lines and read with the checks of that format."""
+    folder = work_folder(spark, "spans")
+    rows = incident_queries.spans(spark, sf).withColumnRenamed("start_ms", "start_time_unix_ms").drop("line").withColumn("trace_id", F.col("trace_id").cast("string"))
+    rows.write.json(folder)
+    return files.read_spans(spark, folder).groupBy("service", "status_code", "status_code_kind").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").alias("duration"), F.min("start_time_unix_ms").alias("first"), F.count("parent_span_id").alias("children"))
+
+
+def result_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """First records of the cards as result lines."""
+    cards = table(spark, sf, "log_groups")
+    rows = cards.select("source_id", F.encode("first_native_id", "UTF-8").alias("native_id"), F.lit("first").alias("position"), "repeat_count", F.encode("service", "UTF-8").alias("raw"))
+    return files.result_lines(rows)
+
+
+def directory_loop(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of the first four services of each directory page, interleaved."""
+    return corpus.directory_expansion(table(spark, sf, "log_groups"), lambda offered: [x["service"] for x in offered[:4]]).select("rank", "group_id", "service")
+
+
 HITS_BUDGET = 60_000
 
 
@@ -191,7 +226,7 @@ def top_traces(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.top_traces(found).select("rank", "service", "truncated")
 
 
-QUERIES = {f.__name__: f for f in (failure_signals, question_lane, merged_facets, block_accounting, delivery_accounting, reduced_blocks, group_examples, expanded_within, source_digests, fidelities, omitted_inventory, citations, compound_tokens, utf8_prefixes, base64url_texts, corpus_counts, told_groups, topology_union, acquired_run, grep_head_tail, run_totals, visible_groups, top_metrics, top_traces)}
+QUERIES = {f.__name__: f for f in (failure_signals, question_lane, merged_facets, block_accounting, delivery_accounting, reduced_blocks, group_examples, expanded_within, source_digests, fidelities, omitted_inventory, citations, compound_tokens, utf8_prefixes, base64url_texts, corpus_counts, told_groups, topology_union, acquired_run, exact_file_lines, metrics_ndjson, spans_ndjson, result_lines, directory_loop, grep_head_tail, run_totals, visible_groups, top_metrics, top_traces)}
 
 _UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
 
@@ -320,4 +355,20 @@ SELECT doc_id, cost FROM go WHERE doc_id IS NOT NULL""",
 f AS (SELECT *, row_number() OVER w AS rn, first_value(raw) OVER w AS raw1 FROM d WINDOW w AS (PARTITION BY stream, native_id ORDER BY page_no, position)),
 stop AS (SELECT min((page_no, position)) AS place FROM f WHERE raw <> raw1)
 SELECT page_no, position, native_id, stream, row_number() OVER (PARTITION BY stream ORDER BY page_no, position) - 1 AS sequence FROM f, stop WHERE rn = 1 AND (place IS NULL OR (page_no, position) < place)""",
+    "exact_file_lines": """WITH l AS (SELECT unnest(string_split(coalesce(message, ''), chr(10))) AS x FROM cloudwatch_messages),
+p AS (SELECT CASE WHEN ends_with(x, chr(13)) THEN left(x, -1) ELSE x END AS payload, CASE WHEN ends_with(x, chr(13)) THEN '0D0A' ELSE '0A' END AS terminator FROM l)
+SELECT sha256(payload) AS digest, terminator, count(*) AS n FROM p GROUP BY 1, 2""",
+    "metrics_ndjson": """WITH p AS (SELECT epoch_us(ts) // 1000000 AS sec, 'svc-' || (user_id % 16) AS service, event_type AS metric, value FROM events)
+SELECT service, metric, count(*) AS n, min(sec) AS first, max(sec) AS last, round(max(value), 6) AS most FROM p GROUP BY 1, 2""",
+    "spans_ndjson": f"""WITH {incident_queries._SPANS} SELECT service, status_code::BIGINT AS status_code, CASE WHEN status_code = 14 THEN 'grpc' END AS status_code_kind, count(*) AS n, sum(duration)::BIGINT AS duration, min(start_ms) AS first,
+  count(parent_span_id) AS children FROM spans GROUP BY 1, 2, 3""",
+    "result_lines": """SELECT '{"source_id":"' || source_id || '","native_id":"' || rtrim(translate(base64(encode(first_native_id)), '+/', '-_'), '=') || '","position":"first","repeat_count":' || repeat_count || ',"raw":"' || service || '"}' AS value FROM log_groups""",
+    "directory_loop": f"""WITH sv AS (SELECT DISTINCT service FROM log_groups WHERE {corpus_queries._SEVERE}), nb AS (SELECT service, row_number() OVER (ORDER BY service) AS rn FROM sv),
+ch AS (SELECT service, row_number() OVER (ORDER BY rn) - 1 AS stream FROM nb WHERE (rn - 1) % 32 < 4 AND rn <= 128), k AS (SELECT greatest(1, 64 // count(*)) AS each FROM ch),
+sides AS (
+  SELECT service, group_id, 0 AS side, row_number() OVER (PARTITION BY service ORDER BY last_timestamp_millis, group_id) AS pos FROM log_groups WHERE {corpus_queries._SEVERE}
+  UNION ALL SELECT service, group_id, 1, row_number() OVER (PARTITION BY service ORDER BY last_timestamp_millis DESC, group_id DESC) FROM log_groups WHERE {corpus_queries._SEVERE}),
+own AS (SELECT * FROM sides, k WHERE pos <= (each + 1) // 2 QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY pos, side) = 1),
+inner_rank AS (SELECT service, group_id, each, row_number() OVER (PARTITION BY service ORDER BY pos, side) AS position FROM own)
+SELECT row_number() OVER (ORDER BY position, stream) AS rank, group_id, service FROM inner_rank JOIN ch USING (service) WHERE position <= each QUALIFY rank <= 64""",
 }
