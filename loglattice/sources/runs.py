@@ -18,13 +18,17 @@ records is a page. An empty run is finished.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loglattice.operators.prefix import running_sums
 from loglattice.session import cut
 
+#: Where a provider's page names the token of the next one.
+NEXT = {"cloudwatch": "$.nextToken", "sentry": "$.next", "datadog": "$.meta.page.after", "kubernetes": "$.continue"}
+
 
 @dataclass(frozen=True)
 class Caps:
@@ -90,3 +94,22 @@ def acquire(records: DataFrame, pages: DataFrame, caps: Caps = Caps()) -> tuple[
     outcome = Outcome(stop["rule"] if stop else "finished", stop and stop["page_no"], stop and stop["position"], read.count(), n, size)
     lanes = running_sums(kept.select("page_no", "position", "stream", "ts_ms", "native_id", F.lit(1).cast("long").alias("one")), ["stream"], "page_no", ["ts_ms", "native_id"], {"sequence": "one"})
     return records.join(lanes.select("page_no", "position", "sequence"), ["page_no", "position"]), outcome
+
+
+def page_index(spark: SparkSession, path: str, provider: str) -> DataFrame:
+    """page, page_no (in file name order) and the ``token`` that led to it, of recorded pages; a first page has none."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
+    named = raw.select(F.element_at(F.split("path", "/"), -1).alias("page"), F.get_json_object(F.col("content").cast("string"), NEXT[provider]).alias("next"))
+    order = Window.orderBy("page")  # one row per page
+    return named.select("page", (F.row_number().over(order) - 1).cast("int").alias("page_no"), F.lag("next").over(order).alias("token"))
+
+
+def recorded_run(spark: SparkSession, path: str, provider: str, caps: Caps = Caps(), streams: Sequence[str] | None = None, contains: str | None = None) -> tuple[DataFrame, Outcome]:
+    """A run over recorded pages, of some streams and of records that hold a text only, if asked; the data source must be registered."""
+    pages = cut(page_index(spark, path, provider))
+    records = spark.read.format("recorded_pages").option("provider", provider).load(path)
+    if streams is not None:
+        records = records.where(F.col("stream").isin(list(streams)))
+    if contains is not None:
+        records = records.where(F.col("raw").contains(contains))
+    return acquire(records.join(F.broadcast(pages.select("page", "page_no")), "page").drop("page"), pages.select("page_no", "token"), caps)  # one row per page

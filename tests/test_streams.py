@@ -224,6 +224,35 @@ def test_an_empty_run(spark):
     assert got.count() == 0 and outcome == runs.Outcome("finished", None, None, 0, 0, 0)
 
 
+@pytest.mark.parametrize("provider", ["cloudwatch", "sentry", "datadog", "kubernetes"])
+def test_recorded_runs(spark, tmp_path, provider):
+    spark.dataSource.register(RecordedPages)
+    when = lambda i: f"2023-01-01T00:00:{i:02d}Z"
+
+    def page(n, ids, following):
+        if provider == "cloudwatch":
+            return {"events": [{"eventId": f"e{i}", "timestamp": i, "message": f"m{i}", "logStreamName": "s"} for i in ids], "nextToken": following}
+        if provider == "sentry":
+            return {"data": [{"eventID": f"e{i}", "dateCreated": when(i)} for i in ids], "next": following}
+        if provider == "datadog":
+            return {"data": [{"id": f"e{i}", "attributes": {"timestamp": when(i)}} for i in ids], "meta": {"page": {"after": following}}}
+        return {"instance": f"pod/{n}", "lines": [f"{when(i)} stdout F m{i}" for i in ids], "continue": following}
+
+    for n, (ids, following) in enumerate([([1, 2], "a"), ([2, 3] if provider != "kubernetes" else [3], "b"), ([4], None)]):
+        (tmp_path / f"{n}.json").write_text(json.dumps(page(n, ids, following)))
+    got, outcome = runs.recorded_run(spark, str(tmp_path), provider)
+    assert outcome.outcome == "finished" and outcome.pages == 3 and outcome.records == got.count() == 4
+    capped, outcome = runs.recorded_run(spark, str(tmp_path), provider, runs.Caps(records=2))
+    assert (outcome.outcome, outcome.records) == ("record_cap", 2) and capped.count() == 2
+    (tmp_path / "3.json").write_text(json.dumps(page(3, [5], "b")))
+    (tmp_path / "4.json").write_text(json.dumps(page(4, [6], None)))
+    (tmp_path / "2.json").write_text(json.dumps(page(2, [4], "a")))
+    assert runs.recorded_run(spark, str(tmp_path), provider)[1].outcome == "pagination_incomplete"
+    if provider == "cloudwatch":
+        assert runs.recorded_run(spark, str(tmp_path), provider, streams=["other"])[1].records == 0
+        assert runs.recorded_run(spark, str(tmp_path), provider, contains="m1")[1].records == 1
+
+
 def test_recorded_pages(spark, tmp_path):
     pages = tmp_path / "pages"
     pages.mkdir()
