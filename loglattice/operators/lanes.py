@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loglattice.operators.prefix import running_sums
+from loglattice.operators.prefix import dense_ids, running_sums
 from loglattice.session import cut
 
 BLOCK = 4096
@@ -18,6 +18,8 @@ BLOCK = 4096
 
 def positions(rows: DataFrame, keys: list[str], seq: str, name: str = "position") -> DataFrame:
     """0-based position of each row within its keys by ``seq`` (a unique non-negative number)."""
+    if not keys:  # numbered by ranges: no task sees more than its own rows and one row per task
+        return dense_ids(rows, name, [seq]).withColumn(name, F.col(name) - 1)
     marked = rows.withColumns({"_ll_all": F.lit(0), "_ll_bucket": F.expr(f"{seq} div {BLOCK}"), "_ll_one": F.lit(1).cast("long")})
     return running_sums(marked, [*keys, "_ll_all"], "_ll_bucket", [seq], {name: "_ll_one"}).drop("_ll_all", "_ll_bucket", "_ll_one")
 

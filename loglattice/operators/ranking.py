@@ -6,11 +6,13 @@ import math
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loglattice.functions.records import ascii_lower, settled
 from loglattice.operators.prefix import dense_ids, order_statistics
+from loglattice.session import partitions_of
 
 SCALE = 1_000_000
 BODY_B, ID_B, K1 = 750_000, 250_000, 1_200_000
@@ -193,20 +195,24 @@ def binomial_tail(wins: int, losses: int) -> float:
 
 
 def _local_skyline(frame: pd.DataFrame, high: list[str], low: list[str]) -> pd.DataFrame:
-    values = pd.concat([frame[high], -frame[low]], axis=1).to_numpy(dtype=float)
-    order = sorted(range(len(values)), key=lambda i: tuple(-values[i]))
-    kept: list[int] = []
+    """Best rows first, so that a row needs comparing with those kept before it only."""
+    values = np.column_stack([frame[high].to_numpy(dtype=float), -frame[low].to_numpy(dtype=float)])
+    order = np.lexsort([-values[:, c] for c in reversed(range(values.shape[1]))])
+    kept = np.empty_like(values)
+    chosen: list[int] = []
     for i in order:
-        if not any((values[j] >= values[i]).all() and (values[j] > values[i]).any() for j in kept):
-            kept.append(i)
-    return frame.iloc[sorted(kept)]
+        best = kept[: len(chosen)]
+        if not ((best >= values[i]).all(axis=1) & (best > values[i]).any(axis=1)).any():
+            kept[len(chosen)] = values[i]
+            chosen.append(i)
+    return frame.iloc[sorted(chosen)]
 
 
 def skyline(rows: DataFrame, high: list[str], low: list[str]) -> DataFrame:
     """Rows no other row dominates (as good everywhere, better somewhere); rows with a null in these columns take no part.
 
-    Every task reduces its rows to its own skyline; only survivors meet, and
-    merging repeats until one partition's worth is left.
+    Every task reduces its rows to its own skyline; survivors meet in an eighth
+    as many tasks, and again, until one is left.
     """
     clean = rows.dropna(subset=high + low)
 
@@ -217,5 +223,8 @@ def skyline(rows: DataFrame, high: list[str], low: list[str]) -> DataFrame:
         if best is not None:
             yield best
 
-    local = clean.mapInPandas(run, clean.schema)
-    return local.repartition(1).mapInPandas(run, clean.schema)
+    local, tasks = clean.mapInPandas(run, clean.schema), partitions_of(rows.sparkSession)
+    while tasks > 1:
+        tasks = -(-tasks // 8)
+        local = local.repartition(tasks).mapInPandas(run, clean.schema)
+    return local if partitions_of(rows.sparkSession) > 1 else local.repartition(1).mapInPandas(run, clean.schema)
