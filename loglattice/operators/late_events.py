@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from loglattice.session import removed, work_folder
 from loglattice.streaming.versions import Versions
 
-SLOTS = 4  # batches in which arrivals of a whole table are taken in
+SLOTS = 3  # batches in which arrivals of a whole table are taken in
 COUNTERS = ("n_on_time", "n_corrected", "n_dropped")
 
 
