@@ -11,6 +11,8 @@ and selects again.
 The dictionary alone says nothing about what was seen: identifiers may be
 registered ahead, and only a set bit keeps an arrival out.
 
+Row ids are integers that rise in the order of delivery.
+
 Cases: a row with a null in any identifier column is a copy of nothing and is
 always kept. Empty strings are ordinary identifiers. Rows of one row id are one
 delivery. A row without a row id is no delivery: it is never reported, and is
